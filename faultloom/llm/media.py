@@ -27,7 +27,7 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33  # the signature and the IHDR chunk
 SHARD_BYTES = 256 << 20
-LEVEL = 3
+LEVEL = 6
 
 
 def pad(data: bytes) -> bytes:
