@@ -9,6 +9,7 @@ corpus paragraphs; every paragraph of the corpus is then classified by one JVM-s
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -213,8 +214,14 @@ def train(negatives: list[str], *, templates: dict[str, list[str]] | None = None
     return LicenceModel(classes, vocabulary, sorted(rare), w, b, float(temperature))
 
 
-def _literal(values: list) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _literal(values: list, kind: str = "array<string>") -> Column:
+    """One foldable constant: a long list of literals would make the plan large."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def sample_paragraphs(docs: DataFrame, *, text: str = "text", rows: int = SAMPLE_PARAGRAPHS) -> list[str]:
@@ -239,27 +246,43 @@ def scan(docs: DataFrame, model: LicenceModel, *, text: str = "text", doc_id: st
     lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("paragraph", "line"))
     lines = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("words"))
     lines = lines.where(F.arrays_overlap("words", _literal(model.rare)))
-    grams = F.array_distinct(F.concat(F.col("words"), _ngrams(F.col("words"), 2)))
-    places = F.filter(F.transform(grams, lambda g: F.array_position(_literal(model.vocabulary), g)), lambda i: i > 0)
-    scored = lines.withColumn("at", places)
-    flat = _literal([float(v) for v in model.weights.reshape(-1)])
-    bias = _literal([float(v) for v in model.bias])
-
-    def logit(c: Column) -> Column:
-        add = F.aggregate(F.col("at"), F.lit(0.0), lambda a, i: a + F.element_at(flat, ((i - 1) * k + c + 1).cast("int")))
-        return (F.element_at(bias, (c + 1).cast("int")) + add) / F.lit(model.temperature)
-
-    scored = scored.withColumn("logits", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), logit))
-    top = F.array_max("logits")
-    scored = scored.withColumn("best", F.array_position("logits", top))
-    total = F.aggregate(F.transform("logits", lambda z: F.exp(z - top)), F.lit(0.0), lambda a, e: a + e)
-    scored = scored.withColumn("probability", 1 / total).where(F.col("best") < k)
+    vocabulary = _literal(model.vocabulary)
+    flat = _literal([float(v) for v in model.weights.reshape(-1)], "array<double>")
+    bias = _literal([float(v) for v in model.bias], "array<double>")
     pieces = [[sorted({" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}) for w in map(_words_py, ts)] for ts in templates.values()]
-    known = F.element_at(F.array(*[F.array(*[_literal(t) for t in ts]) for ts in pieces]), F.col("best").cast("int"))
-    own = _ngrams(F.col("words"), 3)
-    share = F.array_max(F.transform(known, lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
-    family = F.element_at(_literal(model.classes), F.col("best").cast("int"))
-    out = scored.select("doc_id", "paragraph", family.alias("family"), F.round("probability", 6).alias("probability"), share.alias("similarity"))
+    known = _literal(pieces, "array<array<array<string>>>")
+
+    def places(words: Column) -> Column:
+        grams = F.array_intersect(vocabulary, F.concat(words, _ngrams(words, 2)))
+        return F.transform(grams, lambda g: F.array_position(vocabulary, g))
+
+    def logits(at: Column) -> Column:
+        def one(c: Column) -> Column:
+            added = F.aggregate(at, F.element_at(bias, (c + 1).cast("int")), lambda a, i: a + F.element_at(flat, ((i - 1) * k + c + 1).cast("int")))
+            return added / F.lit(model.temperature)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), one)
+
+    def chosen(z: Column) -> Column:
+        return _let(
+            F.array_max(z),
+            lambda top: F.struct(
+                F.array_position(z, top).cast("int").alias("best"),
+                (1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("probability"),
+            ),
+        )
+
+    found = _let(places(F.col("words")), lambda at: _let(logits(at), chosen))
+    scored = lines.withColumn("found", found).where(F.col("found.best") < k)
+    share = _let(
+        _ngrams(F.col("words"), 3),
+        lambda own: F.array_max(
+            F.transform(F.element_at(known, F.col("found.best")), lambda t: F.size(F.array_intersect(t, own)) / F.size(t))
+        ),
+    )
+    family = F.element_at(_literal(model.classes), F.col("found.best"))
+    probability = F.round("found.probability", 6).alias("probability")
+    out = scored.select("doc_id", "paragraph", family.alias("family"), probability, share.alias("similarity"))
     return out.withColumn("confirmed", F.col("similarity") >= contained)
 
 
