@@ -124,9 +124,13 @@ def _words(paragraph: Column) -> Column:
 
 
 def _ngrams(words: Column, n: int) -> Column:
-    """The word n-grams of an array; the whole sequence if it is shorter."""
-    last = F.greatest(F.size(words) - F.lit(n - 1), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))
+    """The word n-grams of an array; the whole sequence if it is shorter.
+
+    Each gram is read by index, and the short ones at the end are cut off at once: a slice for each
+    gram would copy the whole array every time.
+    """
+    grams = F.transform(words, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+    return F.slice(grams, 1, F.greatest(F.size(words) - F.lit(n - 1), F.lit(1)))
 
 
 @dataclass
@@ -243,9 +247,6 @@ def scan(docs: DataFrame, model: LicenceModel, *, text: str = "text", doc_id: st
     """
     templates = templates or TEMPLATES
     k = len(model.classes)
-    lines = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("paragraph", "line"))
-    lines = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("words"))
-    lines = lines.where(F.arrays_overlap("words", _literal(model.rare)))
     vocabulary = _literal(model.vocabulary)
     flat = _literal([float(v) for v in model.weights.reshape(-1)], "array<double>")
     bias = _literal([float(v) for v in model.bias], "array<double>")
@@ -272,18 +273,33 @@ def scan(docs: DataFrame, model: LicenceModel, *, text: str = "text", doc_id: st
             ),
         )
 
-    found = _let(places(F.col("words")), lambda at: _let(logits(at), chosen))
-    scored = lines.withColumn("found", found).where(F.col("found.best") < k)
-    share = _let(
-        _ngrams(F.col("words"), 3),
-        lambda own: F.array_max(
-            F.transform(F.element_at(known, F.col("found.best")), lambda t: F.size(F.array_intersect(t, own)) / F.size(t))
-        ),
-    )
-    family = F.element_at(_literal(model.classes), F.col("found.best"))
-    probability = F.round("found.probability", 6).alias("probability")
-    out = scored.select("doc_id", "paragraph", family.alias("family"), probability, share.alias("similarity"))
-    return out.withColumn("confirmed", F.col("similarity") >= contained)
+    def share(words: Column, best: Column) -> Column:
+        return _let(
+            _ngrams(words, 3),
+            lambda own: F.array_max(F.transform(F.element_at(known, best), lambda t: F.size(F.array_intersect(t, own)) / F.size(t))),
+        )
+
+    def found(words: Column, paragraph: Column) -> Column:
+        def licence(c: Column) -> Column:
+            best = c.getField("best")
+            fields = F.struct(
+                paragraph.cast("int").alias("paragraph"),
+                F.element_at(_literal(model.classes), best).alias("family"),
+                F.round(c.getField("probability"), 6).alias("probability"),
+                share(words, best).alias("similarity"),
+            )
+            return F.when(best < k, fields)
+
+        scored = _let(places(words), lambda at: _let(_let(logits(at), chosen), licence))
+        return F.when(F.arrays_overlap(words, _literal(model.rare)), scored)
+
+    # All in one generator: a filter above a projection would be pushed below it, with the word array
+    # written out again inside every lambda that names it.
+    lines = F.split(F.col(text).cast("string"), "\n", -1)
+    each = F.transform(lines, lambda line, i: _let(_words(line), lambda words: found(words, i)))
+    hits = F.filter(each, lambda x: x.isNotNull())
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode_outer(hits).alias("hit")).where("hit is not null")
+    return out.select("doc_id", "hit.*", (F.col("hit.similarity") >= contained).alias("confirmed"))
 
 
 def scan_licences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
