@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,9 @@ def vector(text: str | None) -> np.ndarray | None:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, *, rounds: int = 1500, lam: float = 1e-4, seed: int = 0) -> np.ndarray:
-    """Weights and, last, the bias of a hinge-loss machine, by averaged subgradient steps. y: +1 or -1.
+    """Weights and, last, the bias of a hinge-loss machine, by averaged subgradient steps.
 
-    Both classes weigh the same, whatever their numbers.
+    y: +1 or -1, or 0 for rows that take no part. Both classes weigh the same, whatever their numbers.
     """
     rng = np.random.default_rng(seed)
     sides = [np.flatnonzero(y > 0), np.flatnonzero(y < 0)]
@@ -132,11 +134,27 @@ def _pieces(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of labelled texts and of their pieces, by their non-zero places."""
+    for batch in batches:
+        rows = []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            whole = text.as_py()
+            for piece in _pieces(whole, np.random.default_rng(zlib.crc32(whole.encode("utf-8", "surrogatepass")))):
+                if (v := vector(piece)) is not None:
+                    at = np.flatnonzero(v)
+                    rows.append((lang, at.astype(np.uint16).tobytes(), v[at].astype(np.float32).tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        kinds = [pa.string(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["l", "at", "v"])
+
+
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> LanguageModel:
     """labelled: rows to learn from. Nulls in text or lang teach nothing.
 
-    About ``rows`` of them at most come to the driver, as many of each language, chosen by the hash of
-    their ids; they are read whole.
+    About ``rows`` of them at most are used, as many of each language, chosen by the hash of id and
+    text; they are read whole. Tasks make their vectors, of which only the non-zero places come to the
+    driver.
     """
     spark = labelled.sparkSession
     usable = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
@@ -147,16 +165,15 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id
         return LanguageModel([])
     each = max(1, rows // len(languages))
     shares = spark.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "l string, share double")
-    taken = usable.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("i", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    rng = np.random.default_rng(0)
-    x, y = [], []
-    for r in taken.select("l", "t", "i").toLocalIterator():
-        for piece in _pieces(r["t"], rng):
-            if (v := vector(piece)) is not None:
-                x.append(v.astype(np.float32))
-                y.append(r["l"])
-    order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes()))  # the same model in any order of rows
-    x, y = np.stack([x[i] for i in order]), np.array([y[i] for i in order])
+    taken = usable.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("i", "t", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    found = taken.select("l", "t").mapInArrow(_examples, "l string, at binary, v binary").collect()
+    if not found:
+        return LanguageModel([])
+    found.sort(key=lambda r: (r["l"], bytes(r["at"]), bytes(r["v"])))  # the same model in any order of rows
+    x, y = np.zeros((len(found), DIMENSIONS), np.float32), np.array([r["l"] for r in found])
+    for i, r in enumerate(found):
+        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float32)
+    del found
     languages = sorted(set(y.tolist()))
     family = np.array([family_of(k) for k in y])
     families = sorted(set(family.tolist()))
@@ -169,8 +186,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id
         members = sorted({k for k in languages if family_of(k) == f})
         model.pairs[f] = []
         for a, b in itertools.combinations(members, 2):
-            at = (y == a) | (y == b)
-            model.pairs[f].append((a, b, train_svm(x[at], np.where(y[at] == a, 1.0, -1.0))))
+            model.pairs[f].append((a, b, train_svm(x, np.where(y == a, 1.0, np.where(y == b, -1.0, 0.0)))))
     return model
 
 
