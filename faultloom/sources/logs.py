@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,20 @@ def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SC6: (path, text) of files in UTF-8, else in GBK, else in Latin-1."""
     files = spark.read.format("binaryFile").load(path)
     raw = F.col("content").cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.coalesce(F.expr("try_validate_utf8(decode(content, 'GBK'))"), F.decode("content", "ISO-8859-1")))
-    return files.select("path", text.alias("text"))
+    return files.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(_decoded("content")).alias("text"))
+
+
+@F.pandas_udf("string")
+def _decoded(content: pd.Series) -> pd.Series:
+    """Spark's own decode() has no GBK."""
+
+    def text(data: bytes) -> str:
+        try:
+            return data.decode("gbk")
+        except UnicodeDecodeError:
+            return data.decode("latin-1")
+
+    return content.map(text, na_action="ignore")
 
 
 def parse_json(text: Column, schema: str) -> Column:
