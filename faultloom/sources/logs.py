@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 
@@ -64,7 +65,7 @@ def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(_decoded("content")).alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(content: pd.Series) -> pd.Series:
     """Spark's own decode() has no GBK."""
 
