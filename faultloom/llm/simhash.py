@@ -126,6 +126,8 @@ def near_links(nodes: DataFrame, *, radius: int = RADIUS, max_bucket: int = MAX_
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "simhash-links")
+    # With radius open bits or fewer a pair may differ in every block; such buckets hold 2^radius values at most.
+    max_bucket = max(max_bucket, 1 << radius)
     level, ready, masks = nodes.select("fp"), [], {0: covering_masks(radius)}
     for depth in range(BITS):
         choice = F.lit(None)
