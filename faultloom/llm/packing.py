@@ -124,6 +124,17 @@ def _classes(lengths: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray
     return [np.flatnonzero(group == g) for g in np.unique(group)]
 
 
+def least_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: int = 20) -> float:
+    """A lower bound on any packing: all tokens, or all pieces as seen by a dual feasible function, which
+    counts a piece of over 1/(k+1) of a sequence as 1/k of it, one of over 2/(k+1) as 2/k, and so on."""
+    share = lengths / capacity
+    bounds = [float((share * counts).sum())]
+    for k in range(1, most + 1):
+        whole, rest = np.divmod((k + 1) * lengths, capacity)
+        bounds.append(float((np.where(rest == 0, share, whole / k) * counts).sum()))
+    return max(bounds)
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, *, classes: int = CLASSES) -> Plan:
     """A packing of a histogram of lengths of 1..capacity. Its size depends on the number of distinct
     lengths, not on that of documents."""
@@ -182,8 +193,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, *, class
     if left[capacity]:
         emit({capacity: 1}, int(left[capacity]))
     lengths = np.flatnonzero(left)
-    total = float((lengths * left[lengths]).sum())
-    bound = made + total / capacity
+    bound = made + least_sequences(lengths, left[lengths], capacity)
     if len(lengths):
         groups = _classes(lengths, left[lengths], classes)
         mean = np.array([np.average(lengths[g], weights=left[lengths[g]]) for g in groups])
