@@ -168,12 +168,16 @@ def container_scores(page: str | None) -> dict[str, float]:
 
 
 def extract(page: str | None, path: str | None = None) -> str:
-    """The text inside containers of the path; of the best container if there is none."""
+    """The text inside containers of the path; of the best container if there is none. A page whose
+    containers hold no text gives what stands outside them."""
 
     def under(wanted: str | None) -> str:
         out: list[str] = []
         for stack, text in walk(page):
-            if wanted is not None and not any(x.path == wanted for x in stack):
+            if wanted is None:
+                if any(x.tag in CONTAINER for x in stack):
+                    continue
+            elif not any(x.path == wanted for x in stack):
                 continue
             out.append(" \n " if text is None else html.unescape(text) if "&" in text else text)
         return " ".join("".join(out).split())
@@ -181,8 +185,7 @@ def extract(page: str | None, path: str | None = None) -> str:
     found = under(path) if path else ""
     if not found:
         score = container_scores(page)
-        if score:
-            found = under(max(sorted(score), key=score.get))
+        found = under(max(sorted(score), key=score.get) if score else None)
     return found
 
 
