@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import decontaminate, langid, linededup, packing, simhash
+from faultloom.llm import decontaminate, jaccard, langid, linededup, packing
 from faultloom.llm.common import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,8 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.near_dedup(docs).select(*COLUMNS)
+    """One document of each near-duplicate group: 5-word shingle sets of a Jaccard similarity of 0.8 or more link."""
+    return jaccard.near_dedup(docs).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sequences", sequences),
 ]
 
-#: Language identification, SimHash and packing can't be expressed in SQL.
+#: Language identification, MinHash and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
