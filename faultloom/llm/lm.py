@@ -28,8 +28,6 @@ RARE = 64
 PAD = TOKENS
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
-#: Every document trains on each THIN-th of its positions, from a place that depends on the text.
-THIN = 4
 BATCH, RATE = 2048, 1.0
 #: How much larger the steps of embeddings and of within-class weights are than those of dense parameters.
 SPARSE = 20.0
@@ -173,7 +171,7 @@ def _train_task(words: list[str], start: bytes):
             for lo in range(0, batch.num_rows, 64):
                 docs = [vocabulary.ids(t.as_py()) for t in batch.column(0).slice(lo, 64)]
                 stream, starts = padded(docs)
-                chosen = [s + np.arange((int(d.sum()) + len(d)) % THIN, len(d), THIN) for s, d in zip(starts, docs, strict=True)]
+                chosen = [s + np.arange(len(d)) for s, d in zip(starts, docs, strict=True)]
                 at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
                 at = np.random.default_rng(len(at)).permutation(at)
                 for a in range(0, len(at), BATCH):

@@ -3,7 +3,9 @@
 import itertools
 import random
 
-from faultloom.llm import jaccard
+import numpy as np
+
+from faultloom.llm import jaccard, lm
 
 
 def _reaches(edges, nodes):
@@ -53,3 +55,12 @@ def test_pipeline_near_copies_of_a_large_bucket(spark):
     rows = [(i, " ".join(words[5 * i : 5 * i + 104])) for i in range(90)]
     got = {r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+def test_op6_trains_on_every_position(spark):
+    """The weight of a trained network is the number of its targets; short documents have some too."""
+    texts = ["a", "a b", "a b c", " ".join("abcdefghij"), "", None]
+    start = lm.WindowNetwork.start(np.ones(lm.TOKENS)).to_bytes()
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    nets = docs.mapInArrow(lm._train_task(["a", "b", "c"], start), lm.NET)
+    assert sum(r["n"] for r in nets.select("n").collect()) == 1 + 2 + 3 + 10
