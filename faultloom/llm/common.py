@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zlib
 from functools import reduce
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +40,16 @@ class Scratch:
     """Tables written to the shared folder to cut lineage or to be read more than once.
 
     A written table survives the loss of any executor. What a result still reads stays until the
-    session's JVM ends; ``drop`` removes a table that is no longer needed.
+    session's JVM ends, or until ``drop_scratch`` is called; ``drop`` removes a table that is no longer needed.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._delete_on_exit()
+        Scratch.made.append(self)
 
     def _fs(self, path: str):
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
@@ -70,6 +73,13 @@ class Scratch:
         fs.delete(p, True)
 
 
+def drop_scratch() -> None:
+    """Delete all scratch tables of this process, for long sessions; results not yet written can't be read any more."""
+    while Scratch.made:
+        fs, p = (scratch := Scratch.made.pop())._fs(scratch.root)
+        fs.delete(p, True)
+
+
 def crc_fold(column: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column
@@ -92,5 +102,19 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def remove_local(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, *, by: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """rows left-joined with lookup, which has each key once, without a task that gets all rows of a hot key.
+
+    Keys of over a quarter of a partition's share of rows are split by a hash of ``by``, with as many copies of
+    their lookup row. There are fewer of them than four times the partitions, so they are broadcast.
+    counts: (key, n), if the caller has it. Keys aren't null; a row whose key lookup lacks gets nulls.
+    """
+    spark = rows.sparkSession
+    counts = counts if counts is not None else rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(1, -(-total // (4 * shuffle_partitions(spark))))
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).alias("__copies")))
+    copies = F.coalesce("__copies", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__copy", F.pmod(F.xxhash64(*by), copies)).drop("__copies")
+    copied = lookup.join(hot, key, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("__copies")
+    return dealt.join(copied, [key, "__copy"], "left").drop("__copy")
