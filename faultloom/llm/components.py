@@ -20,6 +20,8 @@ def connected_components(edges: DataFrame, *, a: str = "a", b: str = "b") -> Dat
     scratch = Scratch(edges.sparkSession, "components")
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, last = scratch.save(now, "0"), None
+    if now.isEmpty():
+        return now.toDF("node", "root")
     for i in range(1, MAX_ROUNDS):
         both = now.union(now.select(F.col("v"), F.col("u"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))

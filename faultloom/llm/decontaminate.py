@@ -3,7 +3,8 @@
 A test item of m characters may be found with up to k = rate * m edits. It is cut into k + 1 pieces, one of
 which any such occurrence holds unchanged; an Aho-Corasick automaton finds all exact piece hits in one
 pass. A hit is verified from the bottom up: joined with its neighbours into ever larger parts of p pieces,
-each of which must be within p - 1 edits (Myers' bit-parallel distance), up to the whole item.
+each of which must be within p - 1 edits (Myers' bit-parallel distance), up to the whole item. Items too short
+to prove anything inside a sentence must be a whole line.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import union_all
+from .bloom import without
+from .common import Scratch, union_all
 
 EDIT_RATE = 0.1
-#: Shorter items (in normalised characters) are too common to prove anything and only match exactly.
+#: Shorter items (in normalised characters) only match a whole line: "no" is in every text.
 MIN_CHARS = 20
 #: Characters of test items that one automaton holds; more items are matched in blocks.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
+#: A piece of more items than this is looked up together with what must stand beside it.
+MANY = 16
 
 
 class _Letters(dict):
@@ -78,32 +82,71 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
         self.items: list[tuple[int, str, list[tuple[int, int]]]] = []
+        self.lines: dict[str, list[int]] = {}
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normalise(text)
             if not t:
                 continue
-            k = int(rate * len(t)) if len(t) >= min_chars else 0
-            spans = cut(len(t), k + 1)
+            if len(t) < min_chars:
+                self.lines.setdefault(t, []).append(item_id)
+                continue
+            spans = cut(len(t), int(rate * len(t)) + 1)
             for j, (a, b) in enumerate(spans):
                 where.setdefault(t[a:b], []).append((len(self.items), j))
             self.items.append((item_id, t, spans))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
-            self.automaton.add_word(piece, (len(piece), places))
+            self.automaton.add_word(piece, (len(piece), *self._grouped(places)))
         if where:
             self.automaton.make_automaton()
 
+    def _path(self, item: int, piece: int) -> list[tuple[int, int]]:
+        """The parts from the whole item down to the piece."""
+        lo, hi = 0, len(self.items[item][2])
+        parts = [(lo, hi)]
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if piece < mid else (mid, hi)
+            parts.append((lo, hi))
+        return parts
+
+    def _grouped(self, places: list[tuple[int, int]]) -> tuple[list, dict]:
+        """(places to verify at every hit, {(distance, length): {text: places}}).
+
+        In a part of two pieces with one edit, half of the other piece stands unchanged beside the hit, two
+        places off at most: a piece that many items share is verified only for items whose half does.
+        """
+        if len(places) <= MANY:
+            return places, {}
+        always, beside = [], {}
+        for item, piece in places:
+            _, t, spans = self.items[item]
+            parts = self._path(item, piece)
+            if len(parts) < 2 or parts[-2][1] - parts[-2][0] != 2:
+                always.append((item, piece))
+                continue
+            a, b = spans[parts[-2][0] + (piece == parts[-2][0])]
+            mid = (a + b) // 2
+            for x, y in ((a, mid), (mid, b)):
+                beside.setdefault((x - spans[piece][0], y - x), {}).setdefault(t[x:y], []).append((item, piece))
+        return always, beside
+
+    @staticmethod
+    def _near(at: int, text: str, always: list, beside: dict) -> list[tuple[int, int]]:
+        if not beside:
+            return always
+        found = dict.fromkeys(always)
+        for (far, n), texts in beside.items():
+            for start in range(max(0, at + far - 2), at + far + 3):
+                found.update(dict.fromkeys(texts.get(text[start : start + n], ())))
+        return list(found)
+
     def _verify(self, item: int, piece: int, at: int, text: str) -> tuple[int, int, int] | None:
         """(distance, start, end) of the item around a piece that begins at ``at``; start is that of the
         window that was searched."""
         _, t, spans = self.items[item]
-        parts = [(0, len(spans))]
-        lo, hi = 0, len(spans)
-        while hi - lo > 1:  # the path from the whole item down to the piece
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if piece < mid else (mid, hi)
-            parts.append((lo, hi))
+        parts = self._path(item, piece)
         found = (0, at, at + spans[piece][1] - spans[piece][0])
         for lo, hi in reversed(parts):
             budget = hi - lo - 1
@@ -136,16 +179,27 @@ class Matcher:
                 return True
         return False
 
+    def _whole_lines(self, text: str) -> dict[int, tuple[int, int, int]]:
+        found: dict[int, tuple[int, int, int]] = {}
+        at = 0
+        for line in text.split("\n") if self.lines else ():
+            t = normalise(line)
+            for item_id in self.lines.get(t, ()):
+                found.setdefault(item_id, (0, at, at + len(t)))
+            at += len(t) + bool(t)
+        return found
+
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) for each item found: its best occurrence in normalised text."""
         t = normalise(text)
-        if not t or not self.items:
+        if not t:
             return []
+        short = [(i, *found) for i, found in self._whole_lines(text or "").items()]
         best: dict[int, tuple[int, int, int]] = {}
         tried: dict[int, set[int]] = {}
-        for end, (n, places) in self.automaton.iter(t):
+        for end, (n, always, beside) in self.automaton.iter(t) if self.items else ():
             at = end - n + 1
-            for item, piece in places:
+            for item, piece in self._near(at, t, always, beside):
                 if item in best and best[item][0] == 0:
                     continue
                 # Pieces of one occurrence lie on nearly the same diagonal; a verified one isn't tried again.
@@ -156,20 +210,7 @@ class Matcher:
                     tried[item].add(diagonal)
                     if item not in best or found < best[item]:
                         best[item] = found
-        return sorted((self.items[i][0], *found) for i, found in best.items())
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[list[tuple[int, str]]]:
-    """The test items in blocks of at most ``limit`` characters (one item at least)."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t is not null").distinct().orderBy("i", "t").toLocalIterator():
-        if blocks[-1] and size + len(r["t"]) > limit:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["t"]))
-        size += len(r["t"])
-    return blocks
+        return sorted([*short, *((self.items[i][0], *found) for i, found in best.items())])
 
 
 def leaks(
@@ -178,15 +219,23 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the test items that occur in each document.
 
-    Distances and places refer to normalised text (lower-case words with single spaces). Null and empty
-    texts and items match nothing; items without a letter or digit neither. Repeated rows repeat.
-    Documents are read once for each block of test items; a task holds one block at a time.
+    Distances and places refer to normalised text (lower-case words with single spaces). An item of fewer than
+    ``min_chars`` normalised characters only matches a whole line. Null and empty texts and items match
+    nothing; items without a letter or digit neither. Items of equal text are all reported; of equally near
+    occurrences of one item the first is. Repeated rows and null ids are reported row by row; texts are searched
+    whole. docs' other columns aren't carried, so none can clash.
+    Documents are read once for each block of test items. Driver and tasks hold one block of about
+    ``block_chars`` characters (or one item) at a time.
     """
     schema = "doc_id long, item_id long, distance int, start long, end long"
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    items = Scratch(docs.sparkSession, "benchmark").save(items.distinct(), "items")
+    blocks = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
 
-    def over(items: list[tuple[int, str]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # at most block_chars characters
+    def over(block: int) -> DataFrame:
+        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t")
+        shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in mine.collect()])  # about block_chars characters
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate, min_chars)
@@ -199,11 +248,10 @@ def leaks(
 
         return picked.mapInArrow(run, schema)
 
-    return union_all([over(items) for items in _blocks(benchmark, item_id, item_text, block_chars)])
+    return union_all([over(block) for block in range(blocks)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without those that hold a test item. Rows without an id are judged one by one as well: a null
-    id is dropped if any row without an id holds one."""
-    bad = leaks(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without those that hold a test item; all columns pass. Rows without an id share their fate: all are
+    dropped if one of them holds an item. An empty table, or an empty benchmark, drops nothing."""
+    return without(docs, leaks(docs, benchmark, doc_id=doc_id, **options).select("doc_id"), F.col(doc_id).cast("long"))

@@ -330,6 +330,7 @@ def vote(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame
 
     counted = pages.select(host_of(F.col(url)).alias("host"), F.col(page).cast("string").alias("page")).mapInArrow(run, VOTES)
     counted = counted.groupBy("host", "path").agg(*[f(c).alias(c) for f, c in ((F.min, "depth"), (F.min, "tag"), (F.sum, "votes"), (F.sum, "own"))])
+    counted = Scratch(pages.sparkSession, "votes").save(counted, "votes")
     total = counted.where(F.col("path") == ROOT).select("host", F.col("votes").alias("total"))
     leading = counted.join(total, "host").where(F.col("votes") >= F.least(F.lit(ARTICLE), F.lit(WHOLE)) * F.col("total"))
     rows = F.collect_list(F.struct("depth", "path", "tag", "votes", "own"))

@@ -1,9 +1,11 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, an exact check decides.
-
-Texts with equal shingle sets are one node. A pair at the threshold of 0.8 shares none of the 40 bands of 5
-with a chance of (1 - 0.8^5)^40 = 1.3e-7, a more similar pair with less. A band's nodes are never paired with
-each other all at once: a few centres of each bucket are compared with the rest, and buckets whose nodes
-are linked by then are done.
+"""Near duplicates by the Jaccard similarity of word shingles: hash tables propose pairs, an exact check decides.
+
+Texts with equal shingle sets are one node. Two kinds of tables propose pairs: the covering tables of the
+nodes' SimHash fingerprints (all within the radius), and MinHash bands for what is further apart. A pair at
+the threshold of 0.8 shares none of the 40 bands of 5 with a chance of (1 - 0.8^5)^40 = 1.3e-7, a more similar
+pair with less; it differs in about 10 bits of its fingerprints, out of reach of any covering tables of
+a size that can be built. A band's nodes are never paired with each other all at once: a few centres of
+each bucket are compared with the rest, and buckets whose nodes are linked by then are done.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .bloom import Bloom
+from .common import Scratch, spread_join
 from .components import connected_components
+from .simhash import RADIUS, majority
+from .simhash import near_links as covering_links
 
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
 BANDS, ROWS = 40, 5
@@ -61,22 +66,24 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text, key, size, bands): key stands for the shingle set."""
+    """(doc_id, text, key, size, fp, bands): key stands for the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, values = [], [], [np.zeros(0, np.uint64)]
+            keys, sizes, fps, values = [], [], [], [np.zeros(0, np.uint64)]
             for t in batch.column(1):
                 h = shingles(t.as_py(), shingle)
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
+                fps.append(majority(h))
                 values.append(bands(h))
             lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, np.concatenate(values).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "key", "size", "bands"])
+            key, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps))
+            columns = [batch.column(0), batch.column(1), key, pa.array(sizes, pa.int64()), fp, lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "key", "size", "fp", "bands"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, text string, key long, size long, bands array<long>")
+    return picked.mapInArrow(run, "doc_id long, text string, key long, size long, fp long, bands array<long>")
 
 
 def _similar(threshold: float, shingle: int):
@@ -96,62 +103,84 @@ def _similar(threshold: float, shingle: int):
     return run
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame | None:
-    """(node, root): the components of the keys that reach the threshold, or None if no pair does.
+def reach(links: DataFrame) -> DataFrame:
+    """(node, label): for each node of a link one that it reaches, the least within two steps and the steps from there."""
+    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
+    least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
+    onward = least.toDF("label", "further")
+    return least.join(onward, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+
 
-    nodes: distinct (key, size, value), one row for each band. texts: (key, text) of the keys that share one.
-    A centre leaves its bucket when all others there are compared with it or linked to it, so this ends.
+def near_links(
+    nodes: DataFrame, texts: DataFrame, proposed: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD
+) -> DataFrame:
+    """(a, b): links that connect all keys that reach the threshold and share a bucket or are proposed.
+
+    nodes: (key, size, value), one row for each bucket. texts: (key, text). proposed: (a, b), pairs to be checked
+    first. A centre leaves its bucket when all others there are compared with it or linked to it, so this ends.
     """
     scratch = Scratch(nodes.sparkSession, "jaccard-links")
-    live, links, roots, centres = nodes.withColumn("root", F.col("key")), None, None, 1
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        told = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        return scratch.save(told.mapInArrow(_similar(threshold, shingle), "a long, b long"), name)
+
+    links, live, centres = checked(proposed, "proposed"), nodes, 1
     for i in range(64):
+        labels = scratch.save(reach(links), f"labels{i}")
+        live = live.join(labels, F.col("key") == F.col("node"), "left").select("key", "size", "value", F.coalesce("label", "key").alias("root"))
+        open_ = live.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
+        live = scratch.save(live.join(open_, "value", "left_semi"), f"live{i}")
+        if live.isEmpty():
+            return links
         slot = F.pmod(F.xxhash64("key", F.lit(i)), F.lit(centres))
         heads = live.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("key", "size", "root")).alias("c"))
         heads = scratch.save(heads.select("value", "c"), f"heads{i}")
         near = F.least("size", "c.size") >= F.lit(threshold) * F.greatest("size", "c.size")
-        pairs = live.join(heads, "value").where((F.col("root") != F.col("c.root")) & near)
-        pairs = pairs.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
-        told = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        new = scratch.save(told.mapInArrow(_similar(threshold, shingle), "a long, b long"), f"links{i}")
-        live = live.join(heads.select("value", F.col("c.key").alias("key")), ["value", "key"], "left_anti")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = scratch.save(connected_components(links).toDF("node", "root"), f"roots{i}")
-            live = live.drop("root").join(roots, F.col("key") == F.col("node"), "left")
-            live = live.select("key", "size", "value", F.coalesce("root", "key").alias("root"))
-        open_ = live.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
-        live = scratch.save(live.join(open_, "value", "left_semi").select("key", "size", "value", "root"), f"live{i}")
-        if live.isEmpty():
-            return roots
+        met = live.join(heads, "value").where((F.col("root") != F.col("c.root")) & near)
+        pairs = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+        links = links.union(checked(pairs, f"links{i}"))
+        live = live.join(heads.select("value", F.col("c.key").alias("key")), ["value", "key"], "left_anti").select("key", "size", "value")
         centres *= MORE_CENTRES
     raise RuntimeError("buckets did not settle")
 
 
 def near_components(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, radius: int = RADIUS
 ) -> DataFrame:
-    """(doc_id, key, component_id) for each row, as ``simhash.near_components`` but by Jaccard similarity."""
+    """(doc_id, key, component_id) for each row, as ``simhash.near_components`` but by Jaccard similarity.
+
+    Texts without a word are equal to each other and to nothing else; one of fewer words than a shingle is a
+    shingle of its own.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed = scratch.save(signatures(docs, text=text, doc_id=doc_id, shingle=shingle), "signed")
-    nodes = scratch.save(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    first = [F.first(c).alias(c) for c in ("size", "fp", "bands")]
+    nodes = scratch.save(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *first), "nodes")
     rows = nodes.select("key", "size", F.explode("bands").alias("value"))
-    shared = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-    rows = scratch.save(rows.join(shared, "value", "left_semi").select("key", "size", "value").distinct(), "rows")
-    texts = signed.select("key", "text").join(rows.select("key").distinct(), "key", "left_semi")
+    shared = scratch.save(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "shared")
+    may = Bloom.of(shared.select(F.xxhash64("value").alias("h"))).may_hold(docs, F.xxhash64("value"))
+    rows = scratch.save(rows.where(may).distinct(), "rows")  # a value that isn't shared after all is a bucket of one
+
+    by_fp = nodes.select("fp", "key")
+    heads = scratch.save(by_fp.groupBy("fp").agg(F.min("key").alias("head")), "heads")
+    edges = covering_links(heads, radius=radius)
+    proposed = edges.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = by_fp.join(heads, "fp").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    proposed = scratch.save(proposed.union(equal).distinct(), "proposed")
+
+    keys = rows.select("key").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    keys = scratch.save(keys, "keys")
+    may = Bloom.of(keys.select(F.xxhash64("key").alias("h"))).may_hold(docs, F.xxhash64("key"))
+    texts = signed.select("key", "text").where(may).join(keys, "key", "left_semi")
     texts = scratch.save(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")  # the texts of one key have the same shingles
-    roots = near_links(rows, texts, shingle=shingle, threshold=threshold)
-    rooted = nodes.select("key", "rep").withColumn("root", F.col("key"))
-    if roots is not None:
-        rooted = nodes.select("key", "rep").join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    links = near_links(rows, texts, proposed, shingle=shingle, threshold=threshold)
+
+    labels = scratch.save(reach(links), "labels")
+    across = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").where("x <> y").select("x", "y")
+    roots = connected_components(across, a="x", b="y").toDF("label", "root")
+    roots = labels.join(roots, "label", "left").select(F.col("node").alias("key"), F.coalesce("root", "label").alias("root"))
+    rooted = scratch.save(nodes.select("key", "rep").join(roots, "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = scratch.save(rooted.join(least, "root").select("key", "component_id"), "named")
-    return signed.select("doc_id", "key").join(named, "key").select("doc_id", "key", "component_id")
-
-
-def near_dedup(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD
-) -> DataFrame:
-    """docs with one row of each component; ids are treated as by ``simhash.near_dedup``."""
-    ids = near_components(docs, text=text, doc_id=doc_id, shingle=shingle, threshold=threshold)
-    keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    return spread_join(signed.select("doc_id", "key"), named, "key", by=["doc_id"], counts=nodes.select("key", "n")).select("doc_id", "key", "component_id")

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ DIMENSIONS = 1 << 13
 SAMPLE_ROWS = 2400
 CHUNK = 1 << 18
 UNDETERMINED = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS, NUMBERS = re.compile(r"[\W\d_]+"), regex.compile(r"[\p{No}\p{Nl}]+")  # re takes "½" and "Ⅷ" for letters
+#: Below this score ``accepted`` rejects a language.
+MIN_SCORE = 0.3
 
 #: Families of languages by their usual codes. A language not listed is a family of its own.
 FAMILIES = {
@@ -48,7 +51,10 @@ def family_of(lang: str) -> str:
 
 def vector(text: str | None) -> np.ndarray | None:
     """The unit vector of the square roots of n-gram counts; None if the text has no letter."""
-    words = NOT_LETTERS.sub(" ", text or "").strip().lower()
+    words = NOT_LETTERS.sub(" ", text or "")
+    if not words.isascii():
+        words = NUMBERS.sub(" ", words)
+    words = words.strip().lower()
     if not words:
         return None
     counts = np.zeros(DIMENSIONS)
@@ -68,14 +74,27 @@ def vector(text: str | None) -> np.ndarray | None:
     return v / np.sqrt((v * v).sum())
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, *, rounds: int = 1500, lam: float = 1e-4, seed: int = 0) -> np.ndarray:
+class Sparse:
+    """Rows by their non-zero places: a dense matrix of all would fill the driver."""
+
+    def __init__(self, places: list[bytes], values: list[bytes]) -> None:
+        self.at, self.values = [np.frombuffer(p, np.uint16) for p in places], [np.frombuffer(v, np.float32) for v in values]
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), DIMENSIONS), np.float32)
+        for i, r in enumerate(rows):
+            out[i, self.at[r]] = self.values[r]
+        return out
+
+
+def train_svm(x: Sparse, y: np.ndarray, *, rounds: int = 1500, lam: float = 1e-4, seed: int = 0) -> np.ndarray:
     """Weights and, last, the bias of a hinge-loss machine, by averaged subgradient steps.
 
     y: +1 or -1, or 0 for rows that take no part. Both classes weigh the same, whatever their numbers.
     """
     rng = np.random.default_rng(seed)
     sides = [np.flatnonzero(y > 0), np.flatnonzero(y < 0)]
-    w, mean = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    w, mean = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for t in range(1, rounds + 1):
         at = np.concatenate([rng.choice(s, 32) for s in sides])
         xb, yb = x[at], y[at]
@@ -170,16 +189,14 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id
     if not found:
         return LanguageModel([])
     found.sort(key=lambda r: (r["l"], bytes(r["at"]), bytes(r["v"])))  # the same model in any order of rows
-    x, y = np.zeros((len(found), DIMENSIONS), np.float32), np.array([r["l"] for r in found])
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["v"], np.float32)
+    x, y = Sparse([bytes(r["at"]) for r in found], [bytes(r["v"]) for r in found]), np.array([r["l"] for r in found])
     del found
     languages = sorted(set(y.tolist()))
     family = np.array([family_of(k) for k in y])
     families = sorted(set(family.tolist()))
     model = LanguageModel(languages, families)
     if len(families) == 1:
-        model.family_weights = np.zeros((1, x.shape[1] + 1))
+        model.family_weights = np.zeros((1, DIMENSIONS + 1))
     else:
         model.family_weights = np.stack([train_svm(x, np.where(family == f, 1.0, -1.0)) for f in families])
     for f in families:
@@ -191,7 +208,8 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", doc_id
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. Null texts and texts without a letter are ``und`` with score 0."""
+    """docs with lang_pred and score. Null texts and texts without a letter are ``und`` with score 0, as is every
+    text if the model knows no language."""
     languages = model
 
     @F.pandas_udf("lang_pred string, score double")
@@ -199,13 +217,25 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Dat
         for texts in batches:
             yield pd.DataFrame([languages.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     out = docs.select(*own, run(F.col(text).cast("string")).alias("__lang"))
     return out.select(*own, "__lang.lang_pred", "__lang.score")
 
 
 def identify(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held: int = 2) -> DataFrame:
-    """docs with held_out, lang_pred and score; rows whose id's crc32 falls in the held fold teach nothing."""
+    """docs with held_out, lang_pred and score; rows whose id's crc32 falls in the held fold teach nothing.
+
+    A null id counts as the empty text in the fold. Texts are read whole, however long. Equal texts get equal
+    results; repeated rows teach as often as they occur. Ties: see ``LanguageModel.predict``. An empty table
+    gives an empty one. Other columns pass; those named held_out, lang_pred or score (in any case) are replaced.
+    """
     out = crc_fold(doc_id, folds) == held
     model = train(docs.where(~out), text=text, lang=lang, doc_id=doc_id)
-    return predict(docs, model, text=text).withColumn("held_out", out)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "held_out"])
+    return predict(kept, model, text=text).withColumn("held_out", out)
+
+
+def accepted(identified: DataFrame, *, text: str = "text", least: float = MIN_SCORE) -> DataFrame:
+    """The rows whose language ``identify`` found with a score of ``least`` or more. Where no language could be
+    learned, those with a letter."""
+    return identified.where((F.col("score") >= least) | (F.col("score") == 0) & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))

@@ -1,10 +1,10 @@
 """Line deduplication over a sharded minimal perfect hash.
 
-Distinct line hashes that reach the document threshold are indexed, shard by shard: a minimal perfect
-hash gives each a slot in arrays of fingerprints, document counts and keepers. Documents send the
-hashes of their lines (never the lines) to the shards and get back those to drop. A shard is bounded
-in keys; a shard that a hot line overloads is copied to as many groups as its probes need, so no
-group grows with the number of documents.
+All distinct line hashes are indexed, shard by shard: a minimal perfect hash gives each a slot in arrays of
+fingerprints and document counts; lines that enough documents share have a keeper as well. Documents send the
+hashes of their lines (never the lines) to the shards, whose arrays tell which to drop. A shard is bounded in
+keys; one that gets more than GROUP_PROBES hashes is copied to as many groups as they need, so no group grows
+with the number of documents or lines. Texts are exchanged only of documents that may lose a line.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom
 from .common import ASCII_SPACE, Scratch, lower_ascii, shuffle_partitions
 from .mph import Mph
 
@@ -34,29 +35,32 @@ def _hashes(text: Column, min_chars: int) -> Column:
     )
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+def _build(pdf: pd.DataFrame, min_docs: int) -> pd.DataFrame:
     keys = pdf["h"].to_numpy(np.int64).view(np.uint64)
+    load = int(pdf["n"].sum())
     # Two lines whose 64-bit hashes are equal can't share a slot: the first fingerprint has it.
     _, first = np.unique(keys, return_index=True)
     pdf, keys = pdf.iloc[first], keys[first]
     mph = Mph.build(keys)
     slot = mph.index(keys)
 
-    def placed(values: np.ndarray) -> bytes:
+    def placed(values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(values), values.dtype)
         out[slot] = values
-        return out.tobytes()
+        return out
 
+    counts = placed(np.minimum(pdf["n"].to_numpy(np.int64), 2**32 - 1).astype(np.uint32))
+    shared = counts >= min_docs  # only these have a keeper, in the order of their slots
     keeper = pdf["keeper"]
     return pd.DataFrame(
         {
             "shard": [pdf["shard"].iloc[0]],
             "mph": [mph.to_bytes()],
-            "fps": [placed(pdf["fp"].to_numpy(np.int64))],
-            "counts": [placed(np.minimum(pdf["n"].to_numpy(np.int64), 2**32 - 1).astype(np.uint32))],
-            "keepers": [placed(keeper.fillna(0).to_numpy(np.int64))],
-            "no_keeper": [placed(keeper.isna().to_numpy(np.uint8))],
-            "load": [int(pdf["n"].sum())],
+            "fps": [placed(pdf["fp"].to_numpy(np.int64)).tobytes()],
+            "counts": [counts.tobytes()],
+            "keepers": [placed(keeper.fillna(0).to_numpy(np.int64))[shared].tobytes()],
+            "no_keeper": [placed(keeper.isna().to_numpy(np.uint8))[shared].tobytes()],
+            "load": [load],
         }
     )
 
@@ -68,40 +72,40 @@ def _probe(probes: pd.DataFrame, index: pd.DataFrame, min_docs: int) -> pd.DataF
     if not len(probes) or not len(index):
         return pd.DataFrame({"id": pd.Series(dtype="Int64"), "h": pd.Series(dtype="int64")})
     row = index.iloc[0]
-    mph = Mph.from_bytes(row["mph"])
-    slot = mph.index(probes["h"].to_numpy(np.int64).view(np.uint64))
+    slot = Mph.from_bytes(row["mph"]).index(probes["h"].to_numpy(np.int64).view(np.uint64))
     at = np.maximum(slot, 0)
+    counts = np.frombuffer(row["counts"], np.uint32)
+    hit = (slot >= 0) & (np.frombuffer(row["fps"], np.int64)[at] == probes["fp"].to_numpy(np.int64)) & (counts[at] >= min_docs)
+    probes, rank = probes[hit], np.cumsum(counts >= min_docs)[at[hit]] - 1
     ids = probes["id"].astype("Int64")
-    hit = (slot >= 0) & (np.frombuffer(row["fps"], np.int64)[at] == probes["fp"].to_numpy(np.int64))
-    hit &= np.frombuffer(row["counts"], np.uint32)[at] >= min_docs
-    keeper, none = np.frombuffer(row["keepers"], np.int64)[at], np.frombuffer(row["no_keeper"], np.uint8)[at] == 1
+    keeper, none = np.frombuffer(row["keepers"], np.int64)[rank], np.frombuffer(row["no_keeper"], np.uint8)[rank] == 1
     own = np.where(ids.isna(), none, ~none & (ids.fillna(0).to_numpy(np.int64) == keeper))
-    return pd.DataFrame({"id": ids[hit & ~own], "h": probes["h"][hit & ~own]})
+    return pd.DataFrame({"id": ids[~own], "h": probes["h"][~own]})
 
 
 def lines_to_drop(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_chars: int = 40, min_docs: int = 5
-) -> DataFrame:
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_chars: int = 40, min_docs: int = 5,
+    shard_keys: int = SHARD_KEYS, group_probes: int = GROUP_PROBES,
+) -> DataFrame:
     """(doc_id, drops): for each document that loses lines, the hashes of their keys."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "linededup")
     parts = shuffle_partitions(spark)
     probes = docs.select(F.col(doc_id).cast("long").alias("id"), F.explode(_hashes(F.col(text), min_chars)).alias("x"))
     probes = scratch.save(probes.select("id", "x.h", "x.fp"), "probes")
-    repeated = (
-        probes.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    )
-    repeated = scratch.save(repeated, "repeated")
-    shards = max(parts, -(-repeated.count() // SHARD_KEYS))
+    counted = probes.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
+    counted = scratch.save(counted, "lines")
+    shards = max(parts, -(-counted.count() // shard_keys))
     shard = F.pmod(F.col("h"), F.lit(shards)).alias("shard")
-    index = scratch.save(repeated.select("*", shard).groupBy("shard").applyInPandas(_build, INDEX_SCHEMA), "index")
-    per_group = max(1, min(GROUP_PROBES, -(-probes.count() // (2 * parts))))
-    copies = F.ceil(F.col("load") / per_group)
+    build = lambda pdf: _build(pdf, min_docs)
+    index = scratch.save(counted.select("*", shard).groupBy("shard").applyInPandas(build, INDEX_SCHEMA), "index")
+    per_group = max(1, min(group_probes, -(-probes.count() // (2 * parts))))
+    copies = F.greatest(F.ceil(F.col("load") / per_group), F.lit(1))  # the load is that of all probes of a shard
     # One row of two integers for each shard of SHARD_KEYS lines.
-    loads = index.select("shard", F.greatest(copies, F.lit(1)).alias("copies"))
+    loads = index.select("shard", copies.alias("copies"))
     sent = probes.select("*", shard).join(F.broadcast(loads) if shards <= 1_000_000 else loads, "shard")
     sent = sent.withColumn("copy", F.pmod(F.xxhash64("id", "h"), F.col("copies"))).drop("copies")
-    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(copies, F.lit(1)) - 1)))
+    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     dropped = (
         sent.groupBy("shard", "copy")
         .cogroup(index.groupBy("shard", "copy"))
@@ -119,22 +123,28 @@ def line_dedup(
     ``min_chars`` code points found in at least ``min_docs`` documents (rows) lose all their lines
     except in the largest document id that holds them; within that document every occurrence stays.
     A null or empty text is one empty line; a null id counts as smaller than all others. Repeated rows
-    count as documents of their own. Other columns pass through, whatever their names.
+    count as documents of their own. Texts are split whole, however long. An empty table gives an empty one.
+    Other columns pass through; those named n_lines or n_dropped (in any case) are replaced.
     """
+    scratch = Scratch(docs.sparkSession, "linededup-drops")
     drops = lines_to_drop(docs, text=text, doc_id=doc_id, min_chars=min_chars, min_docs=min_docs)
-    drops = drops.select(F.col(doc_id).alias("__drop_id"), F.col("drops").alias("__drops"))
-    joined = docs.join(drops, F.col(doc_id).cast("long").eqNullSafe(F.col("__drop_id")), "left")
+    drops = scratch.save(drops.select(F.col(doc_id).alias("__drop_id"), F.col("drops").alias("__drops")), "drops")
+    losing = Bloom.of(drops.select(F.xxhash64("__drop_id").alias("h")))
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    split = docs.withColumn("__lines", lines)
+    may_lose = losing.may_hold(docs, F.xxhash64(F.col(doc_id).cast("long")))
+    joined = split.where(may_lose).join(drops, F.col(doc_id).cast("long").eqNullSafe(F.col("__drop_id")), "left")
     kept = F.filter(
         F.col("__lines"),
         lambda x: ~((F.char_length(line_key(x)) >= min_chars) & F.array_contains("__drops", F.xxhash64(line_key(x)))),
     )
-    joined = joined.withColumn("__lines", lines)
     joined = joined.withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(kept))
-    own = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    return joined.select(
-        *[F.col(f"`{c}`") for c in own],
+    passed = split.where(~may_lose).withColumn("__kept", F.col("__lines"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "n_lines", "n_dropped")]
+    out = [
+        *own,
         F.array_join("__kept", "\n").alias(text),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped"),
-    )
+    ]
+    return joined.select(*out).union(passed.select(*out))

@@ -1,8 +1,8 @@
 """Media columns: content-addressed payloads in tar shards of the shared folder.
 
-Writers put each distinct payload of a task once into a tar shard, named by its SHA-256; rows carry
-digest, shard, offset and length. Metadata columns come from range reads of the stored header only;
-features come from reading a payload back. The stored form is an 8-bit grey PNG, 64 samples wide.
+Each distinct payload of a table is put once into a tar shard, named by its SHA-256; rows carry digest, shard,
+offset and length. Metadata columns come from range reads of the stored header only; features come from
+reading a payload back. The stored form is an 8-bit grey PNG, 64 samples wide.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .bloom import Bloom
+from .common import Scratch, spread_join
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -118,47 +119,67 @@ class ShardWriter:
             self.out = None
 
 
-STORED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+def payload_of(text):
+    """The UTF-8 bytes of a text column (a null is empty) with zero bytes up to a positive multiple of 64."""
+    data = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+    n = F.octet_length(data)
+    zeros = F.unhex(F.repeat(F.lit("00"), F.greatest(F.ceil(n / WIDTH), F.lit(1)).cast("int") * WIDTH - n))
+    return F.concat(data, zeros)
 
 
-def store(docs: DataFrame, root: str, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Write the payloads of all rows to tar shards under root; a null text is an empty one.
+STORED = "digest string, shard string, offset long, length long"
+
+
+def store(payloads: DataFrame, root: str) -> DataFrame:
+    """Write payloads to tar shards under root. payloads: (digest, payload), each digest once.
 
     Lazy: a caller writes the result, so that rows and shards stem from the same attempts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, there = ShardWriter(root), {}
+        writer = ShardWriter(root)
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                payload = pad(data)
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest not in there:
-                    media = png_encode(payload)
-                    there[digest] = (*writer.put(f"{digest}.png", media), len(media))
-                rows.append((i, len(data), digest, *there[digest]))
-            if len(there) > 200_000:
-                there = {}
-            names = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+            for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                media = png_encode(payload.as_py())
+                rows.append((digest, *writer.put(f"{digest}.png", media), len(media)))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "shard", "offset", "length"])
         writer.close()
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, STORED)
+    return payloads.select("digest", "payload").mapInArrow(run, STORED)
+
+
+def store_distinct(docs: DataFrame, digests: DataFrame, root: str, *, text: str = "text") -> DataFrame:
+    """Store every distinct payload of docs once. digests: (digest, n), how many rows have each.
+
+    Payloads of a single row are written where they are read. Only those that a Bloom filter of the repeated
+    digests lets through are exchanged, after each task has kept one of its copies.
+    """
+    payload = payload_of(F.col(text))
+    rows = docs.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
+    repeated = Bloom.of(digests.where("n > 1").select(F.xxhash64("digest").alias("h")))
+    may_repeat = repeated.may_hold(docs, F.xxhash64("digest"))
+    once = rows.where(may_repeat).groupBy("digest").agg(F.first("payload").alias("payload"))
+    return store(rows.where(~may_repeat), root).union(store(once, root))
 
 
+META = "width int, height int, bits int"
 READ = (
-    "digest string, width int, height int, bits int, payload_bytes long, payload_sha256 string, "
-    "tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    f"{STORED}, {META}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 )
 
 
-def read_back(index: DataFrame, root: str) -> DataFrame:
-    """Metadata and features of stored payloads. index: digest, shard, offset, length."""
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kind = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
+
+
+def _visit(index: DataFrame, root: str, schema: str, read) -> DataFrame:
+    """One row of read(source, row) for each row of the index; a shard stays open while its rows last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(root)
@@ -167,57 +188,52 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
             rows = []
             for row in batch.to_pylist():
                 if row["shard"] != name:
-                    name = row["shard"]
-                    source = files.open_input_file(f"{base}/{name}")
-                width, height, bits = png_header(source.read_at(HEADER_BYTES, row["offset"]))
-                media = source.read_at(row["length"], row["offset"])
-                payload = png_decode(media)
-                sha = hashlib.sha256(payload).hexdigest()
-                if sha != row["digest"]:
-                    raise ValueError(f"{name} at {row['offset']} doesn't hold {row['digest']}")
-                own = (width, height, bits, len(payload), sha, zlib.crc32(payload[-WIDTH:]))
-                rows.append((row["digest"], *own, len(media), hashlib.sha256(media).hexdigest(), features(payload)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            kinds += [pa.string(), pa.string()]
-            names = [x.split()[0] for x in READ.split(", ")]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return index.select("digest", "shard", "offset", "length").mapInArrow(run, READ)
+                    if source is not None:
+                        source.close()
+                    name, source = row["shard"], files.open_input_file(f"{base}/{row['shard']}")
+                rows.append(read(source, row))
+            yield _batch(rows, schema)
+
+    return index.select("digest", "shard", "offset", "length").mapInArrow(run, schema)
 
 
 def headers(index: DataFrame, root: str) -> DataFrame:
-    """(digest, width, height, bits) by range reads of the headers alone."""
+    """(digest, width, height, bits) by range reads of the headers alone: a payload's other bytes aren't read."""
+    return _visit(index, root, f"digest string, {META}", lambda source, row: (row["digest"], *png_header(source.read_at(HEADER_BYTES, row["offset"]))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = pafs.FileSystem.from_uri(root)
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                with files.open_input_file(f"{base}/{row['shard']}") as source:
-                    rows.append((row["digest"], *png_header(source.read_at(HEADER_BYTES, row["offset"]))))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "width", "height", "bits"]
-            )
 
-    return index.select("digest", "shard", "offset").mapInArrow(run, "digest string, width int, height int, bits int")
+def read_back(index: DataFrame, root: str) -> DataFrame:
+    """The index with the metadata and features of the stored payloads, each checked against its digest."""
+
+    def read(source, row: dict) -> tuple:
+        head = png_header(source.read_at(HEADER_BYTES, row["offset"]))
+        media = source.read_at(row["length"], row["offset"])
+        payload = png_decode(media)
+        sha = hashlib.sha256(payload).hexdigest()
+        if sha != row["digest"]:
+            raise ValueError(f"{row['shard']} at {row['offset']} doesn't hold {row['digest']}")
+        own = (len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(payload))
+        return (row["digest"], row["shard"], row["offset"], row["length"], *head, *own)
+
+    return _visit(index, root, READ, read)
 
 
 def media_columns(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Store all texts, read them back, and return each row with what was stored.
 
-    Columns: doc_id, n_bytes, shard, offset, length, width, height, bits and those of the payload.
-    Each digest is read back once, from one of the shards that hold it; rows of equal texts get equal
-    values. No rows give no shard.
+    Columns: doc_id, n_bytes, shard, offset, length, width, height, bits and those of the payload; docs' other
+    columns aren't carried, so none can clash. Texts are stored whole; a null or empty one is 64 zero bytes.
+    Each digest is stored and read once, so rows of equal texts get equal values, shard and offset included;
+    repeated rows and null ids get a row each. No rows give no shard. A digest that many rows share is joined
+    in several tasks.
     """
     scratch = Scratch(docs.sparkSession, "media")
     root = scratch.path("shards")
-    rows = scratch.save(store(docs, root, text=text, doc_id=doc_id), "rows")
-    place = F.min(F.struct("shard", "offset", "length")).alias("p")
-    index = rows.groupBy("digest").agg(place).select("digest", "p.shard", "p.offset", "p.length")
-    index = scratch.save(index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "index")
+    data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(payload_of(F.col(text)), 256).alias("digest"))
+    rows = scratch.save(rows, "rows")
+    digests = scratch.save(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digests")
+    index = scratch.save(store_distinct(docs, digests, root, text=text), "index")
+    index = scratch.save(index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "sorted")
     read = scratch.save(read_back(index, root), "read")
-    placed = read.join(index, "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(placed, "digest")
+    return spread_join(rows, read, "digest", by=["doc_id", "n_bytes"], counts=digests)

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .bloom import without
+from .common import Scratch, shuffle_partitions, spread_join
 from .components import connected_components
 
 BITS, RADIUS, SEED = 64, 3, 42
@@ -39,7 +40,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 if there are none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 15):
         part = h[at : at + (1 << 15)]
@@ -164,24 +169,40 @@ def near_components(
     Links join fingerprints at ``radius`` or fewer differing bits; equal fingerprints are one node, so
     copies are never paired. component_id is the smallest document id reachable, the document's own
     included. Null and empty texts have fingerprint 0, which links like any other. A null id never
-    becomes a component id unless its component has no other.
+    becomes a component id unless its component has no other. Repeated rows get a row each; texts are read
+    whole. docs' other columns aren't carried, so none can clash; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.save(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle), "fps")
-    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     links = near_links(nodes, radius=radius)
     roots = scratch.save(connected_components(links).toDF("fp", "root"), "roots")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = scratch.save(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(fps, named, "fp", by=["doc_id"], counts=nodes.select("fp", "n")).select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, ids: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component of ids (doc_id, component_id): that of its smallest document id, or
+    all rows with that id (repeated rows are one document). Rows without an id stay if their component has none."""
+    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = ids.groupBy("doc_id").agg(first.alias("first")).where("not first").select("doc_id")
+    return without(docs, gone, F.col(doc_id).cast("long"))
 
 
-def near_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of its smallest document id, or of one of its rows
-    with that id (repeated rows are one document). Rows without an id stay if their component has none.
+def near_dedup(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = RADIUS, similarity: float | None = None
+) -> DataFrame:
+    """docs with one document of each component, see ``representatives``.
+
+    With ``similarity``, links join texts of that Jaccard similarity of word shingles instead, see
+    ``jaccard.near_components``: covering tables propose pairs there, an exact check decides.
     """
-    ids = near_components(docs, text=text, doc_id=doc_id, shingle=shingle, radius=radius)
-    keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept
+    if similarity is None:
+        ids = near_components(docs, text=text, doc_id=doc_id, shingle=shingle, radius=radius)
+    else:
+        from . import jaccard
+
+        ids = jaccard.near_components(docs, text=text, doc_id=doc_id, shingle=shingle, threshold=similarity, radius=radius)
+    return representatives(docs, ids, doc_id=doc_id)

@@ -193,6 +193,7 @@ def test_media_round_trip(spark, tmp_path):
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.width * r.height == len(payload)
         assert media.png_decode(media.png_encode(payload)) == payload and r.media_sha256 == hashlib.sha256(media.png_encode(payload)).hexdigest()
     assert out.loc[1, "feature"] == out.loc[2, "feature"]
+    assert out.loc[1, "shard"] == out.loc[2, "shard"] and out.loc[1, "offset"] == out.loc[2, "offset"]
     writer = media.ShardWriter(f"file://{tmp_path}")
     name, at = writer.put("a.png", b"data")
     writer.close()
