@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultloom.llm import decontaminate, jaccard, langid, linededup, packing
+from faultloom.llm import decontaminate, langid, linededup, packing, simhash
 from faultloom.llm.common import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,9 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found. Those without a letter, whose language can't be told, go."""
-    kept = langid.identify(docs).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return kept.select(*COLUMNS)
+    """Documents in which a language is found, by the operator's own score. Those without a letter go."""
+    return langid.accepted(langid.identify(docs)).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: 5-word shingle sets of a Jaccard similarity of 0.8 or more link."""
-    return jaccard.near_dedup(docs).select(*COLUMNS)
+    return simhash.near_dedup(docs, shingle=5, similarity=0.8).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sequences", sequences),
 ]
 
-#: Language identification, MinHash and packing can't be expressed in SQL.
+#: Language identification, near duplicates and packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
