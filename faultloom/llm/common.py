@@ -6,10 +6,11 @@ import os
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 from functools import reduce
 from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What ``[\x20\x09-\x0D]`` stands for, as the argument of a trim.
@@ -36,6 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
 
 
+#: Rows that a task exchanges with Python at once.
+ROWS_AT_ONCE = 2000
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows at most for the jobs that run inside: rows of texts take much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage or to be read more than once.
 
@@ -65,7 +82,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with batches_of(self.spark, ROWS_AT_ONCE):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -102,6 +120,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def top_rows(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first n rows in order, without n rows of every partition in one place: the first n of each of 64 groups,
+    then of those."""
+    groups = Window.partitionBy(F.pmod(F.xxhash64(*rows.columns), F.lit(64))).orderBy(*order)
+    some = rows.withColumn("__rank", F.row_number().over(groups)).where(F.col("__rank") <= n)
+    every = Window.partitionBy(F.lit(0)).orderBy(*order)
+    return some.withColumn("__rank", F.row_number().over(every)).where(F.col("__rank") <= n).drop("__rank")
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, *, by: list[str], counts: DataFrame | None = None) -> DataFrame:
     """rows left-joined with lookup, which has each key once, without a task that gets all rows of a hot key.
 

@@ -10,6 +10,11 @@ from .common import Scratch
 MAX_ROUNDS = 60
 
 
+def checksum(edges: DataFrame) -> tuple:
+    """The number of edges (u, v) and a sum of their hashes that can't overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def connected_components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of an edge and the smallest node it can reach.
 
@@ -31,7 +36,7 @@ def connected_components(edges: DataFrame, *, a: str = "a", b: str = "b") -> Dat
         small = joined.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         now = scratch.save(small, str(i))
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        state = checksum(now)
         scratch.drop(str(i - 1))
         if state == last:
             break

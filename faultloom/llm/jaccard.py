@@ -1,7 +1,8 @@
 """Near duplicates by the Jaccard similarity of word shingles: hash tables propose pairs, an exact check decides.
 
 Texts with equal shingle sets are one node. Two kinds of tables propose pairs: the covering tables of the
-nodes' SimHash fingerprints (all within the radius), and MinHash bands for what is further apart. A pair at
+nodes' SimHash fingerprints (all within the radius), and MinHash bands for what is further apart. Pairs whose
+MinHash sketches rule the threshold out are dropped before texts are fetched for them. A pair at
 the threshold of 0.8 shares none of the 40 bands of 5 with a chance of (1 - 0.8^5)^40 = 1.3e-7, a more similar
 pair with less; it differs in about 10 bits of its fingerprints, out of reach of any covering tables of
 a size that can be built. A band's nodes are never paired with each other all at once: a few centres of
@@ -19,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .common import Scratch, spread_join
+from .common import Scratch, batches_of, spread_join
 from .components import connected_components
 from .simhash import RADIUS, majority
 from .simhash import near_links as covering_links
 
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
 BANDS, ROWS = 40, 5
+#: A pair whose sketches agree by less than the threshold less this is no match: six deviations of 200 values.
+SLACK = 0.17
+#: Pairs of texts that a task holds at once.
+PAIRS_AT_ONCE = 256
 #: Each round compares so many times more centres of a bucket than the last.
 MORE_CENTRES = 4
 _RNG = np.random.default_rng(SEED)
@@ -56,34 +61,49 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One value for each band of the MinHash signature."""
+def signature(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(one value for each band of the MinHash signature, one byte of each of its places)"""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     high = (hashes >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(high), 1024):
         least = np.minimum(least, (high[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0))
-    return (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64)
+    return (least.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64), (least >> np.uint32(13)).astype(np.uint8).tobytes()
+
+
+def _alike(threshold: float):
+    """The pairs whose sketches don't rule the threshold out, of rows (a, b, sketch_a, sketch_b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+            same = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            at = pa.array(np.flatnonzero(same >= threshold - SLACK))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return run
 
 
 def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text, key, size, fp, bands): key stands for the shingle set."""
+    """(doc_id, text, key, size, fp, sketch, bands): key stands for the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, fps, values = [], [], [], [np.zeros(0, np.uint64)]
+            keys, sizes, fps, sketches, values = [], [], [], [], [np.zeros(0, np.uint64)]
             for t in batch.column(1):
                 h = shingles(t.as_py(), shingle)
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 fps.append(majority(h))
-                values.append(bands(h))
+                band, sketch = signature(h)
+                values.append(band)
+                sketches.append(sketch)
             lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, np.concatenate(values).view(np.int64))
             key, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps))
-            columns = [batch.column(0), batch.column(1), key, pa.array(sizes, pa.int64()), fp, lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "key", "size", "fp", "bands"])
+            columns = [batch.column(0), batch.column(1), key, pa.array(sizes, pa.int64()), fp, pa.array(sketches, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "key", "size", "fp", "sketch", "bands"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, text string, key long, size long, fp long, bands array<long>")
+    return picked.mapInArrow(run, "doc_id long, text string, key long, size long, fp long, sketch binary, bands array<long>")
 
 
 def _similar(threshold: float, shingle: int):
@@ -112,18 +132,21 @@ def reach(links: DataFrame) -> DataFrame:
 
 
 def near_links(
-    nodes: DataFrame, texts: DataFrame, proposed: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD
+    nodes: DataFrame, sketches: DataFrame, texts: DataFrame, proposed: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(a, b): links that connect all keys that reach the threshold and share a bucket or are proposed.
 
-    nodes: (key, size, value), one row for each bucket. texts: (key, text). proposed: (a, b), pairs to be checked
+    nodes: (key, size, value), one row for each bucket. sketches: (key, sketch). texts: (key, text). proposed: (a, b), pairs to be checked
     first. A centre leaves its bucket when all others there are compared with it or linked to it, so this ends.
     """
     scratch = Scratch(nodes.sparkSession, "jaccard-links")
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        told = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return scratch.save(told.mapInArrow(_similar(threshold, shingle), "a long, b long"), name)
+        told = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        likely = scratch.save(told.mapInArrow(_alike(threshold), "a long, b long"), f"{name}-likely")
+        told = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        with batches_of(nodes.sparkSession, PAIRS_AT_ONCE):
+            return scratch.save(told.mapInArrow(_similar(threshold, shingle), "a long, b long"), name)
 
     links, live, centres = checked(proposed, "proposed"), nodes, 1
     for i in range(64):
@@ -155,7 +178,7 @@ def near_components(
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed = scratch.save(signatures(docs, text=text, doc_id=doc_id, shingle=shingle), "signed")
-    first = [F.first(c).alias(c) for c in ("size", "fp", "bands")]
+    first = [F.first(c).alias(c) for c in ("size", "fp", "sketch", "bands")]
     nodes = scratch.save(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *first), "nodes")
     rows = nodes.select("key", "size", F.explode("bands").alias("value"))
     shared = scratch.save(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "shared")
@@ -174,7 +197,7 @@ def near_components(
     may = Bloom.of(keys.select(F.xxhash64("key").alias("h"))).may_hold(docs, F.xxhash64("key"))
     texts = signed.select("key", "text").where(may).join(keys, "key", "left_semi")
     texts = scratch.save(texts.groupBy("key").agg(F.first("text").alias("text")), "texts")  # the texts of one key have the same shingles
-    links = near_links(rows, texts, proposed, shingle=shingle, threshold=threshold)
+    links = near_links(rows, nodes.select("key", "sketch"), texts, proposed, shingle=shingle, threshold=threshold)
 
     labels = scratch.save(reach(links), "labels")
     across = links.join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b").where("x <> y").select("x", "y")

@@ -52,8 +52,8 @@ def family_of(lang: str) -> str:
 def vector(text: str | None) -> np.ndarray | None:
     """The unit vector of the square roots of n-gram counts; None if the text has no letter."""
     words = NOT_LETTERS.sub(" ", text or "")
-    if not words.isascii():
-        words = NUMBERS.sub(" ", words)
+    if not words.isascii() and NUMBERS.search(words):
+        words = NOT_LETTERS.sub(" ", NUMBERS.sub(" ", words))
     words = words.strip().lower()
     if not words:
         return None

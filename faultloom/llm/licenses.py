@@ -1,10 +1,12 @@
 """Licence scans: a trained paragraph classifier, run with built-in functions only.
 
-Paragraphs (lines) become sets of word 1- and 2-grams. A multinomial logistic regression over the grams
-that tell licences apart gives each licence family, and an unknown class, a probability; the unknown class
-and a temperature are fitted on held-out examples. A prediction is confirmed if a template of the family
-is contained in the paragraph. Training runs on the driver over the templates and a bounded sample of
-corpus paragraphs; every paragraph of the corpus is then classified by one JVM-side projection.
+A paragraph is a run of lines that speak of licences, so a notice broken into short lines is read as one; a
+blank line ends it, as do two lines on without a telling word. Paragraphs become sets of word 1- and 2-grams. A
+multinomial logistic regression over the grams that tell licences apart gives each licence family, and an
+unknown class, a probability; a temperature is fitted on templates and corpus lines that took no part in the
+fit. A prediction is confirmed if a template of the family is contained in the paragraph. Training runs on the
+driver over the templates and a bounded sample of corpus lines; every paragraph of the corpus is then
+classified by one JVM-side projection.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Corpus paragraphs from which the unknown class is learned.
+#: Corpus lines, at most about, from which the unknown class is learned.
 SAMPLE_PARAGRAPHS = 2000
 CONTAINED = 0.6
 UNKNOWN = "unknown"
@@ -185,36 +187,40 @@ def train(negatives: list[str], *, templates: dict[str, list[str]] | None = None
     place = {g: i for i, g in enumerate(vocabulary)}
     classes = [*templates, UNKNOWN]
 
-    examples: list[tuple[list[str], int]] = []
-    for c, ts in enumerate(templates.values()):
-        for t in ts:
-            words = _words_py(t)
-            examples.append((words, c))
+    def examples(notices: list[tuple[list[str], int]], plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[tuple[list[str], int]] = []
+        for words, c in notices:
+            out.append((words, c))
             for _ in range(copies):
                 kept = [w for w in words if rng.random() > 0.08] or words
                 padding = _words_py(other[int(rng.integers(len(other)))])[: int(rng.integers(0, 12))]
-                examples.append((padding + kept if rng.random() < 0.5 else kept + padding, c))
-    for p in other:
-        examples.append((_words_py(p), len(templates)))
-    for p in LOOK_ALIKES:  # these are few and matter
-        examples += [(_words_py(p), len(templates))] * 10
-    for _ in range(600):  # loose words of licences don't make one
-        n = int(rng.integers(1, 4))
-        words = [vocabulary[int(i)] for i in rng.integers(0, len(vocabulary), n)]
-        examples.append((" ".join(words[:1]).split(), len(templates)))
-    x = np.zeros((len(examples), len(vocabulary)))
-    for i, (words, _) in enumerate(examples):
-        x[i, [place[g] for g in _grams_py(words) if g in place]] = 1
-    y = np.array([c for _, c in examples])
-    held = rng.random(len(y)) < 0.2
-    w, b = _fit(x[~held], y[~held], len(classes))
+                out.append((padding + kept if rng.random() < 0.5 else kept + padding, c))
+        out += [(_words_py(p), len(templates)) for p in plain]
+        for p in LOOK_ALIKES:  # these are few and matter
+            out += [(_words_py(p), len(templates))] * 10
+        for _ in range(600):  # loose words of licences don't make one
+            out.append((vocabulary[int(rng.integers(0, len(vocabulary)))].split()[:1], len(templates)))
+        x = np.zeros((len(out), len(vocabulary)))
+        for i, (words, _) in enumerate(out):
+            x[i, [place[g] for g in _grams_py(words) if g in place]] = 1
+        return x, np.array([c for _, c in out])
+
+    notices = [(_words_py(t), c, i) for c, ts in enumerate(templates.values()) for i, t in enumerate(ts)]
+    most = {c: i for _, c, i in notices}
+    # Held out: the last template of each family that has several, whole, and every fifth line of the corpus.
+    held = [(w, c) for w, c, i in notices if i and i == most[c]]
+    x, y = examples([(w, c) for w, c, i in notices if not i or i != most[c]], [p for i, p in enumerate(other) if i % 5])
+    w, b = _fit(x, y, len(classes))
+    x, y = examples(held, other[::5])
+    weight = (1 / np.maximum(np.bincount(y, minlength=len(classes)), 1))[y]
 
     def loss(temperature: float) -> float:
-        z = (x[held] @ w + b) / temperature
+        z = (x @ w + b) / temperature
         z -= z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(held.sum()), y[held]]).mean())
+        return float((weight * (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y])).mean())
 
     temperature = min(np.geomspace(0.2, 5, 60), key=loss)
+    w, b = _fit(*examples([(w, c) for w, c, _ in notices], other), len(classes))
     return LicenceModel(classes, vocabulary, sorted(rare), w, b, float(temperature))
 
 
@@ -229,10 +235,32 @@ def _let(value: Column, body) -> Column:
 
 
 def sample_paragraphs(docs: DataFrame, *, text: str = "text", rows: int = SAMPLE_PARAGRAPHS) -> list[str]:
-    """At most ``rows`` paragraphs: those whose hashes are smallest."""
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("p")).where("length(p) between 12 and 2000")
-    chosen = lines.select("p", F.xxhash64("p", F.lit(11)).alias("h")).where(F.col("h") < -(1 << 63) + (1 << 64) // 8)
-    return [r["p"] for r in chosen.distinct().orderBy("h", "p").limit(rows).collect()]
+    """About ``rows`` distinct lines at most, chosen by hash; equal lines count once, so a hot one can't fill it."""
+    lines = F.split(F.col(text).cast("string"), "\n")
+    total = docs.agg(F.sum(F.size(lines))).first()[0] or 0
+    share = min(1.0, rows / max(1, total))
+    taken = docs.select(F.explode(lines).alias("p")).where(F.pmod(F.xxhash64("p", F.lit(11)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return sorted(r["p"] for r in taken.where("trim(p) <> ''").distinct().collect())
+
+
+#: Marks inside a joined text: after a telling line's number, before a plain line, in place of a blank one.
+TOLD, PLAIN, BLANK = "\x01", "\x02", "\x03"
+
+
+def _runs(text: Column, rare: Column) -> Column:
+    """The paragraphs of a text as "number of the first line, TOLD, lines": runs of lines with a telling word, also
+    across one line without. A line's marks of its own are taken for spaces."""
+    clean = F.translate(text, TOLD + PLAIN + BLANK, "   ")
+
+    def mark(line: Column, i: Column) -> Column:
+        told = F.concat(i.cast("string"), F.lit(TOLD), line)
+        return F.when(F.arrays_overlap(_words(line), rare), told).when(F.trim(line) == "", F.lit(BLANK)).otherwise(F.concat(F.lit(PLAIN), line))
+
+    marked = F.array_join(F.transform(F.split(clean, "\n", -1), mark), "\n")
+    gap = f"{BLANK}|(?:{PLAIN}[^\n]*(?:\n|$)){{2,}}"
+    parts = F.filter(F.split(marked, gap), lambda x: F.contains(x, F.lit(TOLD)))
+    edges = f"^\\n*(?:{PLAIN}[^\n]*\n)*\\n*|(?:\n{PLAIN}[^\n]*)*\\n*$"
+    return F.transform(parts, lambda x: F.regexp_replace(x, edges, ""))
 
 
 def scan(docs: DataFrame, model: LicenceModel, *, text: str = "text", doc_id: str = "doc_id", contained: float = CONTAINED,
@@ -240,10 +268,11 @@ def scan(docs: DataFrame, model: LicenceModel, *, text: str = "text", doc_id: st
     """(doc_id, paragraph, family, probability, similarity, confirmed), one row for each paragraph whose
     most probable class is a licence family.
 
-    ``paragraph`` counts lines from 0. ``similarity`` is the largest share of a family's template's
-    3-grams that the paragraph contains. A paragraph without any gram of the model is of the unknown
-    class, so it is passed over unscored, without changing a result. Null and empty texts have no row;
-    ties of classes go to the one listed first.
+    ``paragraph`` is the number of its first line, from 0. ``similarity`` is the largest share of a family's
+    template's 3-grams that the paragraph contains. A line without a telling word is of the unknown class by
+    itself, so it is passed over unscored. Null and empty texts have no row; texts are read whole. Ties of
+    classes go to the one listed first. Repeated rows and null ids are reported row by row. docs' other columns
+    aren't carried, so none can clash; an empty table gives an empty one.
     """
     templates = templates or TEMPLATES
     k = len(model.classes)
@@ -290,13 +319,13 @@ def scan(docs: DataFrame, model: LicenceModel, *, text: str = "text", doc_id: st
             )
             return F.when(best < k, fields)
 
-        scored = _let(places(words), lambda at: _let(_let(logits(at), chosen), licence))
-        return F.when(F.arrays_overlap(words, _literal(model.rare)), scored)
+        return _let(places(words), lambda at: _let(_let(logits(at), chosen), licence))
 
     # All in one generator: a filter above a projection would be pushed below it, with the word array
     # written out again inside every lambda that names it.
-    lines = F.split(F.col(text).cast("string"), "\n", -1)
-    each = F.transform(lines, lambda line, i: _let(_words(line), lambda words: found(words, i)))
+    runs = _runs(F.col(text).cast("string"), _literal(model.rare))
+    lines = lambda run: F.regexp_replace(run, f"(?:\\d+{TOLD})|{PLAIN}", "")
+    each = F.transform(runs, lambda run: _let(_words(lines(run)), lambda words: found(words, F.substring_index(run, TOLD, 1))))
     hits = F.filter(each, lambda x: x.isNotNull())
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode_outer(hits).alias("hit")).where("hit is not null")
     return out.select("doc_id", "hit.*", (F.col("hit.similarity") >= contained).alias("confirmed"))

@@ -83,6 +83,16 @@ def _probe(probes: pd.DataFrame, index: pd.DataFrame, min_docs: int) -> pd.DataF
     return pd.DataFrame({"id": ids[~own], "h": probes["h"][~own]})
 
 
+def dealt(probes: DataFrame, index: DataFrame, per_group: int, *, small: bool) -> tuple[DataFrame, DataFrame]:
+    """probes and index, each with ``copy``: a shard's probes are dealt to as many groups as it takes to give each
+    about ``per_group``, and its arrays are copied to all of them. ``small``: the shards may be broadcast by number."""
+    copies = F.greatest(F.ceil(F.col("load") / per_group), F.lit(1))  # the load is that of all probes of a shard
+    loads = index.select("shard", copies.alias("copies"))  # one row of two integers for each shard of SHARD_KEYS lines
+    sent = probes.join(F.broadcast(loads) if small else loads, "shard")
+    sent = sent.withColumn("copy", F.pmod(F.xxhash64("id", "h"), F.col("copies"))).drop("copies")
+    return sent, index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+
+
 def lines_to_drop(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_chars: int = 40, min_docs: int = 5,
     shard_keys: int = SHARD_KEYS, group_probes: int = GROUP_PROBES,
@@ -100,12 +110,7 @@ def lines_to_drop(
     build = lambda pdf: _build(pdf, min_docs)
     index = scratch.save(counted.select("*", shard).groupBy("shard").applyInPandas(build, INDEX_SCHEMA), "index")
     per_group = max(1, min(group_probes, -(-probes.count() // (2 * parts))))
-    copies = F.greatest(F.ceil(F.col("load") / per_group), F.lit(1))  # the load is that of all probes of a shard
-    # One row of two integers for each shard of SHARD_KEYS lines.
-    loads = index.select("shard", copies.alias("copies"))
-    sent = probes.select("*", shard).join(F.broadcast(loads) if shards <= 1_000_000 else loads, "shard")
-    sent = sent.withColumn("copy", F.pmod(F.xxhash64("id", "h"), F.col("copies"))).drop("copies")
-    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    sent, index = dealt(probes.select("*", shard), index, per_group, small=shards <= 1_000_000)
     dropped = (
         sent.groupBy("shard", "copy")
         .cogroup(index.groupBy("shard", "copy"))

@@ -2,8 +2,13 @@
 
 The network predicts every token from the tokens on both sides of it, which alone enter: a hidden layer
 sums one embedding for each place of the window; the token's class and the token within its class are
-softmax layers over it. The vocabulary comes from counts over the whole corpus. Every task trains on its
-documents, from the same start; parameters are averaged in a tree, weighted by tokens.
+softmax layers over it. The most frequent words are tokens of their own; all others share RARE tokens by
+their last two bytes, and within such a token each word has its share of the token's corpus count. Those
+counts cover every word of all documents, so what the model holds grows with the corpus: it is a table in
+the shared folder, of which a task reads only the words of the file whose texts it scores.
+
+Every task trains on all positions of its documents, from the same start; parameters are averaged in a
+tree, weighted by tokens. The network therefore depends on how documents are dealt to files.
 """
 
 from __future__ import annotations
@@ -11,20 +16,26 @@ from __future__ import annotations
 import io
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as pads
+import xxhash
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii
+from .common import Scratch, top_rows
 
 CLASS_SIZE, CLASSES = 32, 32
 TOKENS = CLASS_SIZE * CLASSES
-#: Tokens that stand for all rarer words, by a hash of the word's last two letters.
+#: Tokens that stand for all rarer words, by a hash of the word's last two bytes.
 RARE = 64
+FIRST_RARE = TOKENS - RARE
 PAD = TOKENS
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
@@ -33,27 +44,38 @@ BATCH, RATE = 2048, 1.0
 SPARSE = 20.0
 SLICE = 1 << 15
 FAN_IN = 32
+SEED = 42
+#: Words that a task counts before it sends them on.
+HELD_WORDS = 500_000
+
 
+def words_of(text: str | None) -> list[bytes]:
+    """ASCII white space parts words; A-Z are lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-def corpus_vocabulary(docs: DataFrame, *, text: str = "text") -> list[tuple[str, int]]:
-    """The most frequent words of all documents and their counts; ties go to the first word."""
-    words = docs.select(F.explode(F.split(lower_ascii(F.col(text).cast("string")), "[ \t\n\x0b\f\r]+")).alias("w")).where("w <> ''")
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(TOKENS - RARE)
-    return [(r["w"], r["n"]) for r in top.collect()]
+
+def rare_token(word: Column) -> Column:
+    return F.lit(FIRST_RARE) + F.pmod(F.crc32(F.substring(word, -2, 2)), F.lit(RARE))
 
 
 class Vocabulary:
-    def __init__(self, words: list[str]) -> None:
+    """Tokens of words, and which words of a text are rare."""
+
+    def __init__(self, words: list[bytes]) -> None:
         self.id_of = {w: i for i, w in enumerate(words)}
-        self.first_rare = TOKENS - RARE
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split()
+        return self.read(text)[0]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        words = words_of(text)
         known = self.id_of.get
         out = [known(w, -1) for w in words]
+        rare: list[bytes] = []
         if -1 in out:
-            out = [i if i >= 0 else self.first_rare + zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % RARE for i, w in zip(out, words, strict=True)]
-        return np.array(out, np.int32)
+            rare = [w for i, w in zip(out, words, strict=True) if i < 0]
+            out = [i if i >= 0 else FIRST_RARE + zlib.crc32(w[-2:]) % RARE for i, w in zip(out, words, strict=True)]
+        return np.array(out, np.int16), rare
 
 
 class WindowNetwork:
@@ -132,9 +154,10 @@ class WindowNetwork:
         p["hidden_bias"] += back.sum(axis=0)
         back *= SPARSE  # a row of an embedding is seen by a small part of a batch
         for k in range(len(OFFSETS)):
-            rows = np.argsort(window[:, k], kind="stable")
-            seen, first = np.unique(window[rows, k], return_index=True)
-            p["embed"][k][seen] += np.add.reduceat(back[rows], first, axis=0)
+            rows = np.argsort(window[:, k], kind="stable")  # 16-bit numbers: a radix sort
+            ids = window[rows, k]
+            first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+            p["embed"][k][ids[first]] += np.add.reduceat(back[rows], first, axis=0)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -149,7 +172,7 @@ class WindowNetwork:
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All ids in one array with padding between documents, and the place of each document's first."""
-    gap = np.full(2, PAD, np.int32)
+    gap = np.full(2, PAD, np.int16)
     parts, starts, at = [gap], [], 2
     for ids in docs:
         starts.append(at)
@@ -162,7 +185,53 @@ def windows(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([stream[at + o] for o in OFFSETS], axis=1)
 
 
-def _train_task(words: list[str], start: bytes):
+@dataclass
+class Texts:
+    """Documents in files of the shared folder: rows of (doc_id, text, file), file being a hash of the file's name."""
+
+    table: DataFrame
+    scratch: Scratch
+
+    @classmethod
+    def of(cls, docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Texts:
+        scratch = Scratch(docs.sparkSession, "lm")
+        held = scratch.save(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "texts")
+        return cls(held.select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file")), scratch)
+
+
+def count_words(texts: Texts) -> DataFrame:
+    """(file, word, n, total): how often a file has each of its words, and how often all files have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = Counter(), None
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([own] * len(held), pa.int64()), pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["file", "word", "n"])
+
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (file != own or len(held) > HELD_WORDS):
+                    yield out()
+                    held.clear()
+                own = file
+                held.update(words_of(text.as_py()))
+        if held:
+            yield out()
+
+    some = texts.table.select("file", "text").mapInArrow(run, "file long, word binary, n long").repartition("word")
+    some = some.groupBy("file", "word").agg(F.sum("n").alias("n"))  # dealt by word already, as the window is
+    return texts.scratch.save(some.withColumn("total", F.sum("n").over(Window.partitionBy("word"))), "words")
+
+
+@dataclass
+class Model:
+    words: list[bytes]
+    net: WindowNetwork
+    rare_counts: list[int]  # of all words of each rare token
+
+
+def _train_task(words: list[bytes], start: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -171,12 +240,11 @@ def _train_task(words: list[str], start: bytes):
             for lo in range(0, batch.num_rows, 64):
                 docs = [vocabulary.ids(t.as_py()) for t in batch.column(0).slice(lo, 64)]
                 stream, starts = padded(docs)
-                chosen = [s + np.arange(len(d)) for s, d in zip(starts, docs, strict=True)]
-                at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+                at = np.flatnonzero(stream != PAD)
                 at = np.random.default_rng(len(at)).permutation(at)
                 for a in range(0, len(at), BATCH):
                     part = at[a : a + BATCH]
-                    net.step(windows(stream, part), stream[part], RATE / math.sqrt(1 + seen / 2e5))
+                    net.step(windows(stream, part), stream[part].astype(np.int64), RATE / math.sqrt(1 + seen / 2e5))
                     seen += len(part)
         if seen:
             task = TaskContext.get().partitionId()
@@ -198,58 +266,122 @@ def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": [int(pdf["slot"].iloc[0]) // FAN_IN], "n": [n], "net": [net.to_bytes()]})
 
 
-def train(docs: DataFrame, *, text: str = "text") -> tuple[list[str], WindowNetwork]:
-    """The vocabulary and the network, from all documents. Without any word it is the start."""
-    scratch = Scratch(docs.sparkSession, "lm")
-    counted = corpus_vocabulary(docs, text=text)
-    words = [w for w, _ in counted]
+def train(texts: Texts, counted: DataFrame) -> Model:
+    """The network, from all positions of all documents. Without any word it is the start.
+
+    counted: see ``count_words``. The driver gets the words that are tokens, RARE counts and one network.
+    """
+    scratch = texts.scratch
+    totals = counted.select("word", "total").distinct()
+    top = sorted(top_rows(totals, FIRST_RARE, [F.desc("total"), F.col("word")]).collect(), key=lambda r: (-r["total"], bytes(r["word"])))
+    words = [bytes(r["word"]) for r in top]
     counts = np.zeros(TOKENS)
-    counts[: len(words)] = [n for _, n in counted]
-    counts[TOKENS - RARE :] = max(1, counts.sum() / 400)
+    counts[: len(words)] = [r["total"] for r in top]
+    every = counted.groupBy(rare_token(F.col("word")).alias("t")).agg(F.sum("n").alias("n")).collect()
+    for r in every:
+        counts[r["t"]] = r["n"]
+    for w, r in zip(words, top, strict=True):
+        counts[FIRST_RARE + zlib.crc32(w[-2:]) % RARE] -= r["total"]
     start = WindowNetwork.start(counts)
-    nets = docs.select(F.col(text).cast("string")).mapInArrow(_train_task(words, start.to_bytes()), NET)
-    nets = scratch.save(nets, "nets0")
+    rare = [int(n) for n in counts[FIRST_RARE:]]
+    nets = scratch.save(texts.table.select("text").mapInArrow(_train_task(words, start.to_bytes()), NET), "nets0")
     for level in range(1, 12):  # FAN_IN ** 12 tasks
-        top = nets.agg(F.max("slot")).first()[0]
-        if top is None:
-            return words, start
+        top_slot = nets.agg(F.max("slot")).first()[0]
+        if top_slot is None:
+            return Model(words, start, rare)
         group = (F.col("slot") / FAN_IN).cast("long")
         nets = scratch.save(nets.withColumn("g", group).groupBy("g").applyInPandas(_mean, NET), f"nets{level}")
-        if top < FAN_IN:
+        if top_slot < FAN_IN:
             break
-    return words, WindowNetwork.from_bytes(nets.first()["net"])
-
-
-def score(docs: DataFrame, words: list[str], net: WindowNetwork, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for each row.
-
-    The sum over all tokens of a whole text; texts without a word have 0 tokens, sum 0 and no mean.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((words, net.to_bytes()))  # about 0.6 MB
+    return Model(words, WindowNetwork.from_bytes(nets.first()["net"]), rare)
+
+
+def write_shares(texts: Texts, counted: DataFrame, model: Model) -> str:
+    """A folder for each file of texts with (hash, share) of the rare words in it, sorted: the log of a word's share
+    of its token's count."""
+    word = F.col("word")
+    token = (rare_token(word) - FIRST_RARE + 1).cast("int")
+    of_token = F.element_at(F.array(*[F.lit(max(1, n)) for n in model.rare_counts]), token)
+    known = texts.table.sparkSession.createDataFrame([(w,) for w in model.words] or [(b"",)], "word binary")  # FIRST_RARE at most
+    rare = counted.join(F.broadcast(known), "word", "left_anti")
+    out = rare.select("file", F.xxhash64("word").alias("h"), F.log(F.col("total") / of_token).cast("float").alias("share"))
+    root = texts.scratch.path("shares")
+    out.repartition("file").sortWithinPartitions("file", "h").write.partitionBy("file").parquet(root)
+    return root
+
+
+class Shares:
+    """The shares of rare words of one file of texts; a word that isn't there has that of one occurrence."""
+
+    def __init__(self, root: str, rare_counts: list[int]) -> None:
+        self.files, self.root = pafs.FileSystem.from_uri(root)
+        self.once = [-math.log(n + 1) for n in rare_counts]
+        self.file = None
+
+    def open(self, file: int) -> None:
+        if file == self.file:
+            return
+        self.file, path = file, f"{self.root}/file={file}"
+        h, share = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if self.files.get_file_info(path).type == pafs.FileType.Directory:
+            found = pads.dataset(path, filesystem=self.files, format="parquet").to_table(columns=["h", "share"])
+            h, share = found["h"].to_numpy(), found["share"].to_numpy()
+        order = np.argsort(h, kind="stable")
+        self.h, self.share = h[order], share[order]
+
+    def sums(self, words: list[bytes], of: np.ndarray, n: int) -> np.ndarray:
+        """The sum over the words of each of n documents; ``of`` tells a word's document."""
+        if not words:
+            return np.zeros(n)
+        h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
+        there = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
+        got = np.zeros(len(h))
+        got[there] = self.share[at[there]]
+        for i in np.flatnonzero(~there):
+            got[i] = self.once[zlib.crc32(words[i][-2:]) % RARE]
+        return np.bincount(of, weights=got, minlength=n)
+
+
+def score(texts: Texts, model: Model, shares: str) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for each row of texts."""
+    shared = texts.table.sparkSession.sparkContext.broadcast((model.words, model.net.to_bytes(), model.rare_counts))  # about 0.6 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, own = Vocabulary(shared.value[0]), WindowNetwork.from_bytes(shared.value[1])
+        vocabulary, own, rare = Vocabulary(shared.value[0]), WindowNetwork.from_bytes(shared.value[1]), Shares(shares, shared.value[2])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                docs = [vocabulary.ids(t.as_py()) for t in batch.column(1).slice(lo, 256)]
-                stream, starts = padded(docs)
+            files = batch.column(2).to_numpy()
+            cuts = sorted({*range(0, len(files), 256), *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)})
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                rare.open(int(files[lo]))
+                read = [vocabulary.read(t.as_py()) for t in batch.column(1).slice(lo, hi - lo)]
+                stream, starts = padded([ids for ids, _ in read])
                 where = np.flatnonzero(stream != PAD)
-                total = np.zeros(len(docs))
+                of = np.repeat(np.arange(len(read)), [len(w) for _, w in read])
+                total = rare.sums([w for _, ws in read for w in ws], of, len(read))
                 which = np.searchsorted(starts, where, side="right") - 1
                 for a in range(0, len(where), SLICE):
                     at = where[a : a + SLICE]
-                    lp = own.log_probabilities(windows(stream, at), stream[at])
-                    total += np.bincount(which[a : a + SLICE], weights=lp, minlength=len(docs))
-                n = np.array([len(d) for d in docs], np.int64)
+                    lp = own.log_probabilities(windows(stream, at), stream[at].astype(np.int64))
+                    total += np.bincount(which[a : a + SLICE], weights=lp, minlength=len(read))
+                n = np.array([len(ids) for ids, _ in read], np.int64)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 256), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
                 )
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return texts.table.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def lm_scores(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    words, net = train(docs, text=text)
-    return score(docs, words, net, text=text, doc_id=doc_id)
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for each row, by a model of all of docs.
+
+    The sum over all tokens of a whole text, however long; texts without a word (null and empty ones too) have
+    0 tokens, sum 0 and no mean. Equal texts of one file get equal scores; repeated rows and null ids are scored
+    row by row and train as often as they occur. Of equally frequent words the first in byte order is a token.
+    docs' other columns aren't carried, so none can clash; an empty table gives an empty one.
+    """
+    texts = Texts.of(docs, text=text, doc_id=doc_id)
+    counted = count_words(texts)
+    model = train(texts, counted)
+    return score(texts, model, write_shares(texts, counted, model))

@@ -18,7 +18,7 @@ PLAIN_SPACE = re.compile("[ \n\t\r]+")
 #: apostrophe could start a contraction, so such pieces take the tokenizer's own way.
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,*%&$#!?|;:\"()-]*)").fullmatch
 #: Words remembered by a worker (about 200 bytes each); later ones are worked out each time.
-MAX_WORDS = 350_000
+MAX_WORDS = 200_000
 
 
 def default_tokenizer() -> str:

@@ -1,9 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Folding lower-cases, maps look-alike letters to Latin ones and digits that stand for letters back to
-them. The lexicon (words and word beginnings) and its weights are learned from labelled rows; contexts
-in which a term is harmless become exception phrases. A text's score is a logistic function of its hits'
-weight in relation to its length.
+them. The lexicon (words and word beginnings of up to LONGEST letters) and its weights come from counts over
+all labelled rows; contexts in which a term is harmless become exception phrases. A text's score is a logistic
+function of its hits' weight in relation to its length, fitted on a bounded sample of those rows.
 """
 
 from __future__ import annotations
@@ -21,12 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BROADCAST_IDS, Bloom
 from .common import Scratch, crc_fold
 
-#: Bounds of what the classifier is fitted on: labelled rows, and terms of the lexicon.
-SAMPLE_ROWS, MAX_TERMS = 10_000, 3_000
-MIN_DOCS, MIN_ODDS = 4, 6.0
+#: The bound on labelled rows that the logistic function is fitted on.
+SAMPLE_ROWS = 10_000
+#: A term is in so many toxic rows and in this share of them, and this much likelier there. The share bounds the
+#: lexicon: a row has some hundred terms, so fewer than a million can be in one of 2000 rows.
+MIN_DOCS, MIN_SHARE, MIN_ODDS = 4, 0.0005, 6.0
 SHORTEST, LONGEST = 3, 10
+#: How many times the log of the number of terms a term's likelihood ratio must be.
+CHANCE = 2.0
+#: Terms that a task counts before it sends them on.
+HELD_TERMS = 300_000
 
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
 LOOK_ALIKE = {
@@ -96,7 +103,14 @@ class ToxicityModel:
                 spared.append((start, end))
             elif abs(w) > abs(hits.get(start, 0.0)):
                 hits[start] = w  # of the terms that begin at a word, the one that says most
-        total = sum(w for s, w in hits.items() if not any(a <= s < b for a, b in spared))
+        spared.sort()
+        total, stop, k = 0.0, -1, 0
+        for s in sorted(hits):
+            while k < len(spared) and spared[k][0] <= s:
+                stop = max(stop, spared[k][1])
+                k += 1
+            if s >= stop:
+                total += hits[s]
         words = folded.count(" ") - 1
         return total / words, total / math.sqrt(words)
 
@@ -119,31 +133,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, *, steps: int = 60) -> np.ndarray:
     return w
 
 
-def train(rows: DataFrame, *, max_terms: int = MAX_TERMS, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
-    """rows: text and toxic (0 or 1), at most about SAMPLE_ROWS; ``exceptions`` are added to those learned.
+def _count(found) -> Iterator[pa.RecordBatch]:
+    """(term, a, b) of (terms of a row, toxic or not): in how many toxic and other rows each is, summed as memory allows."""
+    held: dict[str, list[int]] = {}
 
-    Terms are counted in Spark; only those that pass the thresholds reach the driver.
+    def out() -> pa.RecordBatch:
+        a, b = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["term", "a", "b"])
+
+    for terms_, toxic in found:
+        for t in terms_:
+            n = held.get(t)
+            if n is None:
+                held[t] = n = [0, 0]
+            n[1 - toxic] += 1
+        if len(held) > HELD_TERMS:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+COUNTED = "term string, a long, b long"
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def train(rows: DataFrame, *, sample: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
+    """rows: text and toxic (0 or 1; others teach nothing); ``exceptions`` are added to those learned.
+
+    Terms and phrases are counted over all rows in Spark; only those that pass the thresholds reach the driver.
+    A term must say more than chance would of any of so many terms (a likelihood ratio of twice the log of
+    their number). About ``sample`` rows, chosen by hash, fit the logistic function.
     """
     scratch = Scratch(rows.sparkSession, "toxicity")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = list(terms(fold(t.as_py())))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([y] * len(found), pa.int64())], ["term", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([fold(t.as_py()) for t in batch.column(0)], pa.string()), batch.column(1)], ["text", "toxic"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _count((terms(t.as_py()), y) for batch in batches for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True))
 
-    rows = scratch.save(rows.where("toxic in (0, 1)").select("text", F.col("toxic").cast("long").alias("toxic")), "rows")
+    rows = rows.where("toxic in (0, 1)").select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(folded, "text string, toxic long")
+    rows = scratch.save(rows, "rows")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return ToxicityModel({}, list(exceptions), bias=8.0 if n1 else -8.0)
-    counted = rows.mapInArrow(count, "term string, toxic long").groupBy("term")
-    counted = counted.agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= MIN_DOCS)
-    odds = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
-    best = counted.withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-    best = best.orderBy((F.log("odds") * F.sqrt("a")).desc(), F.length("term"), "term").limit(max_terms).collect()
-    by_term = {r["term"]: r for r in best}
+        return ToxicityModel({}, [fold(x) for x in exceptions], bias=8.0 if n1 else -8.0)
+    counted = _summed(rows.mapInArrow(count, COUNTED)).where(F.col("a") >= max(MIN_DOCS, MIN_SHARE * n1))
+    counted = scratch.save(counted, "terms")
+    a, b = F.col("a"), F.col("b")
+    odds = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    expected = (a + b) * (n1 / (n1 + n0))
+    ratio = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
+    best = counted.withColumn("odds", odds).where((F.col("odds") >= MIN_ODDS) & (ratio >= CHANCE * math.log(max(2, counted.count()))))
+    by_term = {r["term"]: r for r in best.collect()}
     weights: dict[str, float] = {}
     for term in sorted(by_term, key=lambda t: (len(t.rstrip()), t)):
         r = by_term[term]
@@ -152,52 +199,51 @@ def train(rows: DataFrame, *, max_terms: int = MAX_TERMS, exceptions: tuple[str,
         if not shorter or r["odds"] > 1.5 * max(by_term[t]["odds"] for t in shorter):
             weights[term] = math.log(r["odds"])
     model = ToxicityModel(weights, [fold(x) for x in exceptions])
-    model.exceptions += _learn_exceptions(rows, model)
+    model.exceptions += _learn_exceptions(rows, model, max(3, MIN_SHARE * n0))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            x = [model.features(fold(t.as_py()), automaton) for t in batch.column(0)]
+            x = [model.features(t.as_py(), automaton) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in x], pa.float64()), pa.array([j for _, j in x], pa.float64()), batch.column(1)], ["d", "s", "toxic"]
             )
 
-    got = rows.mapInArrow(measured, "d double, s double, toxic long").toPandas()
+    share = min(1.0, sample / (n1 + n0))
+    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    got = picked.mapInArrow(measured, "d double, s double, toxic long").toPandas()
     got = got.sort_values(["d", "s", "toxic"])
     w = _logistic(got[["d", "s"]].to_numpy(), got["toxic"].to_numpy(float))
     model.bias, model.slopes = float(w[0]), (float(w[1]), float(w[2]))
     return model
 
 
-def _learn_exceptions(rows: DataFrame, model: ToxicityModel, *, least: int = 3, most: int = 500) -> list[str]:
-    """Two-word phrases around a hit that only harmless texts have."""
+def _learn_exceptions(rows: DataFrame, model: ToxicityModel, least: float) -> list[str]:
+    """Two-word phrases around a hit that only harmless texts have, and enough of them. rows: folded texts."""
+
+    def found(text: str, automaton: ahocorasick.Automaton) -> set[str]:
+        out = set()
+        for end, (n, w) in automaton.iter(text) if text else ():
+            if w is None:
+                continue
+            start = end - n + 1
+            stop = text.index(" ", start + 1)
+            before = text.rfind(" ", 0, start) if start else -1
+            if before >= 0:
+                out.add(text[before : stop + 1])
+            after = text.find(" ", stop + 1)
+            if after > 0:
+                out.add(text[start : after + 1])
+        return out
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
-        for batch in batches:
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                text, out = fold(t.as_py()), set()
-                if not text:
-                    continue
-                for end, (n, w) in automaton.iter(text):
-                    if w is None:
-                        continue
-                    start = end - n + 1
-                    stop = text.index(" ", start + 1)
-                    before = text.rfind(" ", 0, start) if start else -1
-                    if before >= 0:
-                        out.add(text[before : stop + 1])
-                    after = text.find(" ", stop + 1)
-                    if after > 0:
-                        out.add(text[start : after + 1])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(sorted(out)), pa.array([y] * len(out), pa.int64())], ["p", "toxic"])
+        yield from _count((found(t.as_py(), automaton), y) for batch in batches for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True))
 
     if not model.weights:
         return []
-    found = rows.mapInArrow(phrases, "p string, toxic long").groupBy("p")
-    found = found.agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where((F.col("a") == 0) & (F.col("n") >= least))
-    return [r["p"] for r in found.orderBy(F.desc("n"), "p").limit(most).collect()]
+    kept = _summed(rows.mapInArrow(phrases, COUNTED)).where((F.col("a") == 0) & (F.col("b") >= least))
+    return sorted(r["term"] for r in kept.select("term").collect())
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:
@@ -210,7 +256,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataF
         for texts in batches:
             yield pd.Series([kept.score(kept.features(fold(t), automaton)) for t in texts], dtype=float)
 
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
     out = docs.select(*own, run(F.col(text).cast("string")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -220,15 +266,22 @@ def toxicity(
 ) -> DataFrame:
     """docs with held_out, score and predicted; labels of ids in the held fold teach nothing.
 
-    A document with several labels is toxic if one says so. At most about ``rows`` labelled documents
-    are used, chosen by the hash of their ids.
+    A document with several labels is toxic if one says so; labels without an id or of no document teach
+    nothing, and repeated documents teach as often as they occur. A null id counts as the empty text in the fold.
+    Texts are read whole; equal texts get equal scores, and a null or empty one that of no hits. Without labels
+    of both kinds every score is near that of the one kind. An empty table gives an empty one. Other columns
+    pass; those named held_out, score or predicted (in any case) are replaced.
     """
     out = crc_fold(doc_id, folds) == held
     known = labels.where(F.col("doc_id").isNotNull() & ~(crc_fold("doc_id", folds) == held))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
-    share = min(1.0, rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    known = known.select(F.col("doc_id").alias("__id"), "toxic")  # bounded by `rows`
-    texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).cast("string").alias("text"))
-    model = train(texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("text", "toxic"))
-    return score(docs, model, text=text).withColumn("held_out", out)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
+    known = Scratch(docs.sparkSession, "toxicity-labels").save(known, "known")
+    texts = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).cast("string").alias("text"))
+    n = known.count()
+    if n <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    else:  # only texts that may be labelled are exchanged
+        texts = texts.where(Bloom.of(known.select(F.xxhash64("__id").alias("h")), n=n).may_hold(docs, F.xxhash64("__doc")))
+    model = train(texts.join(known, F.col("__doc") == F.col("__id")).select("text", "toxic"), sample=rows)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "held_out"])
+    return score(kept, model, text=text).withColumn("held_out", out)

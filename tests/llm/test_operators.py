@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from faultloom.llm import decontaminate, html, langid, licenses, linededup, lm, media, packing, simhash, tokens, toxicity
+from faultloom.llm import decontaminate, html, langid, licenses, linededup, media, packing, simhash, tokens, toxicity
 from faultloom.llm.mph import Mph
 
 
@@ -217,20 +217,6 @@ def test_licence_classes():
     assert {name(t) for t in [*licenses.LOOK_ALIKES, "", "Mit und.", "A sentence of no interest."]} == {licenses.UNKNOWN}
 
 
-def test_scan_equals_python(spark):
-    texts = ["Licensed under CC BY-NC 4.0.", "plain", "Intro.\nReleased under the MIT License. And more words follow here\nend", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = licenses.train(["Some plain sentence about the weather today."] * 20)
-    got = {(r.doc_id, r.paragraph): (r.family, r.probability) for r in licenses.scan(docs, model).collect()}
-    want = {}
-    for i, t in enumerate(texts):
-        for k, line in enumerate((t or "").split("\n")):
-            p = model.probabilities(line)
-            if model.classes[int(p.argmax())] != licenses.UNKNOWN:
-                want[i, k] = (model.classes[int(p.argmax())], round(float(p.max()), 6))
-    assert got == want and len(want) == 2
-
-
 def test_host_paths_agree(spark):
     rows = [(i, "http://h.example/x", f"<div class='wrap'><div class=post-{i}><p>{'word ' * 40}</p><div class=comments><p>{'reply ' * 200}</p></div></div><aside>side</aside></div>") for i in range(5)]
     rows.append((9, "http://h.example/y", "<div class='wrap'><div class=post-9><p>Short &eacute;t&eacute;.</p></div><div class=teaser><p>Teaser text</p></div></div>"))
@@ -238,23 +224,6 @@ def test_host_paths_agree(spark):
     assert out[0] == " ".join(["word"] * 40) and out[9] == "Short été."
 
 
-def test_lm_learns_both_sides(spark):
-    rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice(["red apple pie", "blue sky line", "green leaf tree"]) for _ in range(150))) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-    words, net = lm.train(docs)
-    start = lm.WindowNetwork.start(np.concatenate([np.full(9, 2000.0), np.zeros(lm.TOKENS - 9)]))
-    vocabulary = lm.Vocabulary(words)
-    stream, at = lm.padded([vocabulary.ids(rows[0][1])])
-    where = np.flatnonzero(stream != lm.PAD)
-    mean = lambda n: float(n.log_probabilities(lm.windows(stream, where), stream[where]).mean())
-    assert mean(net) > mean(start) + 0.3
-    got = {r.doc_id: r for r in lm.score(docs, words, net).collect()}
-    assert got[0].n_tokens == 450 and abs(got[0].mean_log_likelihood - mean(net)) < 1e-4
-    total = np.exp(np.array([net.log_probabilities(np.repeat(lm.windows(stream, where[:1]), lm.TOKENS, 0), np.arange(lm.TOKENS))]))
-    assert abs(total.sum() - 1) < 1e-3
-
-
 def test_vector_of_chunks_is_that_of_the_whole():
     text = "abc déf " * 50_000
     whole, chunk = langid.vector(text), langid.CHUNK
