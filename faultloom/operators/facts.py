@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,16 +137,103 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def balance(groups: DataFrame, shards: int, *, group: str = "group", weight: str = "weight") -> list[tuple[str, int]]:
-    """SCH1: the heaviest group to the shard with the least load, the first of equals. Groups are few: they
-    are the units a cluster schedules, so they are balanced on the driver."""
-    load = [0.0] * shards
-    out = []
-    for r in groups.select(group, weight).orderBy(F.desc(weight), group).toLocalIterator():
-        k = load.index(min(load))
-        load[k] += r[1]
-        out.append((r[0], k))
-    return out
+def balance(groups: DataFrame, shards: int, *, group: str = "group", weight: str = "weight", by: list[str] | None = None) -> DataFrame:
+    """SCH1: (by, group, shard): the heaviest group to the shard with the least load, the first of equals.
+
+    Every choice depends on all before, so one task deals the groups of one plan (``by`` tells plans apart); groups
+    are the units that a plan deals, not the rows behind them.
+    """
+    keys = by or []
+    schema = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in [*keys, group])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([weight, group], ascending=[False, True])
+        loads = [(0.0, k) for k in range(shards)]
+        shard = []
+        for w in pdf[weight]:
+            load, k = heapq.heappop(loads)
+            heapq.heappush(loads, (load + w, k))
+            shard.append(k)
+        return pdf[[*keys, group]].assign(shard=shard)
+
+    return groups.withColumn("__plan", F.lit(0)).groupBy(*(keys or ["__plan"])).applyInPandas(run, f"{schema}, shard int")
+
+
+def weights(groups: DataFrame, timing: DataFrame, *, default: float = 5.0) -> DataFrame:
+    """SCH2: groups with ``weight``, the seconds of verify and golden together from timing (sample, verify_s, golden_s); a
+    sample without timing has the default. groups: (sample, ...)."""
+    told = timing.select("sample", (F.coalesce("verify_s", F.lit(0.0)) + F.coalesce("golden_s", F.lit(0.0))).alias("weight"))
+    return groups.join(told, "sample", "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
+
+
+def arbitrate(candidates: DataFrame, keys: list[str], *, passed: str, lines: str, order: list[str], digits: int = 3) -> DataFrame:
+    """Candidates with ``score`` and ``rank`` by it: half for depth and a fifth for passing (both all or nothing), 0.3
+    for a short patch in relation to the longest of its group; of equal scores the first in order."""
+    most = F.greatest(F.max(lines).over(Window.partitionBy(*keys)), F.lit(1))
+    ok = F.coalesce(F.col(passed), F.lit(False)).cast("int")
+    score = F.bround(0.5 * ok + 0.3 * (1 - F.coalesce(F.col(lines), F.lit(0)) / most) + 0.2 * ok, digits)
+    ranked = Window.partitionBy(*keys).orderBy(F.desc("score"), *order)
+    return candidates.withColumn("score", score).withColumn("rank", F.row_number().over(ranked))
+
+
+def preferred(rows: DataFrame, keys: list[str], column: str, preference: list[str], order: list[str]) -> DataFrame:
+    """T5: of each key the row whose ``column`` comes first in the preference, of equals the first in order; values that
+    aren't in it don't count."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in preference]), F.col(column))
+    kept = rows.where(F.col(column).isin(preference)).groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(rank, *order)).alias("__row"))
+    return kept.select("__row.*")
+
+
+#: Signals that are shown first, in this order, and beginnings of names that aren't shown.
+SHOWN = [
+    "clk", "rst_n", "state", "state_d", "cnt", "cnt_d", "count", "count_d", "step_cnt", "step_cnt_d", "head", "tail", "full", "empty",
+    "half_full", "wr_en", "rd_en", "cnt_en", "en", "start", "valid", "ready", "done",
+]
+HIDDEN = ["any", "_", "$", "smt_", "mem"]
+
+
+def signals_to_show(signals: DataFrame, *, most: int = 12) -> DataFrame:
+    """(trace_id, sig, rank): ``most`` signals of each trace, those of SHOWN first, then others as they come. signals:
+    (trace_id, sig, ord)."""
+    place = F.array_position(F.array(*[F.lit(x) for x in SHOWN]), F.col("sig"))
+    hidden = F.exists(F.array(*[F.lit(x) for x in HIDDEN]), lambda p: F.col("sig").startswith(p))
+    rows = signals.withColumn("__p", F.when(place > 0, place).otherwise(len(SHOWN) + 1)).where((place > 0) | ~hidden)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("trace_id").orderBy("__p", "ord")))
+    return ranked.where(F.col("rank") <= most).select("trace_id", "sig", "rank")
+
+
+def category(value: Column, known: dict[str, str]) -> Column:
+    """The category of a value: an exact match, else the first known name in it, else itself; "?" without one."""
+    exact = F.coalesce(*[F.when(value == k, v) for k, v in known.items()])
+    inside = F.coalesce(*[F.when(F.contains(value, F.lit(k)), v) for k, v in known.items() if k])
+    return F.coalesce(exact, inside, F.nullif(value, F.lit("")), F.lit("?"))
+
+
+def session_cost(ledger: DataFrame) -> DataFrame:
+    """(session, calls, cost) of a ledger."""
+    return ledger.groupBy("session").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 8).alias("cost"))
+
+
+def pivoted(rows: DataFrame, keys: list[str], column: str, values: list[str], measure: Column) -> DataFrame:
+    """A4, A5: a dense matrix: a row for each key, a column for each value, null where there is no row."""
+    return rows.groupBy(*keys).pivot(column, values).agg(measure)
+
+
+def spread(rows: DataFrame, by: list[str], seed: str, measure: Column) -> DataFrame:
+    """(by, lowest, highest, spread) of a measure taken for each seed on its own."""
+    each = rows.groupBy(*by, seed).agg(measure.alias("__m"))
+    return each.groupBy(*by).agg(F.min("__m").alias("lowest"), F.max("__m").alias("highest"), (F.max("__m") - F.min("__m")).alias("spread"))
+
+
+def flips(old: DataFrame, new: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """New rows whose value isn't that of the old row with their key; without an old row there is no flip."""
+    told = old.select(*keys, F.col(column).alias("__old"))
+    return new.join(told, keys).where(~F.col("__old").eqNullSafe(F.col(column))).drop("__old")
+
+
+def unresolved(used: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys that are used but not known."""
+    return used.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
 
 
 def round_robin_sample(rows: DataFrame, stratum: str, order: list[str], n: int) -> DataFrame:

@@ -13,21 +13,37 @@ from pyspark.sql import functions as F
 EDGE_VALUES = ["1", "01", "001"]
 
 
-def with_cycles(changes: DataFrame, edge: Column) -> DataFrame:
+def with_cycles(changes: DataFrame, edge: Column, *, span: int | None = None) -> DataFrame:
     """Each change's cycle, the number of clock edges up to its time.
 
     ``edge`` tells which changes are edges. All changes of one time share a cycle, whatever their order.
-    Without an edge all is cycle 0. One sort for each trace; no range join.
+    Without an edge all is cycle 0. No range join. With ``span`` (ticks) a trace is sorted in pieces of that
+    length, each of which gets the number of edges before it: a long trace then isn't one task's work.
     """
     upto = Window.partitionBy("trace_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes.withColumn("cycle", F.sum(F.when(edge, 1).otherwise(0)).over(upto).cast("long"))
-
-
-def cycle_starts(changes: DataFrame, edge: Column) -> DataFrame:
-    """(trace_id, cycle, t0) of every cycle, also of those without a change: cycle 0 begins at 0."""
+    count = F.sum(F.when(edge, 1).otherwise(0))
+    if span is None:
+        return changes.withColumn("cycle", count.over(upto).cast("long"))
+    rows = changes.withColumn("__piece", F.floor(F.col("ts") / span))
+    before = Window.partitionBy("trace_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("trace_id", "__piece").agg(count.alias("__n"))
+    ahead = ahead.select("trace_id", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy("trace_id", "__piece").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.withColumn("__own", count.over(inside)).join(ahead, ["trace_id", "__piece"])
+    return counted.withColumn("cycle", (F.col("__own") + F.col("__ahead")).cast("long")).drop("__piece", "__own", "__ahead")
+
+
+def cycle_starts(changes: DataFrame, edge: Column, *, span: int | None = None) -> DataFrame:
+    """(trace_id, cycle, t0) of every cycle, also of those without a change: cycle 0 begins at 0. ``span`` as above."""
     edges = changes.where(edge).select("trace_id", "ts", "pos")
-    order = Window.partitionBy("trace_id").orderBy("ts", "pos")
-    starts = edges.select("trace_id", F.row_number().over(order).cast("long").alias("cycle"), F.col("ts").alias("t0"))
+    key = [] if span is None else [F.floor(F.col("ts") / span)]
+    order = Window.partitionBy("trace_id", *key).orderBy("ts", "pos")
+    starts = edges.select("trace_id", *[k.alias("__piece") for k in key], F.row_number().over(order).cast("long").alias("cycle"), F.col("ts").alias("t0"))
+    if key:
+        before = Window.partitionBy("trace_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = starts.groupBy("trace_id", "__piece").agg(F.count(F.lit(1)).alias("n"))
+        ahead = ahead.select("trace_id", "__piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+        starts = starts.join(ahead, ["trace_id", "__piece"]).select("trace_id", (F.col("cycle") + F.col("ahead")).alias("cycle"), "t0")
     zero = changes.select("trace_id").distinct().select("trace_id", F.lit(0).cast("long").alias("cycle"), F.lit(0).cast("long").alias("t0"))
     return zero.unionByName(starts)
 
@@ -219,26 +235,26 @@ def transition_divergence(pairs: DataFrame) -> DataFrame:
     return rows.where(F.col("g0").isNotNull() & F.col("g1").isNotNull() & (F.col("g0") != F.col("g1")) & lost)
 
 
-def handshake_features(pairs: DataFrame, anchors: DataFrame) -> DataFrame:
+def handshake_features(pairs: DataFrame, anchors: DataFrame, *, keys: tuple[str, ...] = ("trace_id",)) -> DataFrame:
     """Eight features of each valid/ready pair.
 
-    pairs: (trace_id, cycle, valid, ready) as 0, 1 or null, dense by cycle; held here. A trace in which
-    both are always null has no row.
+    pairs: (trace_id, cycle, valid, ready) as 0, 1 or null, dense by cycle; held here. A cycle waits if valid is 1,
+    ready 0 (not unknown) and none was ready before. A trace in which both are always null has no row. ``keys`` tell several pairs of a trace apart.
     """
-    upto = Window.partitionBy("trace_id").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy("trace_id").orderBy("cycle")
+    upto = Window.partitionBy(*keys).orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys).orderBy("cycle")
     v, r = F.last("valid", True).over(upto), F.last("ready", True).over(upto)
-    rows = pairs.select("trace_id", "cycle", v.alias("v"), r.alias("r")).join(anchors, "trace_id", "left")
+    rows = pairs.select(*keys, "cycle", v.alias("v"), r.alias("r")).join(anchors, "trace_id", "left")
     rows = rows.withColumn("pv", F.coalesce(F.lag("v").over(order), F.lit(0)))
     rise = (F.col("v") == 1) & (F.col("pv") == 0)
-    whole = Window.partitionBy("trace_id")
+    whole = Window.partitionBy(*keys)
     rows = rows.withColumn("fr", F.min(F.when(F.col("r") == 1, F.col("cycle"))).over(whole))
     rows = rows.withColumn("fv", F.min(F.when(rise, F.col("cycle"))).over(whole))
     ahead = F.col("fr").isNull() | (F.col("cycle") < F.col("fr"))
-    out = rows.groupBy("trace_id").agg(
+    out = rows.groupBy(*keys).agg(
         F.min("fv").alias("first_valid_rise"),
         F.min("fr").alias("first_ready"),
-        F.count_if((F.col("v") == 1) & (F.coalesce("r", F.lit(0)) != 1) & ahead).alias("wait_cycles"),
+        F.count_if((F.col("v") == 1) & (F.col("r") == 0) & ahead).alias("wait_cycles"),
         F.count_if((F.col("v") == 1) & (F.col("cycle") >= F.col("fr"))).alias("hold_cycles"),
         F.coalesce(F.bool_or((F.col("pv") == 1) & (F.col("v") == 0)), F.lit(False)).alias("deassert_seen"),
         F.max(F.when(F.col("cycle") == F.col("anchor"), F.col("v"))).alias("valid_at_fail"),
@@ -249,14 +265,49 @@ def handshake_features(pairs: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.where("__seen > 0").drop("__seen")
 
 
-def protocol_violations(features: DataFrame) -> DataFrame:
-    """The names of broken rules of a handshake, as an array."""
-    rules = [
-        (F.col("first_valid_rise").isNotNull() & F.col("first_ready").isNull(), "ready_never_seen"),
-        (F.col("deassert_seen") & (F.col("hold_cycles") == 0), "valid_dropped_before_ready"),
-        ((F.col("valid_at_fail") == 1) & (F.coalesce("ready_at_fail", F.lit(0)) == 0), "waiting_at_fail"),
-    ]
-    return features.select("trace_id", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules])).alias("violations"))
+#: The handshakes of each module, as valid/ready, and what must hold of them.
+B, R, AW, W, AR = "S_AXI_BVALID/S_AXI_BREADY", "S_AXI_RVALID/S_AXI_RREADY", "S_AXI_AWVALID/S_AXI_AWREADY", "S_AXI_WVALID/S_AXI_WREADY", "S_AXI_ARVALID/S_AXI_ARREADY"
+TX, RX = "tx_busy/txd", "rx_valid/rx_ready"
+#: (module, name, kind, pair, pairs that must have been ready before it)
+PROTOCOL_RULES = [
+    ("axi_lite_slave", "bvalid_never_released", "stuck", B, ()),
+    ("axi_lite_slave", "bready_never_raised", "unanswered", B, ()),
+    ("axi_lite_slave", "bvalid_before_write_handshakes", "early", B, (AW, W)),
+    ("axi_lite_slave", "rvalid_never_released", "stuck", R, ()),
+    ("axi_lite_slave", "rvalid_before_address_handshake", "early", R, (AR,)),
+    ("uart_tx", "busy_without_start_bit", "level", TX, ()),
+    ("uart_rx", "rx_valid_never_released", "stuck", RX, ()),
+]
+
+
+def protocol_violations(features: DataFrame, modules: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
+    """(trace_id, violations): the names of the rules of its module that a trace breaks, in order.
+
+    features: those of ``handshake_features`` by (trace_id, pair); modules: (trace_id, module). A pair that a trace
+    lacks breaks nothing. Kinds: ``stuck``, valid rose and never fell; ``unanswered``, it rose and nothing was ever
+    ready; ``early``, it rose before all the other pairs were ready; ``level``, ready was 1 as it rose.
+    """
+    fields = F.struct("first_valid_rise", "first_ready", "deassert_seen", "ready_at_valid_rise")
+    by_pair = features.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("pair", fields))).alias("m"))
+
+    def broken(kind: str, pair: str, others: tuple) -> Column:
+        f = F.try_element_at("m", F.lit(pair))
+        rose = f["first_valid_rise"]
+        if kind == "stuck":
+            return rose.isNotNull() & ~f["deassert_seen"]
+        if kind == "unanswered":
+            return rose.isNotNull() & f["first_ready"].isNull()
+        if kind == "level":
+            return rose.isNotNull() & (f["ready_at_valid_rise"] == 1)
+        ready = [F.try_element_at("m", F.lit(p))["first_ready"] for p in others]
+        known = rose.isNotNull()
+        for x in ready:
+            known = known & x.isNotNull()
+        return known & (rose < (F.greatest(*ready) if len(ready) > 1 else ready[0]))
+
+    found = [F.when((F.col("module") == m) & broken(kind, pair, others), F.lit(name)) for m, name, kind, pair, others in rules or PROTOCOL_RULES]
+    rows = modules.select("trace_id", "module").join(by_pair, "trace_id")
+    return rows.select("trace_id", F.array_compact(F.array(*found)).alias("violations"))
 
 
 def counterexample_delta(old: DataFrame, new: DataFrame, old_step: DataFrame, new_step: DataFrame) -> DataFrame:
@@ -271,8 +322,18 @@ def counterexample_delta(old: DataFrame, new: DataFrame, old_step: DataFrame, ne
     return steps.withColumn("moved_signals", F.coalesce("moved_signals", F.array().cast("array<string>")))
 
 
-def unknown_states(changes: DataFrame, *, internal: str = r"[$\\]", first: int = 20) -> DataFrame:
-    """(trace_id, x_count, x_signals) of values with x or z, without internal names."""
+#: What names of the tool's own signals contain.
+INTERNAL = r"anyseq|setundef|_witness_|auto\$|\\_"
+TOOL_MARKS = ["anyinit_", "anyseq_", "smt_", "_auto_", "$", "\\", "procdff", "execute_", "setundef"]
+
+
+def is_real_signal(name: Column) -> Column:
+    """Whether a name is none of the tool's own."""
+    return ~F.exists(F.array(*[F.lit(x) for x in TOOL_MARKS]), lambda x: F.contains(name, x))
+
+
+def unknown_states(changes: DataFrame, *, internal: str = INTERNAL, first: int = 20) -> DataFrame:
+    """(trace_id, x_count, x_signals) of values with x or z, without internal names."""
     hit = changes.where(F.lower("val").rlike("[xz]") & ~F.col("sig").rlike(internal))
     out = hit.groupBy("trace_id").agg(F.count(F.lit(1)).alias("x_count"), F.sort_array(F.collect_set("sig")).alias("s"))
     return out.select("trace_id", "x_count", F.slice("s", 1, first).alias("x_signals"))

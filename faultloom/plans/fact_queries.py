@@ -5,12 +5,16 @@ An order stands for a result row: its customer is the sample, its priority the s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..operators import evidence as E
 from ..operators import facts as A
 from ..session import read_table
+from ..streaming.ledger import ledger_summary
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -83,9 +87,9 @@ def j4_full_outer(spark, sf_dir):
 
 @query(", o AS (SELECT sample, arg_min(loc_top1, seed) AS l FROM rows_ GROUP BY 1) SELECT r.sample, r.seed FROM rows_ r JOIN o USING (sample) WHERE o.l IS DISTINCT FROM r.loc_top1")
 def j5_flips(spark, sf_dir):
-    r = rows(spark, sf_dir)
-    old = A.first_wins(r.select("sample", "seed", "loc_top1"), ["sample"], ["seed"]).select("sample", F.col("loc_top1").alias("old"))
-    return r.join(old, "sample").where(~F.col("old").eqNullSafe(F.col("loc_top1"))).select("sample", "seed")
+    r = rows(spark, sf_dir).select("sample", "seed", "loc_top1")
+    old = A.first_wins(r, ["sample"], ["seed"]).select("sample", "loc_top1")
+    return A.flips(old, r, ["sample"], "loc_top1").select("sample", "seed")
 
 
 @query(" SELECT sample, seed, coalesce(c_mktsegment, '?') AS module FROM rows_ LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON sample = c_custkey")
@@ -114,9 +118,10 @@ def j9_j14_resume_grid(spark, sf_dir):
     return A.resume(grid, rows(spark, sf_dir), ["sample", "setting"])
 
 
-@query(" SELECT c_custkey AS sample FROM customer WHERE c_custkey NOT IN (SELECT sample FROM rows_)")
+@query(" SELECT c_custkey AS sample FROM customer WHERE c_custkey NOT IN (SELECT sample FROM rows_ WHERE verdict = 'INCONCLUSIVE')")
 def j10_completeness(spark, sf_dir):
-    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample")).join(rows(spark, sf_dir), "sample", "left_anti")
+    known = rows(spark, sf_dir).where("verdict = 'INCONCLUSIVE'")
+    return A.unresolved(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample")), known, ["sample"])
 
 
 @query(", t AS (SELECT l_orderkey AS seed, list(DISTINCT l_suppkey % 50) AS ls FROM lineitem GROUP BY 1) SELECT seed, list_contains(ls, loc_line) AS hit, list_min(list_transform(ls, lambda x: abs(x - loc_line))) AS dev FROM rows_ JOIN t USING (seed)")
@@ -335,19 +340,18 @@ def t2_top_samples(spark, sf_dir):
     return rows(spark, sf_dir).groupBy("sample").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sample").limit(12)
 
 
-@query(""", s AS (SELECT sample, seed, round(0.7 * CAST(verdict = 'PASS' AS INT) + 0.3 * (1 - CAST(loc_line AS DOUBLE) / greatest(1, max(loc_line) OVER (PARTITION BY sample))), 3) AS score FROM rows_)
-    SELECT sample, seed, score, CAST(row_number() OVER (PARTITION BY sample ORDER BY score DESC, seed) AS INT) AS rank FROM s""")
+@query(""", s AS (SELECT sample, setting, seed, round(0.5 * p + 0.3 * (1 - CAST(loc_line AS DOUBLE) / greatest(1, max(loc_line) OVER (PARTITION BY sample, setting))) + 0.2 * p, 6) AS score
+        FROM (SELECT *, CAST(verdict = 'PASS' AS INT) AS p FROM rows_))
+    SELECT sample, setting, seed, score, CAST(row_number() OVER (PARTITION BY sample, setting ORDER BY score DESC, seed) AS INT) AS rank FROM s""")
 def t3_arbitration(spark, sf_dir):
-    most = F.greatest(F.lit(1), F.max("loc_line").over(Window.partitionBy("sample")))
-    score = F.round(0.7 * (F.col("verdict") == "PASS").cast("int") + 0.3 * (1 - F.col("loc_line") / most), 3)
-    s = rows(spark, sf_dir).select("sample", "seed", score.alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("score"), "seed")))
+    c = rows(spark, sf_dir).select("sample", "setting", "seed", "loc_line", (F.col("verdict") == "PASS").alias("ok"))
+    return A.arbitrate(c, ["sample", "setting"], passed="ok", lines="loc_line", order=["seed"], digits=6).select("sample", "setting", "seed", "score", "rank")
 
 
 @query(" SELECT sample, arg_min(seed, CASE setting WHEN '2' THEN 0 WHEN '1' THEN 1 ELSE 2 END * 1000000000 + seed) AS seed FROM rows_ WHERE setting IN ('1', '2', '3') GROUP BY 1")
 def t5_preference(spark, sf_dir):
-    rank = F.when(F.col("setting") == "2", 0).when(F.col("setting") == "1", 1).otherwise(2)
-    return rows(spark, sf_dir).where("setting in ('1', '2', '3')").groupBy("sample").agg(F.min_by("seed", F.struct(rank, "seed")).alias("seed"))
+    r = rows(spark, sf_dir).select("sample", "setting", "seed")
+    return A.preferred(r, ["sample"], "setting", ["2", "1", "3"], ["seed"]).select("sample", "seed")
 
 
 @query(" SELECT c_custkey AS id, 'c' AS kind, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, 's', NULL FROM supplier")
@@ -378,4 +382,89 @@ def sch3_round_robin(spark, sf_dir):
 @query()
 def sch1_balance(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("group")).agg(F.sum("c_custkey").cast("double").alias("weight"))
-    return spark.createDataFrame(A.balance(c, 8), "group string, shard int")  # one row a nation
+    return A.balance(c, 8)
+
+
+@query(", t AS (SELECT s_nationkey AS n, count(*) * 1.5 AS v, CASE WHEN s_nationkey % 2 = 0 THEN 2.0 END AS g FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1) SELECT n_nationkey AS sample, CAST(CASE WHEN t.n IS NULL THEN 5.0 ELSE v + coalesce(g, 0) END AS DOUBLE) AS weight FROM nation LEFT JOIN t ON n_nationkey = t.n")
+def sch2_weights(spark, sf_dir):
+    s = read_table(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("sample"))
+    timing = s.agg((F.count(F.lit(1)) * 1.5).cast("double").alias("verify_s")).withColumn("golden_s", F.when(F.col("sample") % 2 == 0, 2.0))
+    return A.weights(read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sample")), timing)
+
+
+@query(" SELECT user_id % 100 AS session, count(*) AS calls, CAST(round(sum(CASE WHEN event_type <> 'view' THEN value ELSE 0 END), 4) AS DOUBLE) AS cost FROM events GROUP BY 1")
+def a11_session_cost(spark, sf_dir):
+    cost = F.when(F.col("event_type") != "view", F.col("value"))
+    out = A.session_cost(read_table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("session"), cost.alias("cost")))
+    return out.withColumn("cost", F.round("cost", 4))
+
+
+@query(" SELECT sample, setting, seed, row_number() OVER (ORDER BY sample, setting, seed) AS place FROM rows_ QUALIFY place <= 500")
+def t1_sorted_rows(spark, sf_dir):
+    """The first 500 rows in order, numbered: an order as such has no place in a table."""
+    first = rows(spark, sf_dir).select("sample", "setting", "seed").orderBy("sample", "setting", "seed").limit(500)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("sample", "setting", "seed")))  # of 500 rows
+
+
+_LOGS = """, k AS (SELECT seed, seed % 7 AS a, seed % 5 AS b FROM rows_),
+    l AS (SELECT seed, a, b, a = 0 AS timeout, CASE a WHEN 1 THEN 'x ERROR y' WHEN 2 THEN 'Assert failed' WHEN 3 THEN 'successful proof by k-induction DONE (PASS' WHEN 4 THEN 'DONE (PASS' WHEN 5 THEN 'basecase: Pass' || chr(10) || 'induction: Fail' ELSE 'nothing' END AS text FROM k)"""
+
+
+def _logs(spark, sf_dir) -> DataFrame:
+    a = F.col("seed") % 7
+    text = F.when(a == 1, "x ERROR y").when(a == 2, "Assert failed").when(a == 3, "successful proof by k-induction DONE (PASS").when(a == 4, "DONE (PASS")
+    text = text.when(a == 5, "basecase: Pass\ninduction: Fail").otherwise("nothing")
+    return rows(spark, sf_dir).select("seed", (F.col("seed") % 5).alias("b"), (a == 0).alias("timeout"), text.alias("text"))
+
+
+@query(_LOGS + """ SELECT seed, CASE WHEN timeout THEN 'timeout' WHEN b = 3 OR contains(text, 'ERROR') THEN 'error' WHEN b = 2 OR contains(text, 'Assert failed') THEN 'fail' WHEN contains(text, 'k-induction') THEN 'prove'
+    WHEN b = 0 AND contains(text, 'DONE (PASS') THEN 'pass' ELSE 'error' END AS formal FROM l""")
+def p3_formal_classifier(spark, sf_dir):
+    return _logs(spark, sf_dir).select("seed", A.classify_formal(F.col("text"), F.col("b"), F.col("timeout"), F.col("b") == 3).alias("formal"))
+
+
+@query(_LOGS + """ SELECT seed, CASE WHEN contains(text, 'k-induction') THEN 'PROVE' WHEN contains(text, 'basecase') THEN 'PASS' WHEN contains(text, 'DONE (PASS') THEN 'PASS' WHEN timeout THEN 'TIMEOUT' ELSE 'ERROR' END AS state FROM l""")
+def p4_induction_classifier(spark, sf_dir):
+    return _logs(spark, sf_dir).select("seed", A.classify_induction(F.col("text"), F.col("timeout")).alias("state"))
+
+
+@query(" SELECT seed, seed % 5 = 0 AND seed % 7 <> 0 AND seed % 3 = 0 AND seed % 2 = 0 AS ok FROM rows_")
+def p5_simulation_ok(spark, sf_dir):
+    s = F.col("seed")
+    text = F.concat(F.when(s % 3 == 0, "run ").when(s % 3 == 1, "$fatal ").otherwise("FAIL "), F.when(s % 2 == 0, "$finish").otherwise("cut"))
+    return rows(spark, sf_dir).select("seed", A.simulation_ok(text, s % 5, s % 7 == 0).alias("ok"))
+
+
+@query(" SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'house' WHEN c_mktsegment LIKE '%MACHINE%' THEN 'machine' WHEN c_mktsegment = 'HOUSEHOLD' THEN '?' ELSE c_mktsegment END AS kind FROM customer")
+def p13_category(spark, sf_dir):
+    seg = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "").otherwise(F.col("c_mktsegment"))
+    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), A.category(seg, {"BUILDING": "house", "MACHINE": "machine"}).alias("kind"))
+
+
+@query(""", t AS (SELECT sample, seed AS attempt, verdict = 'PASS' AS ok, 'd' || seed AS diff, setting AS failure FROM rows_), g AS (SELECT sample FROM t GROUP BY 1 HAVING NOT bool_or(ok)),
+    r AS (SELECT t.*, row_number() OVER (PARTITION BY sample ORDER BY attempt DESC) AS rn FROM t JOIN g USING (sample))
+    SELECT sample, string_agg(attempt || ':' || diff || ':' || failure, ' ' ORDER BY attempt) AS history FROM r WHERE rn <= 3 GROUP BY 1""")
+def s4_retry_history(spark, sf_dir):
+    t = rows(spark, sf_dir).select("sample", F.col("seed").alias("attempt"), (F.col("verdict") == "PASS").alias("ok"), F.concat(F.lit("d"), F.col("seed").cast("string")).alias("diff"), F.col("setting").alias("failure"))
+    told = F.transform("history", lambda h: F.concat_ws(":", h["attempt"].cast("string"), h["diff"], h["failure"]))
+    return E.retry_history(t, ["sample"]).select("sample", F.array_join(told, " ").alias("history"))
+
+
+@query(" SELECT event_type AS caller, count(*) AS calls, count(*) FILTER (user_id % 3 <> 0) AS real_calls, count(*) FILTER (user_id % 3 = 0) AS mock_calls, CAST(sum(event_id % 50) AS BIGINT) AS input_tokens FROM events GROUP BY 1")
+def s1_ledger(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events")
+    ledger = e.select(
+        F.col("event_type").alias("caller"), "ts", (F.col("event_id") % 50).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(0.0).alias("cost"), (F.col("user_id") % 3 == 0).alias("mock")
+    )
+    return ledger_summary(ledger, ["caller"]).select("caller", "calls", "real_calls", "mock_calls", "input_tokens")
+
+
+@query(" SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1 HAVING count(*) > 0")
+def s1_s3_streamed_counts(spark, sf_dir):
+    """The events read as a stream, counted by type, and written by foreachBatch-like replacement into a memory table."""
+    name = f"faultloom_stream_{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").where("event_id % 2 = 0").groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

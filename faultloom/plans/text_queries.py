@@ -64,12 +64,6 @@ def c22_leak_words(spark, sf_dir):
     return found.where(F.size("w") > 0).select("doc_id", F.array_join("w", ",").alias("words"))
 
 
-@query("SELECT conv_id, turn, CAST(nullif(regexp_extract(t, '(?im)^\\s*line\\s*[:=]\\s*(\\d+)', 1), '') AS INT) AS line, nullif(trim(regexp_extract(t, '(?im)^\\s*reason\\s*[:=]\\s*(.+)$', 1)), '') AS reason FROM (SELECT conv_id, turn, 'line: ' || turn || chr(10) || 'reason: ' || role AS t FROM conversations)")
-def c12_parse_output(spark, sf_dir):
-    t = F.concat(F.lit("<think>x</think>line: "), F.col("turn").cast("string"), F.lit("\nreason: "), F.col("role"))
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", X.parse_output(t).alias("o")).select("conv_id", "turn", "o.line", "o.reason")
-
-
 @query("SELECT doc_id, len(list_filter(string_split(d, chr(10)), lambda x: regexp_matches(x, '^[+-]') AND NOT regexp_matches(x, '^(\\+\\+\\+|---)'))) AS n FROM (SELECT doc_id, '--- a' || chr(10) || '+++ b' || chr(10) || '+' || replace(text, chr(10), chr(10) || '-') AS d FROM documents)")
 def c17_diff_size(spark, sf_dir):
     d = F.concat(F.lit("--- a\n+++ b\n+"), F.regexp_replace("text", "\n", "\n-"))
@@ -83,19 +77,12 @@ def c15_c19_truth_lines(spark, sf_dir):
     return d.select("doc_id", F.array_join(X.ground_truth(F.col("text"), other).cast("array<string>"), ",").alias("lines"))
 
 
-@query()
-def c16_apply_diff(spark, sf_dir):
-    first = F.element_at(F.split("text", "\n"), 1)
-    diff = F.concat(F.lit("@@ -1,1 +1,1 @@\n-"), first, F.lit("\n+replaced"))
-    return docs(spark, sf_dir).select("doc_id", F.sha2(X.patched(F.col("text"), diff), 256).alias("digest"))
-
-
 @query(_LINES + """, h AS (SELECT *, regexp_matches(line, '^(The|A)') AS hit FROM l), n AS (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY trace_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM h)
     SELECT trace_id, pos, md5(CASE WHEN NOT hit THEN line WHEN k = 1 THEN '// one' ELSE '// more' END) AS digest FROM n""")
 def p7_sanitise(spark, sf_dir):
     marked = lines(spark, sf_dir).withColumn("own", F.col("line"))
     marked = marked.withColumn("line", F.when(F.col("line").rlike("^(The|A)"), F.lit("// leak")).otherwise(F.concat(F.lit("="), F.col("line"))))
-    out = X.sanitise(marked, ["leak"], "// one", "// more")
+    out = X.sanitise(marked, ["leak"], " one", " more")
     line = F.when(F.col("line").startswith("="), F.col("own")).otherwise(F.col("line"))
     return out.select("trace_id", "pos", F.md5(line.cast("binary")).alias("digest"))
 
@@ -116,12 +103,6 @@ def st11_token_estimate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", S.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(_LINES + " SELECT trace_id, min(pos) FILTER (contains(line, 'the')) AS first_any, count(*) FILTER (contains(line, 'the')) AS n FROM l GROUP BY 1")
-def st10_heuristic_locators(spark, sf_dir):
-    hit = F.contains("line", F.lit("the"))
-    return lines(spark, sf_dir).groupBy("trace_id").agg(F.min(F.when(hit, F.col("pos"))).alias("first_any"), F.count_if(hit).alias("n"))
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def sc7_json(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")

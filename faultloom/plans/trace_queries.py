@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import facts as A
 from ..operators import trace as T
 from ..session import read_table
+from ..sinks.waveforms import waveforms
+from ..sources import vcd as V
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,8 +44,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+#: Traces are sorted in pieces of thirty days.
+SPAN = 30 * 86_400_000_000
+
+
 def cycled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.with_cycles(changes(spark, sf_dir), F.col("sig") == "signup")
+    return T.with_cycles(changes(spark, sf_dir), F.col("sig") == "signup", span=SPAN)
 
 
 def last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +84,7 @@ def w1_w2_cycle_last_value(spark, sf_dir):
 
 @query("SELECT trace_id, CAST(0 AS BIGINT) AS cycle, CAST(0 AS BIGINT) AS t0 FROM ch GROUP BY 1 UNION ALL SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY ts, pos), ts FROM ch WHERE sig = 'signup'")
 def w1_cycle_starts(spark, sf_dir):
-    return T.cycle_starts(changes(spark, sf_dir), F.col("sig") == "signup")
+    return T.cycle_starts(changes(spark, sf_dir), F.col("sig") == "signup", span=SPAN)
 
 
 @query("SELECT trace_id, CAST(0 AS BIGINT) AS cycle, sig, arg_max(val, pos) AS val FROM ch GROUP BY 1, 3")
@@ -190,7 +197,7 @@ _HAND = """, d AS (SELECT trace_id, cycle, max(CASE WHEN sig = 'click' THEN CAST
     h AS (SELECT trace_id, cycle, last_value(valid IGNORE NULLS) OVER o AS v, last_value(ready IGNORE NULLS) OVER o AS r FROM d WINDOW o AS (PARTITION BY trace_id ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     p AS (SELECT h.*, anchor, coalesce(lag(v) OVER (PARTITION BY trace_id ORDER BY cycle), 0) AS pv FROM h LEFT JOIN an USING (trace_id)),
     q AS (SELECT *, min(CASE WHEN r = 1 THEN cycle END) OVER (PARTITION BY trace_id) AS fr, min(CASE WHEN v = 1 AND pv = 0 THEN cycle END) OVER (PARTITION BY trace_id) AS fv FROM p),
-    f AS (SELECT trace_id, min(fv) AS first_valid_rise, min(fr) AS first_ready, count(*) FILTER (v = 1 AND coalesce(r, 0) <> 1 AND (fr IS NULL OR cycle < fr)) AS wait_cycles,
+    f AS (SELECT trace_id, min(fv) AS first_valid_rise, min(fr) AS first_ready, count(*) FILTER (v = 1 AND r = 0 AND (fr IS NULL OR cycle < fr)) AS wait_cycles,
         count(*) FILTER (v = 1 AND cycle >= fr) AS hold_cycles, coalesce(bool_or(pv = 1 AND v = 0), false) AS deassert_seen, max(CASE WHEN cycle = anchor THEN v END) AS valid_at_fail,
         max(CASE WHEN cycle = anchor THEN r END) AS ready_at_fail, max(CASE WHEN cycle = fv THEN r END) AS ready_at_valid_rise
         FROM q GROUP BY 1 HAVING count(*) FILTER (v IS NOT NULL OR r IS NOT NULL) > 0)
@@ -209,10 +216,96 @@ def w21_handshake_features(spark, sf_dir):
     return _handshake(spark, sf_dir)
 
 
-@query(_HAND + """SELECT trace_id, array_to_string(list_filter([CASE WHEN first_valid_rise IS NOT NULL AND first_ready IS NULL THEN 'ready_never_seen' END,
-    CASE WHEN deassert_seen AND hold_cycles = 0 THEN 'valid_dropped_before_ready' END, CASE WHEN valid_at_fail = 1 AND coalesce(ready_at_fail, 0) = 0 THEN 'waiting_at_fail' END], lambda x: x IS NOT NULL), ',') AS violations FROM f""")
+#: The signals that stand for each pair's valid and ready: event type and the value above which it is 1.
+PAIRS = {
+    T.B: ("click", 40, "purchase", 60), T.R: ("view", 30, "click", 50), T.AW: ("view", 50, "error", 20), T.W: ("error", 40, "purchase", 50),
+    T.AR: ("click", 20, "view", 70), T.TX: ("purchase", 50, "view", 40), T.RX: ("error", 60, "click", 30),
+}
+
+
+def _valid_ready() -> str:
+    return " UNION ALL ".join(
+        f"SELECT trace_id, cycle, '{p}' AS pair, max(CASE WHEN sig = '{v}' THEN CAST(val > {a} AS INT) END) AS valid, max(CASE WHEN sig = '{r}' THEN CAST(val > {b} AS INT) END) AS ready FROM grid GROUP BY 1, 2"
+        for p, (v, a, r, b) in PAIRS.items()
+    )
+
+
+_PAIRED = f""", d AS ({_valid_ready()}),
+    h AS (SELECT trace_id, pair, cycle, last_value(valid IGNORE NULLS) OVER o AS v, last_value(ready IGNORE NULLS) OVER o AS r FROM d
+          WINDOW o AS (PARTITION BY trace_id, pair ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    e AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY trace_id, pair ORDER BY cycle), 0) AS pv FROM h),
+    rise AS (SELECT trace_id, pair, min(cycle) FILTER (v = 1 AND pv = 0) AS rise, min(cycle) FILTER (r = 1) AS ready, coalesce(bool_or(pv = 1 AND v = 0), false) AS fell FROM e GROUP BY 1, 2),
+    lvl AS (SELECT e.trace_id, e.pair, e.r FROM e JOIN rise ON e.trace_id = rise.trace_id AND e.pair = rise.pair AND e.cycle = rise.rise),
+    x AS (SELECT rise.*, lvl.r AS level FROM rise LEFT JOIN lvl USING (trace_id, pair)),
+    one AS (SELECT trace_id, """ + ", ".join(
+    f"min(rise) FILTER (pair = '{p}') AS rise{i}, min(ready) FILTER (pair = '{p}') AS ready{i}, bool_or(fell) FILTER (pair = '{p}') AS fell{i}, max(level) FILTER (pair = '{p}') AS level{i}"
+    for i, p in enumerate(PAIRS)
+) + """ FROM x GROUP BY 1)
+"""  # pairs by number: 0 B, 1 R, 2 AW, 3 W, 4 AR, 5 TX, 6 RX
+
+
+@query(_PAIRED + """SELECT trace_id, array_to_string(list_filter(CASE trace_id % 3
+    WHEN 0 THEN [CASE WHEN rise0 IS NOT NULL AND NOT fell0 THEN 'bvalid_never_released' END, CASE WHEN rise0 IS NOT NULL AND ready0 IS NULL THEN 'bready_never_raised' END,
+                 CASE WHEN ready2 IS NOT NULL AND ready3 IS NOT NULL AND rise0 < greatest(ready2, ready3) THEN 'bvalid_before_write_handshakes' END,
+                 CASE WHEN rise1 IS NOT NULL AND NOT fell1 THEN 'rvalid_never_released' END, CASE WHEN rise1 < ready4 THEN 'rvalid_before_address_handshake' END]
+    WHEN 1 THEN [CASE WHEN rise5 IS NOT NULL AND level5 = 1 THEN 'busy_without_start_bit' END]
+    ELSE [CASE WHEN rise6 IS NOT NULL AND NOT fell6 THEN 'rx_valid_never_released' END] END, lambda v: v IS NOT NULL), ',') AS violations FROM one""")
 def w22_protocol_violations(spark, sf_dir):
-    return T.protocol_violations(_handshake(spark, sf_dir)).withColumn("violations", F.array_join("violations", ","))
+    grid = T.dense(last(spark, sf_dir))
+    bit = lambda sig, over: F.when(F.col("sig") == sig, (F.col("val") > over).cast("int"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), bit(v, a).alias("valid"), bit(r, b).alias("ready")) for p, (v, a, r, b) in PAIRS.items()]))
+    pairs = grid.select("trace_id", "cycle", each.alias("p")).groupBy("trace_id", "cycle", "p.pair").agg(F.max("p.valid").alias("valid"), F.max("p.ready").alias("ready"))
+    features = T.handshake_features(pairs, anchors(spark, sf_dir), keys=("trace_id", "pair"))
+    module = F.element_at(F.array(*[F.lit(m) for m in ("axi_lite_slave", "uart_tx", "uart_rx")]), (F.col("trace_id") % 3 + 1).cast("int"))
+    modules = grid.select("trace_id").distinct().withColumn("module", module)
+    return T.protocol_violations(features, modules).withColumn("violations", F.array_join("violations", ","))
+
+
+@query(_PAIR + """SELECT pair_id AS trace_id, sig, min(cycle) AS first_diff FROM (SELECT pair_id, sig, cycle, g.val AS gv, b.val AS bv FROM g JOIN b USING (pair_id, sig, cycle))
+    WHERE cycle >= 1 AND sig <> 'view' AND gv IS DISTINCT FROM bv GROUP BY 1, 2""")
+def w16_replay_diff(spark, sf_dir):
+    g, b = (df.withColumnRenamed("pair_id", "trace_id") for df in pair(spark, sf_dir))
+    return T.replay_diff(g, b, inputs=["view"])
+
+
+_SHOW = {"click": "clk", "view": "state", "purchase": "valid", "error": "any_error", "signup": "burst"}
+
+
+@query(""", s AS (SELECT trace_id, CASE sig WHEN 'click' THEN 'clk' WHEN 'view' THEN 'state' WHEN 'purchase' THEN 'valid' WHEN 'error' THEN 'any_error' WHEN 'signup' THEN 'burst' ELSE sig END AS sig, min(pos) AS f FROM ch GROUP BY 1, 2),
+    p AS (SELECT *, CASE sig WHEN 'clk' THEN 1 WHEN 'state' THEN 3 WHEN 'valid' THEN 21 ELSE 24 END AS p FROM s WHERE sig NOT LIKE 'any%'),
+    r AS (SELECT trace_id, sig, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY p, f, sig) AS INT) AS rank FROM p) SELECT * FROM r WHERE rank <= 3""")
+def t6_signals_to_show(spark, sf_dir):
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in _SHOW.items() for x in kv])[F.col("sig")], F.col("sig"))
+    return A.signals_to_show(T.signal_list(changes(spark, sf_dir).withColumn("sig", named)), most=3)
+
+
+def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as the lines of a value-change dump: of each event a time mark and a change; one declaration a type."""
+    e = changes(spark, sf_dir).withColumn("vid", F.substring("sig", 1, 2))
+    bits = F.bin(F.floor("val").cast("long"))
+    body = F.array(F.concat(F.lit("#"), F.col("ts").cast("string")), F.concat(F.lit("b"), bits, F.lit(" "), F.col("vid")), F.lit("r1.5 zz"))
+    lines = e.select("trace_id", F.col("pos").alias("p"), F.posexplode(body).alias("i", "line")).select("trace_id", (F.col("p") * 4 + F.col("i") + 1000).alias("pos"), "line")
+    declared = e.select("trace_id", "sig", "vid").distinct()
+    heads = F.concat(F.lit("$var wire 7 "), F.col("vid"), F.lit(" "), F.col("sig"), F.lit(" $end"))
+    return lines.unionByName(declared.select("trace_id", F.ascii("sig").cast("long").alias("pos"), heads.alias("line")))
+
+
+@query("SELECT trace_id, ts, substr(sig, 1, 2) AS vid, bin(CAST(floor(val) AS BIGINT)) AS val, count(*) AS n FROM ch GROUP BY ALL")
+def sc1_sc2_dump_changes(spark, sf_dir):
+    return V.changes(dump_lines(spark, sf_dir)).groupBy("trace_id", "ts", "vid", "val").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT trace_id, substr(sig, 1, 2) AS vid, sig AS name, 7 AS width FROM ch")
+def sc1_dump_signals(spark, sf_dir):
+    return V.signals(dump_lines(spark, sf_dir)).select("trace_id", "vid", "name", "width")
+
+
+@query("SELECT trace_id, len(string_split(x, ',')) AS shown FROM (SELECT trace_id, string_agg(DISTINCT sig, ',') AS x FROM ch WHERE sig IN ('click', 'error', 'view') GROUP BY 1)")
+def sk5_waveforms(spark, sf_dir):
+    sampled = T.last_in_cycle(cycled(spark, sf_dir)).withColumn("val", F.floor("val").cast("string"))
+    shown = changes(spark, sf_dir).where("sig in ('click', 'error', 'view')").groupBy("trace_id", "sig").agg(F.min("pos").alias("rank"))
+    svg = waveforms(sampled, shown, anchors(spark, sf_dir))
+    return svg.select("trace_id", F.size(F.regexp_extract_all("svg", F.lit('<text x="4" '), F.lit(0))).cast("long").alias("shown"))
 
 
 @query(""", e2 AS (SELECT trace_id, max(cycle) AS b FROM cy WHERE sig = 'error' GROUP BY 1),

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-
 def _first(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -39,23 +39,24 @@ def solver_log(text: Column) -> Column:
 
 
 def fail_steps(text: Column) -> Column:
-    """SC4: struct(max_step, last_line): the largest step checked and the line of the last failed assertion."""
+    """SC4: struct(max_step, last_assert): the largest step checked and the last line that tells of a failed assertion."""
     steps = F.transform(F.regexp_extract_all(text, F.lit(r"Checking assertions in step (\d+)\.\."), F.lit(1)), lambda x: x.cast("int"))
-    lines = F.regexp_extract_all(text, F.lit(r"Assert failed in [^:\n]+: [^\s:]+:(\d+)"), F.lit(1))
-    return F.struct(F.array_max(steps).alias("max_step"), F.try_element_at(lines, F.lit(-1)).cast("int").alias("last_line"))
+    told = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: F.contains(x, F.lit("Assert failed")))
+    return F.struct(F.array_max(steps).alias("max_step"), F.coalesce(F.trim(F.try_element_at(told, F.lit(-1))), F.lit("")).alias("last_assert"))
 
 
 def fail_step(text: Column) -> Column:
-    """SC4: the largest step checked, else the first "at step N"."""
-    return F.coalesce(fail_steps(text)["max_step"], _first(text, r"at step (\d+)", 1).cast("int"))
+    """SC4: the step of a summary line, else the largest step checked, else the first "at step N"."""
+    checked = F.transform(F.regexp_extract_all(text, F.lit(r"Checking assertions in step (\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    return F.coalesce(_first(text, r"failed assertion .*?step (\d+)", 1).cast("int"), F.array_max(checked), _first(text, r"at step (\d+)", 1).cast("int"))
 
 
-def task_timing(logs: DataFrame, *, pattern: str = r"(?m)^\s*(\S+)\s+(\S+)\s+([\d.]+)\s*s\b") -> DataFrame:
-    """SC5: (sample, kind, seconds): the seconds of all task lines of a log, summed by sample and kind."""
-    found = logs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(pattern))
-    parts = [F.regexp_extract("line", pattern, i) for i in (1, 2, 3)]
-    out = found.select(parts[0].alias("sample"), parts[1].alias("kind"), parts[2].cast("double").alias("secs"))
-    return out.groupBy("sample", "kind").agg(F.sum("secs").alias("seconds"))
+def task_timing(logs: DataFrame) -> DataFrame:
+    """SC5: (sample, kind, seconds): the seconds of all task lines of all logs, summed by sample and kind."""
+    line = r"\[\d+/\d+\]\s+(s\d{2,})\s+(verify|golden):\s+DONE\s+\([^)]*\)\s+\(([\d.]+)s\)"
+    found = logs.select(F.explode(F.regexp_extract_all("text", F.lit(line), F.lit(0))).alias("task"))
+    sample, kind, seconds = (F.regexp_extract("task", line, i) for i in (1, 2, 3))
+    return found.groupBy(sample.alias("sample"), kind.alias("kind")).agg(F.sum(seconds.cast("double")).alias("seconds"))
 
 
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -98,14 +99,46 @@ def read_results(spark: SparkSession, pattern: str, row_schema: str) -> DataFram
     return files.select("src", F.posexplode(rows).alias("pos", "row")).select("src", "pos", "row.*")
 
 
-def missing_files(spark: SparkSession, root: str, required: list[str]) -> DataFrame:
-    """SC12, J10: (sample, file): required files that a sample folder below root lacks."""
+def read_with_fallback(spark: SparkSession, whole: str, shards: str, partials: str, row_schema: str, keys: list[str]) -> DataFrame:
+    """SC11: the rows of the whole file; if it has none, those of all shards and then of the partial JSON lines, the first
+    of each key (in order of file names), sorted by key. Files that aren't there or can't be read have no rows."""
+    names = [c.split(":")[0].strip() for c in row_schema.split(",")]
+
+    def rows(pattern: str, lines: bool) -> DataFrame:
+        try:
+            if lines:
+                read = spark.read.schema(row_schema.replace(":", " ")).option("mode", "DROPMALFORMED").json(pattern)
+                return read.select(F.col("_metadata.file_path").alias("src"), F.monotonically_increasing_id().alias("pos"), *names)
+            return read_results(spark, pattern, row_schema).withColumn("pos", F.col("pos").cast("long"))
+        except AnalysisException:
+            return spark.createDataFrame([], f"src string, pos long, {row_schema.replace(':', ' ')}")
+
+    first = rows(whole, False).select(*names)
+    if not first.isEmpty():
+        return first
+    every = rows(shards, False).withColumn("part", F.lit(0)).unionByName(rows(partials, True).withColumn("part", F.lit(1)))
+    kept = every.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("part", "src", "pos")).alias("row"))
+    return kept.select("row.*").orderBy(*keys)
+
+
+def missing_files(spark: SparkSession, root: str, required: list[str], samples: DataFrame | None = None) -> DataFrame:
+    """SC12, J10: (sample, file): required files that a sample folder below root lacks. samples: (sample), those that must
+    be there, also if they have no file at all; by default the folders found. Files are listed, not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     have = files.select(F.element_at(F.split("path", "/"), -2).alias("sample"), F.element_at(F.split("path", "/"), -1).alias("file"))
-    need = have.select("sample").distinct().withColumn("file", F.explode(F.array(*[F.lit(x) for x in required])))
+    need = (have if samples is None else samples).select("sample").distinct().withColumn("file", F.explode(F.array(*[F.lit(x) for x in required])))
     return need.join(have, ["sample", "file"], "left_anti")
 
 
+def design_file(files: DataFrame) -> DataFrame:
+    """SC12: (sample, file): the design of each sample, of (sample, file): buggy.sv, else buggy.v, else the first by name
+    that is neither a test bench nor a reference."""
+    rank = F.when(F.col("file") == "buggy.sv", 0).when(F.col("file") == "buggy.v", 1)
+    other = F.col("file").rlike(r"\.s?v$") & ~F.col("file").rlike("^(?:tb_|golden)") & ~F.col("file").isin("assertions.sv", "uart_tx.sv", "formal_top.sv")
+    ranked = files.withColumn("rank", rank.when(other, 2)).where("rank is not null")
+    return ranked.groupBy("sample").agg(F.min_by("file", F.struct("rank", "file")).alias("file"))
+
+
 PORT = r"\b(input|output|inout)\b"
 
 

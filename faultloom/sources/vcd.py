@@ -16,10 +16,14 @@ SCALAR = r"^([01xzXZ])(\S+)$"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(trace_id, pos, line) of text files; a file is a trace, and its lines keep their order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("trace_id"), "value")
-    lines = F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")
-    return files.select("trace_id", F.posexplode(lines).alias("pos", "line"))
+    """(trace_id, pos, line) of text files; a file is a trace, and its lines keep their order.
+
+    Large files are read in splits: ``pos`` is a struct of the split's first byte and the line's place in what the
+    split's task reads, so it orders the lines of a file without a task that sees the file whole.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("block"), "value")
+    pos = F.struct("block", F.monotonically_increasing_id().alias("row"))
+    return rows.select("trace_id", pos.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def signals(lines: DataFrame) -> DataFrame:
@@ -44,10 +48,19 @@ def decode_value(line):
 
 
 def changes(lines: DataFrame) -> DataFrame:
-    """SC1, D2: (trace_id, pos, ts, vid, val); the time before any mark is 0."""
+    """SC1, D2: (trace_id, pos, ts, vid, val); the time before any mark is 0.
+
+    The running time is a window over each split of a trace, which begins with the last time of the splits before.
+    """
     body = lines.select("trace_id", "pos", F.trim("line").alias("line")).where("line <> '' and not startswith(line, '$')")
+    split = F.col("pos.block") if lines.schema["pos"].dataType.typeName() == "struct" else F.lit(0)
     mark = F.when(F.col("line").startswith("#"), F.expr(f"try_cast(regexp_extract(line, r'{TIME}', 1) as bigint)"))
-    upto = Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    timed = body.withColumn("ts", F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.lit(0).cast("bigint")))
+    body = body.withColumn("split", split).withColumn("mark", mark)
+    ends = body.groupBy("trace_id", "split").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("pos"))).alias("end"))
+    before = Window.partitionBy("trace_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("trace_id", "split", F.last("end", ignorenulls=True).over(before).alias("begin"))
+    upto = Window.partitionBy("trace_id", "split").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    timed = body.withColumn("own", F.last("mark", ignorenulls=True).over(upto)).join(ends, ["trace_id", "split"])
+    timed = timed.withColumn("ts", F.coalesce("own", "begin", F.lit(0).cast("bigint")))
     out = timed.where(~F.col("line").startswith("#")).select("trace_id", "pos", "ts", decode_value(F.col("line")).alias("v"))
     return out.select("trace_id", "pos", "ts", "v.vid", "v.val").where("vid is not null")

@@ -1,5 +1,7 @@
 """Sources on small files written by hand."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from faultloom.operators import trace
@@ -66,6 +68,39 @@ def test_missing_files(spark, tmp_path):
             (tmp_path / d / n).write_text("x")
     got = logs.missing_files(spark, str(tmp_path), ["design.v", "tb.v"]).collect()
     assert [(r["sample"], r["file"]) for r in got] == [("s02", "tb.v")]
+    samples = spark.createDataFrame([("s01",), ("s03",)], "sample string")
+    got = logs.missing_files(spark, str(tmp_path), ["design.v", "tb.v"], samples).collect()
+    assert sorted((r["sample"], r["file"]) for r in got) == [("s03", "design.v"), ("s03", "tb.v")]
+
+
+def test_dump_read_in_splits(spark, tmp_path):
+    """A dump of many splits gives the changes of the dump as one piece, in order and with the right times."""
+    text = "$var wire 8 # n $end\n#0\n" + "".join(f"#{i * 10}\nb{i % 2:08b} #\n1!\n" for i in range(1, 3000))
+    (tmp_path / "big.vcd").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = vcd.read_lines(spark, str(tmp_path / "big.vcd"))
+        assert lines.select("pos.block").distinct().count() > 3
+        got = [(r["ts"], r["vid"], r["val"]) for r in vcd.changes(lines).orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [x for i in range(1, 3000) for x in ((i * 10, "#", f"{i % 2:08b}"), (i * 10, "!", "1"))]
+
+
+def test_results_with_a_fallback(spark, tmp_path):
+    schema, keys = "sample: string, setting: string, seed: int, ok: boolean", ["sample", "setting", "seed"]
+    one = lambda s, seed, ok: {"sample": s, "setting": "A", "seed": seed, "ok": ok}
+    (tmp_path / "part_1.json").write_text(json.dumps({"results": [one("s02", 0, True), one("s01", 0, True)]}))
+    (tmp_path / "part_2.json").write_text(json.dumps({"results": [one("s01", 0, False)]}))
+    (tmp_path / "part_1.json.partial.jsonl").write_text(json.dumps(one("s03", 1, False)) + "\n" + json.dumps(one("s02", 0, False)) + "\n{cut")
+    paths = [str(tmp_path / x) for x in ("all.json", "part_?.json", "part_*.partial.jsonl")]
+    read = lambda: [(r["sample"], r["seed"], r["ok"]) for r in logs.read_with_fallback(spark, *paths, schema, keys).collect()]
+    assert read() == [("s01", 0, True), ("s02", 0, True), ("s03", 1, False)]
+    (tmp_path / "all.json").write_text(json.dumps({"results": []}))
+    assert len(read()) == 3
+    (tmp_path / "all.json").write_text(json.dumps({"results": [one("s09", 2, True)]}))
+    assert read() == [("s09", 2, True)]
 
 
 def test_log_scalars(spark):
