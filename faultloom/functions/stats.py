@@ -47,14 +47,28 @@ def mcnemar_doubled(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.bround(F.least(2 * tail, F.lit(1.0)), 4))
 
 
-def holm(tests: DataFrame, p: str = "p", *, partition: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """ST4, WF3: p_holm, which never falls from a smaller to a larger p and is 1 at most."""
-    w = Window.partitionBy(*(partition or [F.lit(0)]))
-    ranked = w.orderBy(p, *(order or []))
-    rank = F.row_number().over(ranked)
-    scaled = F.col(p) * (F.count(F.lit(1)).over(w) - rank + 1)
-    out = tests.withColumn("__s", scaled).withColumn("__r", rank)
-    return out.withColumn("p_holm", F.least(F.lit(1.0), F.max("__s").over(w.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)))).drop("__s", "__r")
+def holm(tests: DataFrame, p: str = "p", *, partition: list[str] | None = None, order: list[str] | None = None, pieces: int = 1000) -> DataFrame:
+    """ST4, WF3: p_holm, which never falls from a smaller to a larger p and is 1 at most.
+
+    Tests are ranked in pieces of equal width of p; a piece gets the number of tests and the largest value before it
+    from a window over the pieces, so a large family isn't sorted by one task. A null p has no p_holm and no rank.
+    """
+    keys = partition or []
+    piece = F.when(F.col(p).isNull(), -1).otherwise(F.least(F.floor(F.col(p) * pieces), F.lit(pieces)))
+    rows = tests.withColumn("__piece", piece)
+    sizes = rows.where("__piece >= 0").groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__k"))
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__piece")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__ahead", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    sizes = sizes.withColumn("__m", F.sum("__k").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    inside = Window.partitionBy(*keys, "__piece").orderBy(p, *(order or []))
+    rank = F.col("__ahead") + F.row_number().over(inside)
+    ranked = rows.join(sizes.drop("__k"), [*keys, "__piece"], "left").withColumn("__s", F.col(p) * (F.col("__m") - rank + 1))
+    ranked = ranked.withColumn("__own", F.max("__s").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    tops = ranked.where("__piece >= 0").groupBy(*keys, "__piece").agg(F.max("__s").alias("__top")).withColumn("__before", F.max("__top").over(before)).drop("__top")
+    out = ranked.join(tops, [*keys, "__piece"], "left")
+    value = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.greatest("__own", "__before")))
+    return out.withColumn("p_holm", value).select(*tests.columns, "p_holm")
 
 
 def risk_difference(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import evidence as E
 from ..operators import facts as A
+from ..operators import rollups as R
 from ..session import read_table
 from ..streaming.ledger import ledger_summary
 
@@ -81,8 +82,7 @@ def j3_setting_pairs_last(spark, sf_dir):
 @query(", a AS (SELECT sample, count(*) AS na FROM rows_ WHERE setting = '1' GROUP BY 1), b AS (SELECT sample, count(*) AS nb FROM rows_ WHERE setting = '2' GROUP BY 1) SELECT sample, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM a FULL JOIN b USING (sample)")
 def j4_full_outer(spark, sf_dir):
     n = lambda s, c: rows(spark, sf_dir).where(F.col("setting") == s).groupBy("sample").agg(F.count(F.lit(1)).alias(c))
-    out = n("1", "na").join(n("2", "nb"), "sample", "full_outer")
-    return out.select("sample", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("na", "nb")])
+    return R.either_side(n("1", "na"), n("2", "nb"), ["sample"], 0)
 
 
 @query(", o AS (SELECT sample, arg_min(loc_top1, seed) AS l FROM rows_ GROUP BY 1) SELECT r.sample, r.seed FROM rows_ r JOIN o USING (sample) WHERE o.l IS DISTINCT FROM r.loc_top1")
@@ -94,8 +94,8 @@ def j5_flips(spark, sf_dir):
 
 @query(" SELECT sample, seed, coalesce(c_mktsegment, '?') AS module FROM rows_ LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON sample = c_custkey")
 def j6_dimension_lookup(spark, sf_dir):
-    c = read_table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("sample"), "c_mktsegment")
-    return rows(spark, sf_dir).join(c, "sample", "left").select("sample", "seed", F.coalesce("c_mktsegment", F.lit("?")).alias("module"))
+    c = read_table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("module"))
+    return R.looked_up(rows(spark, sf_dir), c, "sample", "module").select("sample", "seed", "module")
 
 
 @query(" SELECT seed, coalesce(CASE WHEN seed % 5 = 0 THEN 'RECHECKED' END, verdict) AS verdict FROM rows_")
@@ -108,13 +108,12 @@ def j7_upsert(spark, sf_dir):
 @query(" SELECT sample, setting, seed FROM rows_ WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = seed AND l_quantity > 45)")
 def j8_p14_task_filter(spark, sf_dir):
     wanted = read_table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("seed"))
-    return rows(spark, sf_dir).join(wanted, "seed", "left_semi").select("sample", "setting", "seed")
+    return R.only_tasks(rows(spark, sf_dir), wanted, ["seed"]).select("sample", "setting", "seed")
 
 
 @query(", s AS (SELECT DISTINCT setting FROM rows_), g AS (SELECT c_custkey AS sample, setting FROM customer, s) SELECT sample, setting FROM g WHERE NOT EXISTS (SELECT 1 FROM rows_ r WHERE r.sample = g.sample AND r.setting = g.setting)")
 def j9_j14_resume_grid(spark, sf_dir):
-    settings = F.array(*[F.lit(str(i)) for i in range(1, 6)])
-    grid = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), F.explode(settings).alias("setting"))
+    grid = R.task_grid(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample")), setting=[str(i) for i in range(1, 6)])
     return A.resume(grid, rows(spark, sf_dir), ["sample", "setting"])
 
 
@@ -168,74 +167,76 @@ def a3_totals_and_marginals(spark, sf_dir):
 @query(" SELECT c_mktsegment AS module, verdict, count(*) FILTER (setting = '1' AND loc_top1) AS s1, count(*) FILTER (setting = '2' AND loc_top1) AS s2, count(*) FILTER (setting = '3' AND loc_top1) AS s3 FROM rows_ JOIN customer ON sample = c_custkey GROUP BY 1, 2")
 def a4_a5_interaction_pivot(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("module"))
-    p = rows(spark, sf_dir).join(c, "sample").groupBy("module", "verdict").pivot("setting", ["1", "2", "3"]).agg(F.count_if("loc_top1"))
+    p = A.pivoted(rows(spark, sf_dir).join(c, "sample"), ["module", "verdict"], "setting", ["1", "2", "3"], F.count_if("loc_top1"))
     return p.select("module", "verdict", *[F.coalesce(s, F.lit(0)).alias(f"s{s}") for s in "123"])
 
 
 @query(", d AS (SELECT setting, seed % 3 AS s, CAST(round(avg(CAST(loc_line AS DOUBLE)), 6) AS DOUBLE) AS r FROM rows_ GROUP BY 1, 2) SELECT setting, round(max(r) - min(r), 6) AS spread FROM d GROUP BY 1")
 def a6_seed_spread(spark, sf_dir):
-    d = rows(spark, sf_dir).groupBy("setting", (F.col("seed") % 3).alias("s")).agg(F.round(F.avg("loc_line"), 6).alias("r"))
-    return d.groupBy("setting").agg(F.round(F.max("r") - F.min("r"), 6).alias("spread"))
+    r = rows(spark, sf_dir).withColumn("s", F.col("seed") % 3)
+    return A.spread(r, ["setting"], "s", F.round(F.avg("loc_line"), 6)).select("setting", F.round("spread", 6).alias("spread"))
 
 
 @query(" SELECT sample, count(*) AS total, count(*) FILTER (verdict = 'PASS') AS killed, array_to_string(list_sort(list_distinct(list(loc_line)))[1:5], ',') AS lines FROM rows_ GROUP BY 1")
 def a7_sufficiency(spark, sf_dir):
-    out = rows(spark, sf_dir).groupBy("sample").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "PASS").alias("killed"), F.sort_array(F.collect_set("loc_line")).alias("l"))
-    return out.select("sample", "total", "killed", F.array_join(F.slice("l", 1, 5).cast("array<string>"), ",").alias("lines"))
+    out = R.sufficiency(rows(spark, sf_dir), ["sample"], killed=F.col("verdict") == "PASS", line="loc_line")
+    return out.select("sample", "total", "killed", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
 @query(" SELECT sample, list_sort(list(loc_line))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, max(loc_line) AS largest, CAST(sum(loc_line) AS BIGINT) AS total FROM rows_ GROUP BY 1")
 def a8_upper_median(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy("sample").agg(A.upper_median("loc_line").alias("median"), F.max("loc_line").alias("largest"), F.sum("loc_line").alias("total"))
+    return R.timing(rows(spark, sf_dir), ["sample"], "loc_line")
 
 
 @query(" SELECT substr(url, 1, 5) AS scheme, CAST(sum(length(html)) AS BIGINT) AS raw, CAST(sum(length(regexp_replace(html, '<[^>]*>', '', 'g'))) AS BIGINT) AS slim FROM pages GROUP BY 1")
 def a9_compression(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
-    return p.groupBy(F.substring("url", 1, 5).alias("scheme")).agg(F.sum(F.length("html")).alias("raw"), F.sum(F.length(F.regexp_replace("html", "<[^>]*>", ""))).alias("slim"))
+    p = read_table(spark, sf_dir, "pages").withColumn("scheme", F.substring("url", 1, 5))
+    return R.compression(p, ["scheme"], raw=F.col("html"), slim=F.regexp_replace("html", "<[^>]*>", "")).drop("saved")
 
 
 @query(" SELECT count(*) AS calls, count(*) FILTER (event_type = 'view') AS mock, count(*) FILTER (event_type <> 'view') AS live, CAST(sum(user_id) AS BIGINT) AS tokens FROM events")
 def a10_ledger_summary(spark, sf_dir):
-    e, mock = read_table(spark, sf_dir, "events"), F.col("event_type") == "view"
-    return e.agg(F.count(F.lit(1)).alias("calls"), F.count_if(mock).alias("mock"), F.count_if(~mock).alias("live"), F.sum("user_id").alias("tokens"))
+    e, none = read_table(spark, sf_dir, "events"), F.lit(0)
+    ledger = e.select(F.col("user_id").alias("input_tokens"), none.alias("output_tokens"), none.cast("double").alias("cost"), (F.col("event_type") == "view").alias("mock"))
+    return ledger_summary(ledger).select("calls", F.col("mock_calls").alias("mock"), F.col("real_calls").alias("live"), F.col("input_tokens").alias("tokens"))
 
 
 @query(" SELECT sample, bool_or(verdict = 'PASS') AS any_pass, arg_min(setting, attempts * 1000000000 + seed) AS best, array_to_string(list_sort(list_distinct(list(setting))), '') AS settings FROM rows_ GROUP BY 1")
 def a12_any_pass_best(spark, sf_dir):
-    r = rows(spark, sf_dir).groupBy("sample")
-    return r.agg(F.bool_or(F.col("verdict") == "PASS").alias("any_pass"), F.min_by("setting", F.struct("attempts", "seed")).alias("best"), F.array_join(F.sort_array(F.collect_set("setting")), "").alias("settings"))
+    out = R.best_of(rows(spark, sf_dir), ["sample"], passed=F.col("verdict") == "PASS", choose="setting", order=["attempts", "seed"])
+    return out.select("sample", "any_pass", "best", F.array_join("seen", "").alias("settings"))
 
 
 @query(" SELECT setting, count(*) FILTER (repair_pass AND repair_pass_bmc = false) AS false_pass, count(*) FILTER (NOT repair_pass AND repair_pass_bmc) AS false_fail, count(*) FILTER (repair_pass_bmc IS NULL) AS errors FROM rows_ GROUP BY 1")
 def a13_a14_confusion(spark, sf_dir):
-    p, b = F.col("repair_pass"), F.col("repair_pass_bmc")
-    return rows(spark, sf_dir).groupBy("setting").agg(F.count_if(p & ~b).alias("false_pass"), F.count_if(~p & b).alias("false_fail"), F.count_if(b.isNull()).alias("errors"))
+    return R.confusion(rows(spark, sf_dir), ["setting"], claimed=F.col("repair_pass"), checked=F.col("repair_pass_bmc")).drop("n")
+
+
+@query(" SELECT setting, count(*) FILTER (repair_pass_bmc) AS matched, count(*) FILTER (NOT repair_pass_bmc) AS differing, count(*) FILTER (repair_pass_bmc IS NULL) AS failed, round(count(*) FILTER (repair_pass_bmc) / CAST(count(repair_pass_bmc) AS DOUBLE), 9) AS rate FROM rows_ GROUP BY 1")
+def a14_match_rate(spark, sf_dir):
+    return R.match_rate(rows(spark, sf_dir), ["setting"], F.col("repair_pass_bmc")).withColumn("rate", F.round("rate", 9))
 
 
 @query(", m AS (SELECT event_type, user_id % 7 AS g, unnest([struct_pack(dim := 'a', score := event_id % 5), struct_pack(dim := 'b', score := event_id % 4)]) AS x FROM events) SELECT event_type, x.dim AS dim, count(*) AS n, min(x.score) AS lo, max(x.score) AS hi, CAST(sum(x.score) AS BIGINT) AS total FROM m GROUP BY 1, 2")
 def a15_likert(spark, sf_dir):
     scores = F.create_map(F.lit("a"), F.col("event_id") % 5, F.lit("b"), F.col("event_id") % 4)
-    e = read_table(spark, sf_dir, "events").select("event_type", F.explode(scores).alias("dim", "score"))
-    return e.groupBy("event_type", "dim").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("score").alias("total"))
+    return R.ratings(read_table(spark, sf_dir, "events"), ["event_type"], scores).drop("mean")
 
 
 @query(" SELECT setting, verdict, count(*) FILTER (loc_top1) AS hits, count(*) AS n FROM rows_ GROUP BY ROLLUP (setting, verdict)")
 def a16_rollup(spark, sf_dir):
-    return rows(spark, sf_dir).rollup("setting", "verdict").agg(F.count_if("loc_top1").alias("hits"), F.count(F.lit(1)).alias("n"))
+    return R.accuracy(rows(spark, sf_dir), "setting", "verdict", F.col("loc_top1"))
 
 
 @query(" SELECT sample, CASE WHEN max(attempts) FILTER (verdict = 'PASS') >= 1 + 2 THEN 'sufficient' ELSE 'insufficient' END AS state, count(*) FILTER (verdict = 'PASS') AS converged, count(*) AS n FROM rows_ GROUP BY 1")
 def a17_a18_depth(spark, sf_dir):
-    passed = F.col("verdict") == "PASS"
-    out = rows(spark, sf_dir).groupBy("sample").agg(F.max(F.when(passed, F.col("attempts"))).alias("d"), F.count_if(passed).alias("converged"), F.count(F.lit(1)).alias("n"))
-    return out.select("sample", F.when(F.col("d") >= 3, "sufficient").otherwise("insufficient").alias("state"), "converged", "n")
+    return R.depths(rows(spark, sf_dir), ["sample"], passed=F.col("verdict") == "PASS", depth="attempts", base=1).drop("rate")
 
 
 @query(" SELECT sample, setting, array_to_string(list_sort(list(loc_line)), ',') AS locs FROM rows_ GROUP BY 1, 2")
 def a19_locations(spark, sf_dir):
-    r = rows(spark, sf_dir).groupBy("sample", "setting").agg(F.sort_array(F.collect_list("loc_line")).alias("l"))
-    return r.select("sample", "setting", F.array_join(F.col("l").cast("array<string>"), ",").alias("locs"))
+    out = R.locations(rows(spark, sf_dir), ["sample", "setting"], "loc_line")
+    return out.select("sample", "setting", F.array_join(F.col("locs").cast("array<string>"), ",").alias("locs"))
 
 
 @query(" SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -246,14 +247,14 @@ def a20_duplicates(spark, sf_dir):
 @query(" SELECT lang, quality, toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2, 3")
 def a21_crosstab(spark, sf_dir):
     d = read_table(spark, sf_dir, "labels").join(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return d.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    return R.crosstab(d, ["lang", "quality", "toxic"])
 
 
 @query(" SELECT coalesce(CAST(sample % 10 AS VARCHAR), 'ALL') AS category, count(*) FILTER (setting = '1' AND loc_top1) AS strict_1, count(*) FILTER (setting = '2' AND loc_top1) AS strict_2, count(*) FILTER (setting = '2' AND loc_top1) - count(*) FILTER (setting = '1' AND loc_top1) AS delta FROM rows_ GROUP BY ROLLUP (sample % 10)")
 def a22_ablation(spark, sf_dir):
-    hit = lambda s: F.count_if((F.col("setting") == s) & F.col("loc_top1"))
-    r = rows(spark, sf_dir).withColumn("c", F.col("sample") % 10).rollup("c").agg(hit("1").alias("strict_1"), hit("2").alias("strict_2"))
-    return r.select(F.coalesce(F.col("c").cast("string"), F.lit("ALL")).alias("category"), "strict_1", "strict_2", (F.col("strict_2") - F.col("strict_1")).alias("delta"))
+    r = rows(spark, sf_dir).withColumn("c", F.col("sample") % 10)
+    out = R.ablation(r, "c", setting="setting", base="1", other="2", hit=F.col("loc_top1"))
+    return out.select(F.coalesce(F.col("c").cast("string"), F.lit("ALL")).alias("category"), F.col("n_base").alias("strict_1"), F.col("n_other").alias("strict_2"), "delta")
 
 
 _WILSON = "count(*) FILTER (toxic = 1) AS k, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1"
@@ -337,7 +338,7 @@ def st11_cost(spark, sf_dir):
 
 @query(" SELECT sample, count(*) AS n FROM rows_ GROUP BY 1 ORDER BY n DESC, sample LIMIT 12")
 def t2_top_samples(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy("sample").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sample").limit(12)
+    return R.largest(rows(spark, sf_dir), ["sample"], 12)
 
 
 @query(""", s AS (SELECT sample, setting, seed, round(0.5 * p + 0.3 * (1 - CAST(loc_line AS DOUBLE) / greatest(1, max(loc_line) OVER (PARTITION BY sample, setting))) + 0.2 * p, 6) AS score
@@ -358,14 +359,14 @@ def t5_preference(spark, sf_dir):
 def so1_union(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("c").alias("kind"), F.col("c_mktsegment").alias("segment"))
     s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("s").alias("kind"))
-    return c.unionByName(s, allowMissingColumns=True)
+    return R.stacked(c, s)
 
 
 @query(" (SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier) UNION ALL (SELECT c_nationkey, 'first' FROM customer EXCEPT SELECT s_nationkey, 'first' FROM supplier)")
 def so2_set_operations(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
     s = read_table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
-    return c.intersect(s).withColumn("side", F.lit("both")).union(c.subtract(s).withColumn("side", F.lit("first")))
+    return R.both_and_first(c, s)
 
 
 @query(" SELECT seed, verdict FROM rows_ WHERE setting <> '3' UNION ALL SELECT seed, 'OTHER' FROM rows_ WHERE setting = '3'")

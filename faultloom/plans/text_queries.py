@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as X
+from ..operators import evidence as E
 from ..session import read_table
 from ..sources import logs as L
 
@@ -89,7 +90,7 @@ def p7_sanitise(spark, sf_dir):
 
 @query("SELECT doc_id, source, n_chars FROM documents")
 def p6_drop_labels(spark, sf_dir):
-    return docs(spark, sf_dir).drop("lang", "text", "inject_line", "inject_desc")
+    return E.without_labels(docs(spark, sf_dir).withColumnsRenamed({"lang": "inject_line", "text": "diff"}))
 
 
 @query("SELECT doc_id, substr(text, 1, 300) || CASE WHEN length(text) > 300 THEN '...' ELSE '' END AS head FROM documents")

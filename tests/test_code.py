@@ -188,3 +188,21 @@ def test_settings_and_unknown_ones(spark):
 def test_labels_never_pass(spark):
     df = spark.createDataFrame([(1, 2, "x")], "sample int, inject_line int, diff string")
     assert evidence.without_labels(df).columns == ["sample"]
+
+
+def test_holm_against_plain_loops(spark):
+    from faultloom.functions import stats
+
+    rng = random.Random(2)
+    rows = [(k % 3, k, rng.choice([0.0, 1.0, rng.random(), rng.random() / 100])) for k in range(120)]
+    df = spark.createDataFrame([*rows, (0, 999, None)], "g int, k int, p double")
+    for partition in (None, ["g"]):
+        want = {}
+        for g in {0} if partition is None else {0, 1, 2}:
+            mine = sorted((p, k) for q, k, p in rows if partition is None or q == g)
+            top = 0.0
+            for r, (p, k) in enumerate(mine):
+                top = max(top, p * (len(mine) - r))
+                want[k] = min(1.0, top)
+        got = {r["k"]: r["p_holm"] for r in stats.holm(df, partition=partition, order=["k"], pieces=7).collect()}
+        assert got.pop(999) is None and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
