@@ -83,6 +83,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
         self.items: list[tuple[int, str, list[tuple[int, int]]]] = []
         self.lines: dict[str, list[int]] = {}
+        self._grams: dict[int, set[str]] = {}
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normalise(text)
@@ -179,6 +180,20 @@ class Matcher:
                 return True
         return False
 
+    def _plausible(self, item: int, diagonal: int, text: str, seen: dict[tuple[int, int], set[str]]) -> bool:
+        """Whether the text around a diagonal has enough of the item's 3-grams: an edit destroys three at most."""
+        _, t, spans = self.items[item]
+        k = len(spans) - 1
+        grams = self._grams.get(item)
+        if grams is None:
+            self._grams[item] = grams = {t[i : i + 3] for i in range(len(t) - 2)}
+        lo = max(0, diagonal - k) // 64 * 64
+        hi = -(-(diagonal + len(t) + k) // 64) * 64
+        near = seen.get((lo, hi))
+        if near is None:
+            seen[lo, hi] = near = {text[i : i + 3] for i in range(lo, min(hi, len(text)))}
+        return len(grams & near) >= len(grams) - 3 * k
+
     def _whole_lines(self, text: str) -> dict[int, tuple[int, int, int]]:
         found: dict[int, tuple[int, int, int]] = {}
         at = 0
@@ -197,8 +212,12 @@ class Matcher:
         short = [(i, *found) for i, found in self._whole_lines(text or "").items()]
         best: dict[int, tuple[int, int, int]] = {}
         tried: dict[int, set[int]] = {}
+        seen: dict[tuple[int, int], set[str]] = {}
         for end, (n, always, beside) in self.automaton.iter(t) if self.items else ():
             at = end - n + 1
+            shared = bool(beside) or len(always) > MANY
+            if len(seen) > 64:
+                seen.clear()
             for item, piece in self._near(at, t, always, beside):
                 if item in best and best[item][0] == 0:
                     continue
@@ -206,6 +225,8 @@ class Matcher:
                 diagonal = at - self.items[item][2][piece][0]
                 if diagonal in tried.setdefault(item, set()):
                     continue
+                if shared and not self._plausible(item, diagonal, t, seen):
+                    continue
                 if (found := self._verify(item, piece, at, t)) is not None:
                     tried[item].add(diagonal)
                     if item not in best or found < best[item]:

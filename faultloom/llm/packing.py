@@ -237,7 +237,6 @@ def _place(plan: Plan):
     runs = plan.runs
     length, first, copies, seq, offset = (runs[:, i].copy() for i in (0, 1, 3, 4, 5))
     rank_range = int(first.max()) + int(runs[:, 2].max()) + 1 if len(runs) else 1
-    key = length.astype(float) * 0  # keys below stay exact: lengths are small, ranks under 2^50
     key = length * rank_range + first
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -279,5 +278,10 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, keys: tuple[str, ...] =
 
 
 def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str | None = None, **columns: str) -> DataFrame:
-    """Tokenise and pack whole documents; see ``token_pieces`` and ``pack``. No rows give no sequences."""
+    """Tokenise and pack whole documents; see ``token_pieces`` and ``pack``.
+
+    A null or empty text is the end id alone. Texts are read whole; those of over ``capacity`` ids are cut into pieces.
+    Repeated rows and null ids are packed row by row; which of several equal rows gets which place is open, and so
+    are sequence numbers as such. docs' other columns aren't carried, so none can clash. No rows give no sequences.
+    """
     return pack(token_pieces(docs, capacity=capacity, tokenizer=tokenizer, **columns), capacity=capacity)
