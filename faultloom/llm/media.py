@@ -127,11 +127,15 @@ def payload_of(text):
     return F.concat(data, zeros)
 
 
-STORED = "digest string, shard string, offset long, length long"
+def digest_of(payload):
+    return F.unhex(F.sha2(payload, 256))
+
+
+STORED = "digest binary, shard string, offset long, length long"
 
 
 def store(payloads: DataFrame, root: str) -> DataFrame:
-    """Write payloads to tar shards under root. payloads: (digest, payload), each digest once.
+    """Write payloads to tar shards under root. payloads: (digest, payload), each digest once; a digest is 32 bytes.
 
     Lazy: a caller writes the result, so that rows and shards stem from the same attempts.
     """
@@ -142,10 +146,8 @@ def store(payloads: DataFrame, root: str) -> DataFrame:
             rows = []
             for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 media = png_encode(payload.as_py())
-                rows.append((digest, *writer.put(f"{digest}.png", media), len(media)))
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digest", "shard", "offset", "length"])
+                rows.append((digest, *writer.put(f"{digest.hex()}.png", media), len(media)))
+            yield _batch(rows, STORED)
         writer.close()
 
     return payloads.select("digest", "payload").mapInArrow(run, STORED)
@@ -158,7 +160,7 @@ def store_distinct(docs: DataFrame, digests: DataFrame, root: str, *, text: str
     digests lets through are exchanged, after each task has kept one of its copies.
     """
     payload = payload_of(F.col(text))
-    rows = docs.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
+    rows = docs.select(payload.alias("payload")).select(digest_of(F.col("payload")).alias("digest"), "payload")
     repeated = Bloom.of(digests.where("n > 1").select(F.xxhash64("digest").alias("h")))
     may_repeat = repeated.may_hold(docs, F.xxhash64("digest"))
     once = rows.where(may_repeat).groupBy("digest").agg(F.first("payload").alias("payload"))
@@ -167,12 +169,12 @@ def store_distinct(docs: DataFrame, digests: DataFrame, root: str, *, text: str
 
 META = "width int, height int, bits int"
 READ = (
-    f"{STORED}, {META}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    f"{STORED}, {META}, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 )
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kind = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    kind = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}
     names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
     columns = zip(*rows, strict=True) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, kind[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
@@ -199,7 +201,7 @@ def _visit(index: DataFrame, root: str, schema: str, read) -> DataFrame:
 
 def headers(index: DataFrame, root: str) -> DataFrame:
     """(digest, width, height, bits) by range reads of the headers alone: a payload's other bytes aren't read."""
-    return _visit(index, root, f"digest string, {META}", lambda source, row: (row["digest"], *png_header(source.read_at(HEADER_BYTES, row["offset"]))))
+    return _visit(index, root, f"digest binary, {META}", lambda source, row: (row["digest"], *png_header(source.read_at(HEADER_BYTES, row["offset"]))))
 
 
 def read_back(index: DataFrame, root: str) -> DataFrame:
@@ -209,10 +211,10 @@ def read_back(index: DataFrame, root: str) -> DataFrame:
         head = png_header(source.read_at(HEADER_BYTES, row["offset"]))
         media = source.read_at(row["length"], row["offset"])
         payload = png_decode(media)
-        sha = hashlib.sha256(payload).hexdigest()
+        sha = hashlib.sha256(payload).digest()
         if sha != row["digest"]:
-            raise ValueError(f"{row['shard']} at {row['offset']} doesn't hold {row['digest']}")
-        own = (len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(payload))
+            raise ValueError(f"{row['shard']} at {row['offset']} doesn't hold {row['digest'].hex()}")
+        own = (len(payload), sha, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).digest(), features(payload))
         return (row["digest"], row["shard"], row["offset"], row["length"], *head, *own)
 
     return _visit(index, root, READ, read)
@@ -230,10 +232,14 @@ def media_columns(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "media")
     root = scratch.path("shards")
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(payload_of(F.col(text)), 256).alias("digest"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), digest_of(payload_of(F.col(text))).alias("digest"))
     rows = scratch.save(rows, "rows")
     digests = scratch.save(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digests")
     index = scratch.save(store_distinct(docs, digests, root, text=text), "index")
-    index = scratch.save(index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "sorted")
-    read = scratch.save(read_back(index, root), "read")
-    return spread_join(rows, read, "digest", by=["doc_id", "n_bytes"], counts=digests)
+    dealt = scratch.save(index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset"), "dealt")
+    scratch.drop("index")
+    read = scratch.save(read_back(dealt, root), "read")
+    scratch.drop("dealt")
+    out = spread_join(rows, read, "digest", by=["doc_id", "n_bytes"], counts=digests)
+    hashes = [F.lower(F.hex(c)).alias(c) for c in ("digest", "payload_sha256", "media_sha256")]
+    return out.select(*hashes, *[c for c in out.columns if c not in ("digest", "payload_sha256", "media_sha256")])
