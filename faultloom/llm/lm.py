@@ -39,7 +39,7 @@ FIRST_RARE = TOKENS - RARE
 PAD = TOKENS
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
-BATCH, RATE = 2048, 1.0
+BATCH, RATE = 4096, 2.0
 #: How much larger the steps of embeddings and of within-class weights are than those of dense parameters.
 SPARSE = 20.0
 SLICE = 1 << 15
@@ -113,6 +113,13 @@ class WindowNetwork:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
+
     def log_probabilities(self, window: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(window)
         c, t = target // CLASS_SIZE, target % CLASS_SIZE
@@ -132,7 +139,7 @@ class WindowNetwork:
         p, n = self.p, len(target)
         h = self.hidden(window)
         c, t = target // CLASS_SIZE, target % CLASS_SIZE
-        d = -np.exp(self._log_softmax(h @ p["class_w"] + p["class_b"]))
+        d = -self._softmax(h @ p["class_w"] + p["class_b"])
         d[np.arange(n), c] += 1
         back = d @ p["class_w"].T
         class_w, class_b = h.T @ d, d.sum(axis=0)
@@ -143,7 +150,7 @@ class WindowNetwork:
             at = order[ends[k - 1] if k else 0 : ends[k]]
             if len(at):
                 hk = h[at]
-                dk = -np.exp(self._log_softmax(hk @ p["token_w"][k] + p["token_b"][k]))
+                dk = -self._softmax(hk @ p["token_w"][k] + p["token_b"][k])
                 dk[np.arange(len(at)), t[at]] += 1
                 back[at] += dk @ p["token_w"][k].T
                 p["token_w"][k] += scale * SPARSE / 2 * (hk.T @ dk)
@@ -237,8 +244,8 @@ def _train_task(words: list[bytes], start: bytes):
 
         vocabulary, net, seen = Vocabulary(words), WindowNetwork.from_bytes(start), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                docs = [vocabulary.ids(t.as_py()) for t in batch.column(0).slice(lo, 64)]
+            for lo in range(0, batch.num_rows, 128):
+                docs = [vocabulary.ids(t.as_py()) for t in batch.column(0).slice(lo, 128)]
                 stream, starts = padded(docs)
                 at = np.flatnonzero(stream != PAD)
                 at = np.random.default_rng(len(at)).permutation(at)
@@ -322,6 +329,7 @@ class Shares:
         if file == self.file:
             return
         self.file, path = file, f"{self.root}/file={file}"
+        self.known: dict[bytes, float] = {}
         h, share = np.zeros(0, np.int64), np.zeros(0, np.float32)
         if self.files.get_file_info(path).type == pafs.FileType.Directory:
             found = pads.dataset(path, filesystem=self.files, format="parquet").to_table(columns=["h", "share"])
@@ -331,8 +339,17 @@ class Shares:
 
     def sums(self, words: list[bytes], of: np.ndarray, n: int) -> np.ndarray:
         """The sum over the words of each of n documents; ``of`` tells a word's document."""
-        if not words:
-            return np.zeros(n)
+        got = list(map(self.known.get, words))
+        new = list({w for w, x in zip(words, got, strict=True) if x is None}) if None in got else []
+        if new:
+            if len(self.known) > HELD_WORDS:
+                self.known.clear()
+            fresh = dict(zip(new, self._look_up(new), strict=True))
+            got = [fresh[w] if x is None else x for w, x in zip(words, got, strict=True)]
+            self.known.update(fresh)
+        return np.bincount(of, weights=np.array(got, np.float64), minlength=n) if words else np.zeros(n)
+
+    def _look_up(self, words: list[bytes]) -> list[float]:
         h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
         there = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
@@ -340,7 +357,7 @@ class Shares:
         got[there] = self.share[at[there]]
         for i in np.flatnonzero(~there):
             got[i] = self.once[zlib.crc32(words[i][-2:]) % RARE]
-        return np.bincount(of, weights=got, minlength=n)
+        return got.tolist()
 
 
 def score(texts: Texts, model: Model, shares: str) -> DataFrame:
