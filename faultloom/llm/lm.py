@@ -37,7 +37,7 @@ TOKENS = CLASS_SIZE * CLASSES
 RARE = 64
 FIRST_RARE = TOKENS - RARE
 PAD = TOKENS
-HIDDEN = 24
+HIDDEN = 20
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 4096, 2.0
 #: How much larger the steps of embeddings and of within-class weights are than those of dense parameters.
@@ -46,7 +46,7 @@ SLICE = 1 << 15
 FAN_IN = 32
 SEED = 42
 #: Words that a task counts before it sends them on.
-HELD_WORDS = 500_000
+HELD_WORDS = 300_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,23 +59,29 @@ def rare_token(word: Column) -> Column:
 
 
 class Vocabulary:
-    """Tokens of words, and which words of a text are rare."""
+    """Tokens of words, and which words of a text are rare. Tokens of rare words are remembered, as many as fit."""
 
     def __init__(self, words: list[bytes]) -> None:
-        self.id_of = {w: i for i, w in enumerate(words)}
+        self.own = {w: i for i, w in enumerate(words)}
+        self.id_of = dict(self.own)
+
+    def _tokens(self, words: list[bytes]) -> list[int]:
+        out = list(map(self.id_of.get, words))
+        if None in out:
+            if len(self.id_of) > HELD_WORDS:
+                self.id_of = dict(self.own)
+            new = {w: FIRST_RARE + zlib.crc32(w[-2:]) % RARE for w in {w for i, w in zip(out, words, strict=True) if i is None}}
+            out = [new[w] if i is None else i for i, w in zip(out, words, strict=True)]
+            self.id_of.update(new)
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        return self.read(text)[0]
+        return np.array(self._tokens(words_of(text)), np.int16)
 
     def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         words = words_of(text)
-        known = self.id_of.get
-        out = [known(w, -1) for w in words]
-        rare: list[bytes] = []
-        if -1 in out:
-            rare = [w for i, w in zip(out, words, strict=True) if i < 0]
-            out = [i if i >= 0 else FIRST_RARE + zlib.crc32(w[-2:]) % RARE for i, w in zip(out, words, strict=True)]
-        return np.array(out, np.int16), rare
+        out = self._tokens(words)
+        return np.array(out, np.int16), [w for i, w in zip(out, words, strict=True) if i >= FIRST_RARE]
 
 
 class WindowNetwork:
