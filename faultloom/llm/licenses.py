@@ -243,24 +243,29 @@ def sample_paragraphs(docs: DataFrame, *, text: str = "text", rows: int = SAMPLE
     return sorted(r["p"] for r in taken.where("trim(p) <> ''").distinct().collect())
 
 
-#: Marks inside a joined text: after a telling line's number, before a plain line, in place of a blank one.
-TOLD, PLAIN, BLANK = "\x01", "\x02", "\x03"
+#: Marks inside a joined text: after a telling line's number, before a plain line, in place of what parts two paragraphs.
+TOLD, PLAIN, PART = "\x01", "\x02", "\x03"
 
 
 def _runs(text: Column, rare: Column) -> Column:
     """The paragraphs of a text as "number of the first line, TOLD, lines": runs of lines with a telling word, also
-    across one line without. A line's marks of its own are taken for spaces."""
-    clean = F.translate(text, TOLD + PLAIN + BLANK, "   ")
-
-    def mark(line: Column, i: Column) -> Column:
-        told = F.concat(i.cast("string"), F.lit(TOLD), line)
-        return F.when(F.arrays_overlap(_words(line), rare), told).when(F.trim(line) == "", F.lit(BLANK)).otherwise(F.concat(F.lit(PLAIN), line))
-
-    marked = F.array_join(F.transform(F.split(clean, "\n", -1), mark), "\n")
-    gap = f"{BLANK}|(?:{PLAIN}[^\n]*(?:\n|$)){{2,}}"
-    parts = F.filter(F.split(marked, gap), lambda x: F.contains(x, F.lit(TOLD)))
-    edges = f"^\\n*(?:{PLAIN}[^\n]*\n)*\\n*|(?:\n{PLAIN}[^\n]*)*\\n*$"
-    return F.transform(parts, lambda x: F.regexp_replace(x, edges, ""))
+    across one plain line. A line's marks of its own are taken for spaces.
+
+    A line is judged by its neighbours alone, so that no pattern runs over several lines.
+    """
+    lines = F.split(F.translate(text, TOLD + PLAIN + PART, "   "), "\n", -1)
+
+    def mark(line: Column, i: Column, tells: Column) -> Column:
+        between = F.coalesce(F.get(tells, i - 1) & F.get(tells, i + 1), F.lit(False))
+        told = F.when(F.get(tells, i), F.concat(i.cast("string"), F.lit(TOLD), line))
+        return told.when(between & (F.trim(line) != ""), F.concat(F.lit(PLAIN), line)).otherwise(F.lit(PART))
+
+    def parts(each: Column) -> Column:
+        tells = F.transform(each, lambda line: F.arrays_overlap(_words(line), rare))
+        marked = _let(tells, lambda t: F.array_join(F.transform(each, lambda line, i: mark(line, i, t)), "\n"))
+        return F.transform(F.filter(F.split(marked, PART), lambda x: F.contains(x, F.lit(TOLD))), lambda x: F.btrim(x, F.lit("\n")))
+
+    return _let(lines, parts)
 
 
 def scan(docs: DataFrame, model: LicenceModel, *, text: str = "text", doc_id: str = "doc_id", contained: float = CONTAINED,
