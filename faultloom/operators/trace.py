@@ -1,8 +1,9 @@
 """Operators on traces: cycles, sampling, change detection, windows, holding, alignment and differences.
 
 A trace is a set of changes (trace_id, pos, ts, sig, val), optionally with vid, the declared id behind a
-name. ``pos`` orders changes, also those of one time. Operators partition by trace_id, so any number of
-traces runs at once; where a trace may be long, (trace_id, sig) is the key.
+name. ``pos`` orders changes, also those of one time. Any number of traces runs at once, and a long one is
+scanned in pieces (``scan.segmented_scan``). Held values are run-length: a row for each change, good until ``stop``, the next one
+(null: to the end), never a row for each cycle.
 """
 
 from __future__ import annotations
@@ -10,7 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan as S
+from .ranges import spans
+
 EDGE_VALUES = ["1", "01", "001"]
+#: Cycles of a piece of a scan.
+PIECE_CYCLES = 1 << 16
+
+
+def _piece(width: int) -> Column:
+    return S.by_width(F.col("cycle"), width)
 
 
 def with_cycles(changes: DataFrame, edge: Column, *, span: int | None = None) -> DataFrame:
@@ -64,10 +74,9 @@ def last_in_cycle(cycled: DataFrame) -> DataFrame:
 
 def last_before_next_edge(cycled: DataFrame, *, tail: int = 1) -> DataFrame:
     """Like ``last_in_cycle``, but the final cycle is ``tail`` ticks wide."""
-    whole = Window.partitionBy("trace_id")
-    own = Window.partitionBy("trace_id", "cycle")
-    kept = cycled.withColumn("__last", F.max("cycle").over(whole)).withColumn("__t0", F.min("ts").over(own))
-    kept = kept.where((F.col("cycle") < F.col("__last")) | (F.col("ts") < F.col("__t0") + tail))
+    starts = cycled.groupBy("trace_id", "cycle").agg(F.min("ts").alias("t0"))
+    final = starts.groupBy("trace_id").agg(F.max("cycle").alias("__last"), F.max_by("t0", "cycle").alias("__t0"))
+    kept = cycled.join(final, "trace_id").where((F.col("cycle") < F.col("__last")) | (F.col("ts") < F.col("__t0") + tail))
     return last_in_cycle(kept.drop("__last", "__t0"))
 
 
@@ -98,26 +107,30 @@ def adaptive_window(fail_step: Column, window: int = 8) -> Column:
     return F.when(fail_step.isNull(), F.lit(window)).otherwise(wide)
 
 
-def anchor_window(cycles: DataFrame, anchors: DataFrame, window: int | Column, *, every: int = 4) -> DataFrame:
+def indexed(cycles: DataFrame, *, width: int = PIECE_CYCLES) -> DataFrame:
+    """cycles with ``__idx``, each cycle's place in its trace from 0; one row a cycle."""
+    return S.segmented_scan(cycles, ["trace_id"], ["cycle"], _piece(width), {"__n": S.row_number()}).withColumn("__idx", F.col("__n") - 1).drop("__n")
+
+
+def anchor_window(cycles: DataFrame, anchors: DataFrame, window: int | Column, *, every: int = 4, width: int = PIECE_CYCLES) -> DataFrame:
     """Cycles around an anchor, before them every fourth by index, after them none.
 
-    cycles: (trace_id, cycle, ...) one row a cycle; anchors: (trace_id, anchor). ``is_gap`` marks the first
+    cycles: (trace_id, cycle, ...) one row a cycle; anchors: (trace_id, anchor), one row a trace. ``is_gap`` marks the first
     row of the window if the row kept before it isn't its neighbour.
     """
     w = F.lit(window) if isinstance(window, int) else window
-    order = Window.partitionBy("trace_id").orderBy("cycle")
-    rows = cycles.withColumn("__idx", F.row_number().over(order) - 1).join(anchors, "trace_id")
+    rows = indexed(cycles, width=width).join(anchors, "trace_id")
     inside = F.col("cycle").between(F.col("anchor") - w, F.col("anchor") + w)
     before = (F.col("cycle") < F.col("anchor") - w) & (F.col("__idx") % every == 0)
     kept = rows.where(inside | before).withColumn("__in", inside)
-    gap = F.col("__in") & ~F.coalesce(F.lag("__in").over(order), F.lit(True)) & (F.lag("cycle").over(order) != F.col("cycle") - 1)
-    return kept.withColumn("is_gap", F.coalesce(gap, F.lit(False))).drop("__idx", "__in", "anchor")
+    edges = kept.groupBy("trace_id").agg(F.min(F.when(F.col("__in"), F.col("cycle"))).alias("__first"), F.max(F.when(~F.col("__in"), F.col("cycle"))).alias("__before"))
+    gap = (F.col("cycle") == F.col("__first")) & (F.col("__before") != F.col("__first") - 1)
+    return kept.join(edges, "trace_id").withColumn("is_gap", F.coalesce(gap, F.lit(False))).drop("__idx", "__in", "__first", "__before", "anchor")
 
 
-def slim(cycles: DataFrame, anchors: DataFrame, *, before: int = 4, every: int = 8) -> DataFrame:
+def slim(cycles: DataFrame, anchors: DataFrame, *, before: int = 4, every: int = 8, width: int = PIECE_CYCLES) -> DataFrame:
     """Cycles from ``before`` ahead of the anchor on, and every eighth by index."""
-    order = Window.partitionBy("trace_id").orderBy("cycle")
-    rows = cycles.withColumn("__idx", F.row_number().over(order) - 1).join(anchors, "trace_id")
+    rows = indexed(cycles, width=width).join(anchors, "trace_id")
     return rows.where((F.col("cycle") >= F.col("anchor") - before) | (F.col("__idx") % every == 0)).drop("__idx", "anchor")
 
 
@@ -126,18 +139,31 @@ def slim_array(rows: Column, fail_step: Column, *, before: int = 4, every: int =
     return F.filter(rows, lambda r, i: (r["cycle"] >= fail_step - before) | (i % every == 0))
 
 
-def hold(grid: DataFrame, *, value: str = "val") -> DataFrame:
-    """W10, WF1: ``held``, the last value that isn't null up to each cycle of a dense (trace, sig, cycle) grid."""
-    w = Window.partitionBy("trace_id", "sig").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.withColumn("held", F.last(value, ignorenulls=True).over(w))
+def runs(last: DataFrame, *, keys: tuple[str, ...] = ("trace_id", "sig"), width: int = PIECE_CYCLES) -> DataFrame:
+    """W10, WF1: (keys, cycle, stop, val): each value that isn't null and the cycle at which another is set; it holds until there."""
+    return spans(last.where("val is not null").select(*keys, "cycle", "val"), keys=list(keys), at="cycle", width=width)
+
 
+def held_at(last: DataFrame, cycles: DataFrame, *, keys: tuple[str, ...] = ("trace_id", "sig"), width: int = PIECE_CYCLES) -> DataFrame:
+    """Cycles (keys, cycle) with ``held``, the last value that isn't null up to there; null before the first."""
+    asked = cycles.select(*keys, "cycle", F.lit(None).cast(last.schema["val"].dataType).alias("val"), F.lit(1).alias("__asked"))
+    both = asked.unionByName(last.select(*keys, "cycle", "val", F.lit(0).alias("__asked")))
+    out = S.segmented_scan(both, list(keys), ["cycle", "__asked"], _piece(width), {"held": S.last_known(F.col("val"))})
+    return out.where("__asked = 1").select(*keys, "cycle", "held")
 
-def dense(last: DataFrame) -> DataFrame:
-    """(trace_id, sig, cycle, val) with a row for each cycle of a trace and signal; null where silent."""
-    span = last.groupBy("trace_id").agg(F.max("cycle").alias("__top"))
-    sigs = last.select("trace_id", "sig").distinct().join(span, "trace_id")
-    grid = sigs.select("trace_id", "sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__top"))).alias("cycle"))
-    return grid.join(last, ["trace_id", "sig", "cycle"], "left")
+
+def merged_runs(golden: DataFrame, buggy: DataFrame, *, keys: tuple[str, ...] = ("pair_id", "sig"), width: int = PIECE_CYCLES) -> DataFrame:
+    """(keys, cycle, stop, golden, buggy): what both traces hold, a row for each cycle in which either sets a value; null before a trace's first.
+
+    golden, buggy: (keys, cycle, val). Only keys that both have. The traces are joined where they change and scanned on, so long pauses cost nothing.
+    """
+    g = golden.where("val is not null").select(*keys, "cycle", F.col("val").alias("__g"))
+    b = buggy.where("val is not null").select(*keys, "cycle", F.col("val").alias("__b"))
+    common = golden.select(*keys).distinct().join(buggy.select(*keys).distinct(), list(keys))
+    points = g.join(b, [*keys, "cycle"], "full_outer").join(common, list(keys), "left_semi")
+    states = {"golden": S.last_known(F.col("__g")), "buggy": S.last_known(F.col("__b"))}
+    held = S.segmented_scan(points, list(keys), ["cycle"], _piece(width), states).drop("__g", "__b")
+    return spans(held, keys=list(keys), at="cycle", width=width).select(*keys, "cycle", "stop", "golden", "buggy")
 
 
 def aligned_diff(golden: DataFrame, buggy: DataFrame) -> DataFrame:
@@ -198,13 +224,20 @@ def stuck_tail(last: DataFrame, *, tail: int = 6, least: int = 4) -> DataFrame:
     return out.where((F.col("n") >= least) & (F.col("d") == 1)).select("trace_id", "sig", "val")
 
 
-def replay_diff(golden: DataFrame, buggy_steps: DataFrame, *, inputs: list[str] | None = None) -> DataFrame:
-    """The first step in which held values differ; golden's cycle i is the other's step i, from 1 on."""
-    keep = lambda df: df.where((F.col("cycle") >= 1) & ~F.col("sig").isin(inputs or []))
-    g, b = keep(hold(golden)), keep(hold(buggy_steps))
-    keys = ["trace_id", "sig", "cycle"]
-    both = g.select(*keys, F.col("held").alias("g")).join(b.select(*keys, F.col("held").alias("b")), keys)
-    return both.where(~F.col("g").eqNullSafe(F.col("b"))).groupBy("trace_id", "sig").agg(F.min("cycle").alias("first_diff"))
+def replay_diff(golden: DataFrame, buggy_steps: DataFrame, *, inputs: list[str] | None = None, ends: DataFrame | None = None, width: int = PIECE_CYCLES) -> DataFrame:
+    """(trace_id, sig, first_diff): the first step, from 1 on, in which held values differ; golden's cycle i is the other's step i.
+
+    Both traces: (trace_id, cycle, sig, val), sparse. Values are held from their first cycle on, 0 included, so a step counts also if only one side changes in it; a value
+    differs from none. Text values are compared as ``to_decimal`` of them. ``ends``: (trace_id, end), the last step compared; without it values hold to the end.
+    """
+    keys, texts = ["trace_id", "sig"], golden.schema["val"].dataType.simpleString() == "string"
+    told = lambda df: df.where(~F.col("sig").isin(inputs or [])).withColumn("val", to_decimal(F.lower(F.trim("val"))) if texts else F.col("val"))
+    both = merged_runs(told(golden), told(buggy_steps), keys=("trace_id", "sig"), width=width)
+    from_ = F.greatest(F.col("cycle"), F.lit(1))
+    apart = both.where(~F.col("golden").eqNullSafe(F.col("buggy")) & (F.coalesce("stop", from_ + 1) > from_)).withColumn("first_diff", from_)
+    if ends is not None:
+        apart = apart.join(ends, "trace_id").where("first_diff <= end")
+    return apart.groupBy(*keys).agg(F.min("first_diff").alias("first_diff"))
 
 
 def flipped(last: DataFrame, anchors: DataFrame, window: int | Column) -> DataFrame:
@@ -222,43 +255,47 @@ def value_trace(last: DataFrame) -> DataFrame:
     return last.where("val is not null").groupBy("trace_id", "cycle").agg(F.sort_array(F.collect_list(text)).alias("vals"))
 
 
-def transition_divergence(pairs: DataFrame) -> DataFrame:
+def transition_divergence(both: DataFrame, *, width: int = PIECE_CYCLES) -> DataFrame:
     """W20, WF2: transitions that the golden trace makes and the other doesn't.
 
-    pairs: (pair_id, sig, cycle, golden, buggy), held. A row has the values before and after.
+    both: as of ``merged_runs``. A row has the values held before and after; whatever changes, changes where a run begins.
     """
-    w = Window.partitionBy("pair_id", "sig").orderBy("cycle")
-    rows = pairs.select(
-        "pair_id", "sig", "cycle", F.lag("golden").over(w).alias("g0"), F.col("golden").alias("g1"), F.lag("buggy").over(w).alias("b0"), F.col("buggy").alias("b1")
-    )
+    before = {"__p": S.previous(F.struct("golden", "buggy"))}
+    rows = S.segmented_scan(both, ["pair_id", "sig"], ["cycle"], _piece(width), before)
+    p = F.col("__p.v")
+    rows = rows.select("pair_id", "sig", "cycle", p["golden"].alias("g0"), F.col("golden").alias("g1"), p["buggy"].alias("b0"), F.col("buggy").alias("b1"))
     lost = F.col("b0").eqNullSafe(F.col("b1")) | (F.col("b1").isNotNull() & (F.col("b1") != F.col("g1")))
     return rows.where(F.col("g0").isNotNull() & F.col("g1").isNotNull() & (F.col("g0") != F.col("g1")) & lost)
 
 
-def handshake_features(pairs: DataFrame, anchors: DataFrame, *, keys: tuple[str, ...] = ("trace_id",)) -> DataFrame:
+def handshake_features(pairs: DataFrame, anchors: DataFrame, *, keys: tuple[str, ...] = ("trace_id",), ends: DataFrame | None = None, width: int = PIECE_CYCLES) -> DataFrame:
     """Eight features of each valid/ready pair.
 
-    pairs: (trace_id, cycle, valid, ready) as 0, 1 or null, dense by cycle; held here. A cycle waits if valid is 1,
-    ready 0 (not unknown) and none was ready before. A trace in which both are always null has no row. ``keys`` tell several pairs of a trace apart.
+    pairs: (trace_id, cycle, valid, ready) as 0, 1 or null, one row a cycle at most; held here, so silent cycles need no row. A cycle waits if valid is 1,
+    ready 0 (not unknown) and none was ready before; cycles are counted by the length of runs, up to ``ends`` (trace_id, end), the trace's last cycle: without
+    it that of the last row. A trace in which both are always null has no row. ``keys`` tell several pairs of a trace apart.
     """
-    upto = Window.partitionBy(*keys).orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy(*keys).orderBy("cycle")
-    v, r = F.last("valid", True).over(upto), F.last("ready", True).over(upto)
-    rows = pairs.select(*keys, "cycle", v.alias("v"), r.alias("r")).join(anchors, "trace_id", "left")
-    rows = rows.withColumn("pv", F.coalesce(F.lag("v").over(order), F.lit(0)))
-    rise = (F.col("v") == 1) & (F.col("pv") == 0)
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumn("fr", F.min(F.when(F.col("r") == 1, F.col("cycle"))).over(whole))
-    rows = rows.withColumn("fv", F.min(F.when(rise, F.col("cycle"))).over(whole))
-    ahead = F.col("fr").isNull() | (F.col("cycle") < F.col("fr"))
-    out = rows.groupBy(*keys).agg(
+    by = list(keys)
+    held = S.segmented_scan(pairs, by, ["cycle"], _piece(width), {"v": S.last_known(F.col("valid")), "r": S.last_known(F.col("ready"))}).select(*by, "cycle", "v", "r")
+    held = S.segmented_scan(held, by, ["cycle"], _piece(width), {"__p": S.previous(F.col("v"))})
+    rows = spans(held.withColumn("pv", F.coalesce("__p.v", F.lit(0))).drop("__p"), keys=by, at="cycle", width=width)
+    tops = pairs.groupBy("trace_id").agg(F.max("cycle").alias("end")) if ends is None else ends
+    rows = rows.join(tops, "trace_id").join(anchors, "trace_id", "left")
+    first = rows.groupBy(*by).agg(F.min(F.when(F.col("r") == 1, F.col("cycle"))).alias("fr"), F.min(F.when((F.col("v") == 1) & (F.col("pv") == 0), F.col("cycle"))).alias("fv"))
+    stop = F.coalesce("stop", F.col("end") + 1)
+    rows = rows.join(first, by).withColumn("__stop", stop)
+    waits = (F.col("v") == 1) & (F.col("r") == 0) & (F.col("fr").isNull() | (F.col("cycle") < F.col("fr")))
+    holds = (F.col("v") == 1) & (F.col("__stop") > F.col("fr"))
+    failing = (F.col("cycle") <= F.col("anchor")) & (F.col("anchor") < F.col("__stop"))
+    length = lambda where, start: F.coalesce(F.sum(F.when(where, F.col("__stop") - start)), F.lit(0)).cast("long")
+    out = rows.groupBy(*by).agg(
         F.min("fv").alias("first_valid_rise"),
         F.min("fr").alias("first_ready"),
-        F.count_if((F.col("v") == 1) & (F.col("r") == 0) & ahead).alias("wait_cycles"),
-        F.count_if((F.col("v") == 1) & (F.col("cycle") >= F.col("fr"))).alias("hold_cycles"),
+        length(waits, F.col("cycle")).alias("wait_cycles"),
+        length(holds, F.greatest("cycle", "fr")).alias("hold_cycles"),
         F.coalesce(F.bool_or((F.col("pv") == 1) & (F.col("v") == 0)), F.lit(False)).alias("deassert_seen"),
-        F.max(F.when(F.col("cycle") == F.col("anchor"), F.col("v"))).alias("valid_at_fail"),
-        F.max(F.when(F.col("cycle") == F.col("anchor"), F.col("r"))).alias("ready_at_fail"),
+        F.max(F.when(failing, F.col("v"))).alias("valid_at_fail"),
+        F.max(F.when(failing, F.col("r"))).alias("ready_at_fail"),
         F.max(F.when(F.col("cycle") == F.col("fv"), F.col("r"))).alias("ready_at_valid_rise"),
         F.count_if(F.col("v").isNotNull() | F.col("r").isNotNull()).alias("__seen"),
     )

@@ -126,9 +126,18 @@ def w9_slim(spark, sf_dir):
     return T.slim(last(spark, sf_dir).select("trace_id", "cycle").distinct(), anchors(spark, sf_dir))
 
 
-@query("SELECT trace_id, sig, cycle, val, last_value(val IGNORE NULLS) OVER (PARTITION BY trace_id, sig ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM grid")
+@query("SELECT trace_id, sig, cycle, lead(cycle) OVER (PARTITION BY trace_id, sig ORDER BY cycle) AS stop, val FROM lv WHERE val IS NOT NULL")
 def w10_hold(spark, sf_dir):
-    return T.hold(T.dense(last(spark, sf_dir)))
+    return T.runs(last(spark, sf_dir))
+
+
+@query(""", h AS (SELECT trace_id, sig, cycle, last_value(val IGNORE NULLS) OVER (PARTITION BY trace_id, sig ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM grid)
+    SELECT h.* FROM h JOIN an USING (trace_id) WHERE cycle = anchor""")
+def w10_held_at_anchor(spark, sf_dir):
+    """What every signal of a trace holds in the cycle of its first error."""
+    rows = last(spark, sf_dir)
+    asked = rows.select("trace_id", "sig").distinct().join(anchors(spark, sf_dir).withColumnRenamed("anchor", "cycle"), "trace_id")
+    return T.held_at(rows, asked)
 
 
 @query(_PAIR + "SELECT * FROM dif")
@@ -185,12 +194,31 @@ def w19_value_trace(spark, sf_dir):
     return T.value_trace(rows).withColumn("vals", F.array_join("vals", " "))
 
 
-@query(_PAIR + """, j AS (SELECT pair_id, sig, cycle, g.val AS g1, b.val AS b1, lag(g.val) OVER o AS g0, lag(b.val) OVER o AS b0 FROM g JOIN b USING (pair_id, sig, cycle) WINDOW o AS (PARTITION BY pair_id, sig ORDER BY cycle))
+#: Both traces of a pair held on every cycle of the longer one, for the signals that both have.
+_HELD = _PAIR + """, en AS (SELECT pair_id, max(cycle) AS e FROM pr GROUP BY 1),
+    gr AS (SELECT pair_id, sig, unnest(range(0, e + 1)) AS cycle FROM com JOIN en USING (pair_id)),
+    hd AS (SELECT gr.pair_id, gr.sig, gr.cycle, last_value(g.val IGNORE NULLS) OVER o AS gv, last_value(b.val IGNORE NULLS) OVER o AS bv FROM gr LEFT JOIN g USING (pair_id, sig, cycle) LEFT JOIN b USING (pair_id, sig, cycle)
+           WINDOW o AS (PARTITION BY gr.pair_id, gr.sig ORDER BY gr.cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+
+
+@query(_HELD + """, j AS (SELECT pair_id, sig, cycle, gv AS g1, bv AS b1, lag(gv) OVER o AS g0, lag(bv) OVER o AS b0 FROM hd WINDOW o AS (PARTITION BY pair_id, sig ORDER BY cycle))
     SELECT pair_id, sig, cycle, g0, g1, b0, b1 FROM j WHERE g0 IS NOT NULL AND g1 IS NOT NULL AND g0 <> g1 AND (b0 IS NOT DISTINCT FROM b1 OR (b1 IS NOT NULL AND b1 <> g1))""")
 def w20_transition_divergence(spark, sf_dir):
-    g, b = pair(spark, sf_dir)
-    both = g.withColumnRenamed("val", "golden").join(b.withColumnRenamed("val", "buggy"), ["pair_id", "sig", "cycle"])
-    return T.transition_divergence(both)
+    return T.transition_divergence(T.merged_runs(*pair(spark, sf_dir)))
+
+
+@query(_HELD + """, n AS (SELECT pair_id, sig, count(*) FILTER (gv IS NOT DISTINCT FROM bv) AS alike, count(*) FILTER (gv IS DISTINCT FROM bv) AS apart FROM hd WHERE gv IS NOT NULL OR bv IS NOT NULL GROUP BY 1, 2)
+    SELECT * FROM n""")
+def w11_held_agreement(spark, sf_dir):
+    """For how many cycles the held values of both traces agree, and for how many they don't, by the length of merged runs."""
+    golden, buggy = pair(spark, sf_dir)
+    ends = golden.union(buggy).groupBy("pair_id").agg(F.max("cycle").alias("end"))
+    both = T.merged_runs(golden, buggy).join(ends, "pair_id")
+    length = F.coalesce("stop", F.col("end") + 1) - F.col("cycle")
+    same = F.col("golden").eqNullSafe(F.col("buggy"))
+    count = lambda where: F.coalesce(F.sum(F.when(where, length)), F.lit(0))
+    return both.groupBy("pair_id", "sig").agg(count(same).alias("alike"), count(~same).alias("apart"))
 
 
 _HAND = """, d AS (SELECT trace_id, cycle, max(CASE WHEN sig = 'click' THEN CAST(val > 40 AS INT) END) AS valid, max(CASE WHEN sig = 'purchase' THEN CAST(val > 60 AS INT) END) AS ready FROM grid GROUP BY 1, 2),
@@ -204,11 +232,15 @@ _HAND = """, d AS (SELECT trace_id, cycle, max(CASE WHEN sig = 'click' THEN CAST
 """
 
 
+def ends(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("trace_id").agg(F.max("cycle").alias("end"))
+
+
 def _handshake(spark, sf_dir):
-    grid = T.dense(last(spark, sf_dir))
+    rows = last(spark, sf_dir)
     one = lambda sig, over: F.max(F.when(F.col("sig") == sig, (F.col("val") > over).cast("int")))
-    pairs = grid.groupBy("trace_id", "cycle").agg(one("click", 40).alias("valid"), one("purchase", 60).alias("ready"))
-    return T.handshake_features(pairs, anchors(spark, sf_dir))
+    pairs = rows.groupBy("trace_id", "cycle").agg(one("click", 40).alias("valid"), one("purchase", 60).alias("ready"))
+    return T.handshake_features(pairs, anchors(spark, sf_dir), ends=ends(rows))
 
 
 @query(_HAND + "SELECT * FROM f")
@@ -251,21 +283,21 @@ _PAIRED = f""", d AS ({_valid_ready()}),
     WHEN 1 THEN [CASE WHEN rise5 IS NOT NULL AND level5 = 1 THEN 'busy_without_start_bit' END]
     ELSE [CASE WHEN rise6 IS NOT NULL AND NOT fell6 THEN 'rx_valid_never_released' END] END, lambda v: v IS NOT NULL), ',') AS violations FROM one""")
 def w22_protocol_violations(spark, sf_dir):
-    grid = T.dense(last(spark, sf_dir))
+    rows = last(spark, sf_dir)
     bit = lambda sig, over: F.when(F.col("sig") == sig, (F.col("val") > over).cast("int"))
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), bit(v, a).alias("valid"), bit(r, b).alias("ready")) for p, (v, a, r, b) in PAIRS.items()]))
-    pairs = grid.select("trace_id", "cycle", each.alias("p")).groupBy("trace_id", "cycle", "p.pair").agg(F.max("p.valid").alias("valid"), F.max("p.ready").alias("ready"))
-    features = T.handshake_features(pairs, anchors(spark, sf_dir), keys=("trace_id", "pair"))
+    pairs = rows.select("trace_id", "cycle", each.alias("p")).groupBy("trace_id", "cycle", "p.pair").agg(F.max("p.valid").alias("valid"), F.max("p.ready").alias("ready"))
+    features = T.handshake_features(pairs, anchors(spark, sf_dir), keys=("trace_id", "pair"), ends=ends(rows))
     module = F.element_at(F.array(*[F.lit(m) for m in ("axi_lite_slave", "uart_tx", "uart_rx")]), (F.col("trace_id") % 3 + 1).cast("int"))
-    modules = grid.select("trace_id").distinct().withColumn("module", module)
+    modules = rows.select("trace_id").distinct().withColumn("module", module)
     return T.protocol_violations(features, modules).withColumn("violations", F.array_join("violations", ","))
 
 
-@query(_PAIR + """SELECT pair_id AS trace_id, sig, min(cycle) AS first_diff FROM (SELECT pair_id, sig, cycle, g.val AS gv, b.val AS bv FROM g JOIN b USING (pair_id, sig, cycle))
-    WHERE cycle >= 1 AND sig <> 'view' AND gv IS DISTINCT FROM bv GROUP BY 1, 2""")
+@query(_HELD + """SELECT pair_id AS trace_id, sig, min(cycle) AS first_diff FROM hd JOIN tops USING (pair_id) WHERE cycle BETWEEN 1 AND top AND sig <> 'view' AND gv IS DISTINCT FROM bv GROUP BY 1, 2""")
 def w16_replay_diff(spark, sf_dir):
     g, b = (df.withColumnRenamed("pair_id", "trace_id") for df in pair(spark, sf_dir))
-    return T.replay_diff(g, b, inputs=["view"])
+    shorter = ends(g).join(ends(b).withColumnRenamed("end", "other"), "trace_id").select("trace_id", F.least("end", "other").alias("end"))
+    return T.replay_diff(g, b, inputs=["view"], ends=shorter)
 
 
 _SHOW = {"click": "clk", "view": "state", "purchase": "valid", "error": "any_error", "signup": "burst"}

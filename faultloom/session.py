@@ -1,7 +1,10 @@
-"""Session settings and table access."""
+"""Session settings, table access and the folder that all executors share."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,25 @@ def build_session(master: str | None = None, *, app: str = "faultloom", shuffle_
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session may go without it; it then gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="faultloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder: what follows reads these rows, also if an executor is lost."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
