@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scan as S
+
 Z = 1.959964
 
 
@@ -18,57 +20,103 @@ def wilson(k: Column, n: Column, z: float = Z) -> Column:
     return F.struct(at(p).alias("p"), at(mid - half).alias("low"), at(mid + half).alias("high"))
 
 
-def _log_factorials(n: Column) -> Column:
-    """log(0!), log(1!), ... log(n!)"""
-    start = F.array(F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), start, lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.log(i.cast("double")))))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def log_gamma(x: Column) -> Column:
+    """log of the gamma function of x >= 1: a Stirling series, after a shift by eight."""
+    shift = F.lit(0.0)
+    for i in range(8):
+        shift = shift + F.log(x + i)
+    y = x + 8.0
+    z = 1.0 / (y * y)
+    series = (1 / 12.0 - z * (1 / 360.0 - z * (1 / 1260.0 - z * (1 / 1680.0)))) / y
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - shift
+
+
+def _log_half_pmf(k: Column, n: Column) -> Column:
+    """log of the binomial probability of k of n at one half."""
+    n, k = n.cast("double"), k.cast("double")
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * 0.6931471805599453
+
+
+def half_tail(k: Column, n: Column) -> Column:
+    """P(X <= k) of n fair coins, for k < n / 2: the regularised incomplete beta function by its continued fraction, whose steps
+    grow with the root of n. Memory of a row doesn't grow with n but for the numbers of the steps."""
+    a, b = (n - k).cast("double"), (k + 1).cast("double")
+    steps = F.sequence(F.lit(1), (F.lit(30) + F.ceil(4 * F.sqrt(n))).cast("int"))
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    start = 1.0 / safe(1.0 - (a + b) / (a + 1.0) * 0.5)
+
+    def step(s: Column, i: Column) -> Column:
+        even = i * (b - i) * 0.5 / ((a + 2 * i - 1) * (a + 2 * i))
+        odd = -(a + i) * (a + b + i) * 0.5 / ((a + 2 * i) * (a + 2 * i + 1))
+
+        def turn(s: Column, f: Column) -> Column:
+            made = F.struct(safe(1.0 + f / s["c"]).alias("c"), (1.0 / safe(1.0 + f * s["d"])).alias("d"), s["h"].alias("h"))
+            return _let(made, lambda m: F.struct(m["c"].alias("c"), m["d"].alias("d"), (m["h"] * m["c"] * m["d"]).alias("h")))
+
+        return _let(turn(s, even), lambda m: turn(m, odd))
+
+    begin = F.struct(F.lit(1.0).alias("c"), start.alias("d"), start.alias("h"))
+    h = F.aggregate(steps, begin, step, lambda s: s["h"])
+    return F.exp(_log_half_pmf(k, n)) * 0.5 * h  # half the probability of k is what stands before the fraction
+
+
+def _lower(least: Column, n: Column) -> Column:
+    """The largest k up to n / 2 whose probability isn't over that of ``least`` by more than 1e-15; bisected, as probabilities rise up to the middle."""
+
+    def bisect(bound: Column) -> Column:
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"] + 1) / 2)
+            moved = _let(mid, lambda m: F.when(F.exp(_log_half_pmf(m, n)) <= bound, F.struct(m.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (m - 1).alias("hi"))))
+            return F.when(s["lo"] >= s["hi"], s).otherwise(moved)
+
+        begin = F.struct(least.alias("lo"), F.floor(n / 2).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(n.cast("double") + 2)).cast("int")), begin, halve, lambda s: s["lo"])
+
+    return _let(F.exp(_log_half_pmf(least, n)) + 1e-15, bisect)
+
+
+def _twice(k: Column, n: Column) -> Column:
+    """Twice the lower tail at k, 1 at most."""
+    return F.when(2 * k >= n - 1, 1.0).otherwise(F.least(2 * half_tail(k, n), F.lit(1.0)))
 
 
-def _pmf(n: Column) -> Column:
-    """The binomial probabilities of 0..n at one half, in log space."""
-    lf = _log_factorials(n)
-    bound = F.transform(F.array(lf), lambda f: F.transform(F.sequence(F.lit(0), n), lambda i: F.exp(
-        F.element_at(f, (n + 1).cast("int")) - F.element_at(f, (i + 1).cast("int")) - F.element_at(f, (n - i + 1).cast("int")) - n * F.log(F.lit(2.0)))))
-    return F.element_at(bound, 1)
+def _paired(b: Column, c: Column, p) -> Column:
+    """p(the lesser, the sum) of two counts; 1 if both are 0, null if one is null."""
+    counts = F.struct(F.least(b, c).cast("long").alias("k"), (b + c).cast("long").alias("n"))
+    return F.when(b.isNull() | c.isNull(), None).when((b == 0) & (c == 0), 1.0).otherwise(_let(counts, lambda x: p(x["k"], x["n"])))
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """ST2: exact two-sided p: the sum of all probabilities that aren't over that of b; 1 without discordance."""
-    n = (b + c).cast("int")
-    total = F.element_at(F.transform(F.array(_pmf(n)), lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x <= F.element_at(p, (b + 1).cast("int")) + 1e-15, x).otherwise(0.0))), 1)
-    return F.when(n == 0, 1.0).otherwise(F.least(total, F.lit(1.0)))
+    """ST2: exact two-sided p: the sum of all probabilities that aren't over that of b; 1 without discordance. Null counts have a null p."""
+    return _paired(b, c, lambda k, n: _let(_lower(k, n), lambda low: _twice(low, n)))
 
 
 def mcnemar_doubled(b: Column, c: Column) -> Column:
     """ST3: twice the lower tail, 1 at most, rounded to 4 places."""
-    n = (b + c).cast("int")
-    low = F.least(b, c).cast("int")
-    tail = F.aggregate(F.slice(_pmf(n), 1, low + 1), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n == 0, 1.0).otherwise(F.bround(F.least(2 * tail, F.lit(1.0)), 4))
+    return F.bround(_paired(b, c, _twice), 4)
 
 
-def holm(tests: DataFrame, p: str = "p", *, partition: list[str] | None = None, order: list[str] | None = None, pieces: int = 1000) -> DataFrame:
+def holm(tests: DataFrame, p: str = "p", *, partition: list[str] | None = None, order: list[str] | None = None, piece: int = S.PIECE_ROWS) -> DataFrame:
     """ST4, WF3: p_holm, which never falls from a smaller to a larger p and is 1 at most.
 
-    Tests are ranked in pieces of equal width of p; a piece gets the number of tests and the largest value before it
-    from a window over the pieces, so a large family isn't sorted by one task. A null p has no p_holm and no rank.
+    Tests get their places by ``scan.numbered``, and the largest value so far is carried over pieces of ``piece`` places, so neither a large family nor many
+    equal p are one task's work. A null p has no p_holm and no rank. Equal p have equal p_holm.
     """
     keys = partition or []
-    piece = F.when(F.col(p).isNull(), -1).otherwise(F.least(F.floor(F.col(p) * pieces), F.lit(pieces)))
-    rows = tests.withColumn("__piece", piece)
-    sizes = rows.where("__piece >= 0").groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__k"))
-    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__piece")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__ahead", F.coalesce(F.sum("__k").over(before), F.lit(0)))
-    sizes = sizes.withColumn("__m", F.sum("__k").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    inside = Window.partitionBy(*keys, "__piece").orderBy(p, *(order or []))
-    rank = F.col("__ahead") + F.row_number().over(inside)
-    ranked = rows.join(sizes.drop("__k"), [*keys, "__piece"], "left").withColumn("__s", F.col(p) * (F.col("__m") - rank + 1))
-    ranked = ranked.withColumn("__own", F.max("__s").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    tops = ranked.where("__piece >= 0").groupBy(*keys, "__piece").agg(F.max("__s").alias("__top")).withColumn("__before", F.max("__top").over(before)).drop("__top")
-    out = ranked.join(tops, [*keys, "__piece"], "left")
-    value = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.greatest("__own", "__before")))
-    return out.withColumn("p_holm", value).select(*tests.columns, "p_holm")
+    known = tests.where(F.col(p).isNotNull())
+    ranked = S.numbered(known, [p, *(order or [])], by=keys, name="__rank")
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
+    ranked = ranked.join(sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))  # one row
+    value = F.col(p) * (F.col("__m") - F.col("__rank") + 1)
+    out = S.segmented_scan(ranked, keys, ["__rank"], F.floor(F.col("__rank") / piece), {"__top": S.running_max(value)})
+    out = out.select(*tests.columns, F.least(F.lit(1.0), F.col("__top")).alias("p_holm"))
+    return out.unionByName(tests.where(F.col(p).isNull()).withColumn("p_holm", F.lit(None).cast("double")))
 
 
 def risk_difference(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:

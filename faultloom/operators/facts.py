@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import order_statistic
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """SD1: of rows with one key the first in order; dropDuplicates would take any."""
@@ -107,13 +109,9 @@ def simulation_ok(text: Column, exit_code: Column, timeout: Column) -> Column:
     return (exit_code == 0) & ~timeout & ~text.contains("$fatal") & ~text.contains("FAIL") & text.contains("$finish")
 
 
-def upper_median(x: Column | str) -> Column:
-    """The element at n // 2 of the sorted values, not an average of two.
-
-    percentile_disc picks an element as well, but the lower one of an even number.
-    """
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value): the element at n // 2 of each group's sorted values that aren't null, not an average of two; by selection, so no group is collected."""
+    return order_statistic(rows, by, value, lambda n: F.floor(n / 2)).drop("n")
 
 
 def setting_rollup(rows: DataFrame, by: list[str], *, repair: str = "bmc_else_pass") -> DataFrame:

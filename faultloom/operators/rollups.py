@@ -24,7 +24,8 @@ def sufficiency(rows: DataFrame, by: list[str], *, killed: Column, line: str, mo
 
 def timing(rows: DataFrame, by: list[str], seconds: str) -> DataFrame:
     """(by, total, largest, median), the median being the upper one of an even number."""
-    return rows.groupBy(*by).agg(F.sum(seconds).alias("total"), F.max(seconds).alias("largest"), upper_median(seconds).alias("median"))
+    sums = rows.groupBy(*by).agg(F.sum(seconds).alias("total"), F.max(seconds).alias("largest"))
+    return sums.join(upper_median(rows, by, seconds).withColumnRenamed(seconds, "median"), by, "left")
 
 
 def compression(documents: DataFrame, by: list[str], *, raw: Column, slim: Column) -> DataFrame:
