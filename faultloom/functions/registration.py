@@ -10,11 +10,11 @@ from pyspark.sql.functions import udtf
 from . import code, text
 
 
-class Mutations:
-    """A table function: the mutations of one source."""
+class Hunks:
+    """A table function: the hunks of one diff, as (line, old lines, new lines)."""
 
-    def eval(self, source: str):
-        yield from code.mutations(source or "")
+    def eval(self, diff: str):
+        yield from ((at, len(old), len(new)) for at, old, new in text.changes_of(diff or ""))
 
 
 FUNCTIONS: dict[str, Callable] = {
@@ -24,9 +24,9 @@ FUNCTIONS: dict[str, Callable] = {
 
 
 def register(spark: SparkSession, extra: dict[str, Callable] | None = None) -> list[str]:
-    """Register FUNCTIONS, ``mutations`` and the caller's own for SQL; returns their names."""
+    """Register FUNCTIONS, ``diff_hunks`` and the caller's own for SQL; returns their names."""
     named = FUNCTIONS | (extra or {})
     for name, f in named.items():
         spark.udf.register(name, f)
-    spark.udtf.register("mutations", udtf(Mutations, returnType=code.VARIANTS))
-    return sorted([*named, "mutations"])
+    spark.udtf.register("diff_hunks", udtf(Hunks, returnType="line int, old_lines int, new_lines int"))
+    return sorted([*named, "diff_hunks"])

@@ -16,6 +16,7 @@ from ..functions import registration
 from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import facts as A
+from ..operators import nesting, ranges
 from ..session import read_table
 from ..sources import logs as L
 
@@ -89,14 +90,42 @@ def c5_fault_cone(spark, sf_dir):
     return df.select("doc_id", F.array_join(X.fault_cone(F.col("trigger"), F.col("code"), keys, there, ["OP_", "A", "IDLE"]), ",").alias("cone"))
 
 
-@query(f"SELECT doc_id AS trace_id, unnest([5, 10]) AS start, unnest([9, 10]) AS stop {FROM}")
+#: Blocks of real lines: one begins with a capital letter, articles open and "of" and "in" close.
+_ARTICLE, _CLOSER, _HEAD = "(^| )(the|la|die|el)( |$)", "(^| )(of|de|und|en|in)( |$)", "^[A-Z]"
+_LINES = f"""WITH l AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, trim(unnest(parts)) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+    s AS (SELECT *, len(regexp_extract_all(line, '{_ARTICLE}')) - len(regexp_extract_all(line, '{_CLOSER}')) AS step, regexp_matches(line, '{_HEAD}') AS head FROM l),
+    d AS (SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY pos) AS depth FROM s),
+    h AS (SELECT *, depth - step - CASE WHEN step = 0 AND contains(line, 'the') THEN 1 ELSE 0 END AS bound FROM d WHERE head),
+    e AS (SELECT h.doc_id, h.pos AS start, min(d.pos) AS stop FROM h LEFT JOIN d ON d.doc_id = h.doc_id AND d.pos >= h.pos AND d.depth <= h.bound GROUP BY 1, 2),
+    k AS (SELECT *, max(coalesce(stop, 1000000000000)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+    b AS (SELECT doc_id AS trace_id, start, stop FROM k WHERE stop IS NOT NULL AND (reach IS NULL OR reach < start))"""
+
+
+def document_lines(spark, sf_dir):
+    return lines_of(read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("source")))
+
+
+def document_blocks(lines):
+    return nesting.blocks(lines, head=_HEAD, opens=_ARTICLE, closes=_CLOSER, open_text="the")
+
+
+@query(_LINES + " SELECT trace_id, start, stop FROM b")
 def c6_blocks(spark, sf_dir):
-    return X.blocks(lines_of(made(spark, sf_dir, source=DESIGN)))
+    return document_blocks(document_lines(spark, sf_dir))
+
+
+@query(_LINES + " SELECT trace_id, start, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM b JOIN l ON l.doc_id = trace_id AND pos BETWEEN start AND stop GROUP BY 1, 2")
+def j12_lines_in_blocks(spark, sf_dir):
+    """The lines that each block holds: an interval join of two tables, lines and blocks."""
+    lines = document_lines(spark, sf_dir)
+    spans = document_blocks(lines).withColumn("end", F.col("stop") + 1)
+    held = ranges.interval_join(lines.select("trace_id", "pos", F.length(F.trim("line")).alias("size")), spans, keys=["trace_id"], at="pos", start="start", stop="end")
+    return held.groupBy("trace_id", "start").agg(F.count(F.lit(1)).alias("lines"), F.sum("size").cast("long").alias("chars"))
 
 
 @query(f"SELECT doc_id AS trace_id, CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 10 END AS start, round(20 + 5 * (CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END) + 0.1 * (CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END), 6) AS score {FROM}")
 def c7_j12_best_block(spark, sf_dir):
-    spans = X.blocks(lines_of(made(spark, sf_dir, source=DESIGN)))
+    spans = nesting.blocks(lines_of(made(spark, sf_dir, source=DESIGN)))
     first = F.col("start") == 5
     sigs = F.when(first, F.array(F.lit("a"), F.lit("b"), F.lit("s"))).otherwise(F.array(F.lit("a"), F.lit("y")))
     wanted = F.array(F.lit("a"), F.when(F.col("trace_id") % 2 == 0, "b").otherwise("q"))

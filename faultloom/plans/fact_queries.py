@@ -14,6 +14,7 @@ from ..functions import stats as S
 from ..operators import evidence as E
 from ..operators import facts as A
 from ..operators import rollups as R
+from ..operators.scan import numbered, order_statistic
 from ..session import read_table
 from ..streaming.ledger import ledger_summary
 
@@ -400,11 +401,19 @@ def a11_session_cost(spark, sf_dir):
     return out.withColumn("cost", F.round("cost", 4))
 
 
-@query(" SELECT sample, setting, seed, row_number() OVER (ORDER BY sample, setting, seed) AS place FROM rows_ QUALIFY place <= 500")
+@query(" SELECT sample, setting, seed, row_number() OVER (ORDER BY sample, setting, seed) AS place FROM rows_")
 def t1_sorted_rows(spark, sf_dir):
-    """The first 500 rows in order, numbered: an order as such has no place in a table."""
-    first = rows(spark, sf_dir).select("sample", "setting", "seed").orderBy("sample", "setting", "seed").limit(500)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("sample", "setting", "seed")))  # of 500 rows
+    """All rows with their place in the order."""
+    return numbered(rows(spark, sf_dir).select("sample", "setting", "seed"), ["sample", "setting", "seed"])
+
+
+@query(" SELECT l_returnflag AS flag, l_linestatus AS status, count(l_extendedprice) AS n, quantile_disc(l_extendedprice, 0.5) AS lower_median, list_sort(list(l_extendedprice))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM lineitem GROUP BY 1, 2")
+def a8_price_medians(spark, sf_dir):
+    """Medians of large groups, the upper and the lower one, by selection."""
+    r = read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("median"))
+    upper = order_statistic(r, ["flag", "status"], "median", lambda n: F.floor(n / 2))
+    lower = order_statistic(r, ["flag", "status"], "median", lambda n: F.floor((n - 1) / 2)).select("flag", "status", F.col("median").alias("lower_median"))
+    return upper.join(lower, ["flag", "status"])
 
 
 _LOGS = """, k AS (SELECT seed, seed % 7 AS a, seed % 5 AS b FROM rows_),

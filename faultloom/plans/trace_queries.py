@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import facts as A
+from ..operators import ranges as R
 from ..operators import trace as T
 from ..session import read_table
 from ..sinks.waveforms import waveforms
@@ -140,6 +141,26 @@ def w10_held_at_anchor(spark, sf_dir):
     return T.held_at(rows, asked)
 
 
+@query("SELECT trace_id, pos, cycle FROM cy")
+def j11_event_cycles(spark, sf_dir):
+    """The cycle of each event by an interval join of events with the spans of the cycles, two tables."""
+    starts = T.cycle_starts(changes(spark, sf_dir), F.col("sig") == "signup", span=SPAN)
+    spans = R.spans(starts.withColumnRenamed("t0", "from"), keys=["trace_id"], at="cycle").join(starts.select("trace_id", F.col("cycle").alias("stop"), F.col("t0").alias("until")), ["trace_id", "stop"], "left")
+    points = changes(spark, sf_dir).select("trace_id", "pos", "ts")
+    held = R.interval_join(points, spans.select("trace_id", "cycle", "from", "until"), keys=["trace_id"], at="ts", start="from", stop="until", base=3_600_000_000.0)
+    return held.select("trace_id", "pos", "cycle")
+
+
+@query(""", e AS (SELECT * FROM ch WHERE sig = 'error'), s AS (SELECT trace_id, ts AS near FROM ch WHERE sig = 'signup'),
+    b AS (SELECT e.trace_id, e.pos, e.ts, s.near AS before FROM e ASOF LEFT JOIN s ON e.trace_id = s.trace_id AND e.ts >= s.near), a AS (SELECT e.pos, s.near AS after FROM e ASOF LEFT JOIN s ON e.trace_id = s.trace_id AND e.ts <= s.near)
+    SELECT trace_id, b.pos, CASE WHEN before IS NULL OR after - ts < ts - before THEN after ELSE before END AS near, least(ts - before, after - ts) AS distance FROM b JOIN a USING (pos)""")
+def j13_nearest_signup(spark, sf_dir):
+    """Of each error the nearest signup of its user, before or after it."""
+    e = changes(spark, sf_dir)
+    out = R.nearest_join(e.where("sig = 'error'").select("trace_id", "pos", "ts"), e.where("sig = 'signup'").select("trace_id", "ts"), keys=["trace_id"], at="ts")
+    return out.select("trace_id", "pos", F.col("near.ts").alias("near"), "distance")
+
+
 @query(_PAIR + "SELECT * FROM dif")
 def w11_aligned_diff(spark, sf_dir):
     return T.aligned_diff(*pair(spark, sf_dir))

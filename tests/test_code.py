@@ -3,12 +3,13 @@
 import difflib
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultloom.functions import code, text
-from faultloom.operators import evidence, facts, trace
+from faultloom.operators import evidence, facts, nesting, trace
 
 FILE = "\n".join(f"line {i}" for i in range(1, 9)) + "\n"
 
@@ -98,29 +99,65 @@ def test_json_is_salvaged():
     assert text.balanced('x {"a": "}{\\"", "b": {}} y {') == '{"a": "}{\\"", "b": {}}' and text.balanced('{"a": "open') is None and text.balanced(None) is None
 
 
-def test_blocks_by_depth():
+def loop_blocks(lines):
+    """Blocks by a walk over the lines with a depth that begins anew with each block."""
+    out, start, depth = [], None, 0
+    for i, line in enumerate(x.strip() for x in lines):
+        opens, closes = len(re.findall(r"\bbegin\b", line)), len(re.findall(r"\bend\b", line))
+        if start is None and re.match(r"always\s*@|assign\s", line):
+            start, depth = i, (1 if opens == closes and "begin" in line else opens - closes)
+        elif start is not None:
+            depth += opens - closes
+        else:
+            continue
+        if depth <= 0:
+            out.append((start, i))
+            start = None
+    return out
+
+
+def test_blocks_by_depth(spark):
+    """Generated sources, cut into pieces of two lines and of many, and a file of one open block."""
     lines = ["always @(posedge clk) begin", "  if (a) begin", "  end", "end", "assign x = y;", "assign z =", "  w;", "always @* x = 1;", "always @(*) begin y = 1; end", "end", "always @(a) begin"]
-    assert text.block_spans(lines) == [(0, 3), (4, 4), (5, 5), (7, 7), (8, 9)]
+    assert loop_blocks(lines) == [(0, 3), (4, 4), (5, 5), (7, 7), (8, 9)]
+    rng = random.Random(8)
+    parts = ["always @(posedge clk) begin", "always @* x = 1;", "assign q = begin_x;", "if (a) begin", "end", "end else begin", "x <= y;", "begin begin", "end end end", "", "always @(*) begin y; end"]
+    files = [lines, ["always @(a) begin"] + ["x;"] * 30, []] + [rng.choices(parts, weights=[3, 1, 1, 3, 6, 2, 4, 1, 1, 1, 1], k=rng.randint(1, 120)) for _ in range(25)]
+    rows = [(f, i, x) for f, ls in enumerate(files) for i, x in enumerate(ls)]
+    df = spark.createDataFrame(rows, "trace_id int, pos long, line string")
+    want = sorted((f, a, b) for f, ls in enumerate(files) for a, b in loop_blocks(ls))
+    for piece in (2, 1024):
+        assert sorted(map(tuple, nesting.blocks(df, piece=piece).collect())) == want
 
 
-def test_mutations_and_faults():
+def one(spark, source, column):
+    return spark.createDataFrame([(source,)], "source string").select(column(F.col("source")).alias("x")).first()["x"]
+
+
+def test_mutations_and_faults(spark):
     source = "x\nassert (a == b);\nassert(!ok);\nassert (ok);\n// assert (c > d);\nassert (n < DEPTH); // >="
-    got = code.mutations(source, strong=True, higher=("delete", "const"))
+    df = spark.createDataFrame([(1, source), (2, None), (3, "")], "k int, source string")
+    got = [tuple(r)[1:] for r in code.explode_mutations(df, "k", strong=True, higher=("delete", "const")).collect()]
     assert [(m[0], m[1], m[2]) for m in got if m[1] != "delete"] == [(2, "==", "!="), (3, "bool_neg", "bool_pos"), (4, "bool_pos", "bool_neg"), (6, "const:DEPTH", "2'd2"), (6, ">=", "<")]
     assert all(m[4].split("\n")[m[0] - 1] == m[3] for m in got) and sum(m[1] == "delete" for m in got) == 4
+    assert [m[3] for m in got if m[0] == 3] == ["// [mutation-delete] assert(!ok);", "assert(ok);"] and [m[3] for m in got if m[0] == 6][1:] == ["assert (n < 2'd2); // >=", "assert (n < DEPTH); // <"]
+    weak = code.explode_mutations(df, "k").where("line = 2").first()
+    assert (weak["old"], weak["new"], weak["mutated_line"]) == ("==", ">=", "assert (a >= b);")  # 16 characters of line choose the second of three
     assert code.inject("a <= 1;\nb <= 2;\n", r"b <= (\d);", r"b <= \g<1>0;") == ("a <= 1;\nb <= 20;\n", 2, "- b <= 2;\n+ b <= 20;")
     assert code.inject("a\nb\n", "b\n", None) == ("a\n", 2, "- b\n+ <deleted>") and code.inject("a", "z", "y") is None
-    bench = 'if (cnt != 3)\n  $fatal("cnt");\nif (ok) $fatal("ok");\n$display("cnt");'
-    assert code.weaken_testbench(bench, ["cnt"]) == 'if (ok) $fatal("ok");\n$display("cnt");'
+    bench = 'if (cnt != 3)\n  $fatal("cnt");\nif (ok) $fatal("ok");\n$display("cnt");\nif (cnt) begin\n$fatal("cnt");\nend'
+    assert one(spark, bench, lambda c: code.weakened(c, ["cnt"])) == 'if (ok) $fatal("ok");\n$display("cnt");\nif (cnt) begin\nend'
     assert code.override_parameters("parameter N = 50;\nm #(.N(50)) u();\nlocalparam NN = 1;", {"N": "4"}) == "parameter N = 4;\nm #(.N(4)) u();\nlocalparam NN = 1;"
 
 
-def test_structural_templates():
+def test_structural_templates(spark):
     source = "// note\nif (a) begin\n  x;\nend\n// c\nelse if (b) begin\n  y;\nend\n"
-    assert code.remove_branch(source, "if (a)") == "// note\nelse if (b) begin\n  y;\nend\n".replace("// note\n", "// note\n")
-    assert code.remove_block(source, "if (b)") == "// note\nif (a) begin\n  x;\nend\n"
+    assert one(spark, source, lambda c: code.remove_branch(c, "if (a)")) == "// note\nelse if (b) begin\n  y;\nend\n"
+    assert one(spark, source, lambda c: code.remove_block(c, "if (b)")) == "// note\nif (a) begin\n  x;\nend\n"
+    assert one(spark, source, lambda c: code.remove_block(c, "if (a)")) == "// c\nelse if (b) begin\n  y;\nend\n"
+    assert one(spark, "if (a) begin\n x;\n// c\ny;", lambda c: code.remove_branch(c, "if (a)")) == " x;\n// c\ny;"
     assert code.remove_guard("if (t >= MAX) begin\n s <= 0;\nend else if (b) c;", "t >= MAX") == "if (b) c;"
-    assert code.remove_block(source, "zz") is None and code.rewrite_jump("a", "b", "c") is None
+    assert one(spark, source, lambda c: code.remove_block(c, "zz")) is None and code.rewrite_jump("a", "b", "c") is None
 
 
 def test_intents():
@@ -204,5 +241,5 @@ def test_holm_against_plain_loops(spark):
             for r, (p, k) in enumerate(mine):
                 top = max(top, p * (len(mine) - r))
                 want[k] = min(1.0, top)
-        got = {r["k"]: r["p_holm"] for r in stats.holm(df, partition=partition, order=["k"], pieces=7).collect()}
+        got = {r["k"]: r["p_holm"] for r in stats.holm(df, partition=partition, order=["k"], piece=7).collect()}
         assert got.pop(999) is None and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
