@@ -5,8 +5,6 @@ An order stands for a result row: its customer is the sample, its priority the s
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -467,14 +465,3 @@ def s1_ledger(spark, sf_dir):
         F.col("event_type").alias("caller"), "ts", (F.col("event_id") % 50).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(0.0).alias("cost"), (F.col("user_id") % 3 == 0).alias("mock")
     )
     return ledger_summary(ledger, ["caller"]).select("caller", "calls", "real_calls", "mock_calls", "input_tokens")
-
-
-@query(" SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1 HAVING count(*) > 0")
-def s1_s3_streamed_counts(spark, sf_dir):
-    """The events read as a stream, counted by type, and written by foreachBatch-like replacement into a memory table."""
-    name = f"faultloom_stream_{uuid.uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").where("event_id % 2 = 0").groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import read_table, shared_dir
 from ..sinks import files
 from ..sources import logs as L
-from ..streaming.ledger import once_per_key
+from ..streaming import retries
+from ..streaming.sink import KeyedSink
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,15 +27,9 @@ def query(sql: str):
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; a local session without one gets a temporary
-    folder. It goes when the session's JVM ends."""
+    """A new folder below the one that all executors share; it goes when the session's JVM ends."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='faultloom-')}"
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{uuid.uuid4().hex}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     fs.deleteOnExit(path)
@@ -104,10 +98,43 @@ def sc10_sc11_results(spark, sf_dir):
     return L.read_with_fallback(spark, f"{path}/all.json", f"{path}/shard_*/part-*", f"{path}/partial/part-*", schema, ["sample", "setting", "seed"])
 
 
-@query("SELECT DISTINCT event_type AS k FROM events")
+def event_stream(spark: SparkSession, sf_dir: str):
+    """All events as a stream, a file at a time."""
+    schema = read_table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query("SELECT user_id AS k, min(event_id) AS first, arg_min(event_type, event_id) AS kind FROM events GROUP BY 1")
 def s2_once_per_key(spark, sf_dir):
-    name = f"faultloom_once_{uuid.uuid4().hex}"
-    e = read_table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(e.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("event_type").alias("k"))
-    once_per_key(stream, ["k"]).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The first event of each user, saved once by batches that are committed by number."""
+    stream = event_stream(spark, sf_dir).select(F.col("user_id").alias("k"), F.col("event_id").alias("first"), F.col("event_type").alias("kind"))
+    place = folder(spark, "once")
+    sink = KeyedSink(spark, f"{place}/table", stream.schema, ["k"], ["first"])
+    sink.start(stream, f"{place}/checkpoint").awaitTermination()
+    return sink.read()
+
+
+@query("SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1")
+def s1_s3_streamed_counts(spark, sf_dir):
+    """All events counted by type as a stream; each batch's counts are saved, and the last committed ones of a key count."""
+    counts = event_stream(spark, sf_dir).groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    place = folder(spark, "counts")
+    sink = KeyedSink(spark, f"{place}/table", counts.schema, ["k"], ["n"], keep="last")
+    sink.start(counts, f"{place}/checkpoint", mode="update").awaitTermination()
+    return sink.read()
+
+
+@query("""WITH e AS (SELECT user_id AS task, event_id AS attempt, event_type = 'purchase' AND value > 95 AS ok, 'd' || event_id AS diff, event_type AS failure FROM events),
+    g AS (SELECT task FROM e GROUP BY 1 HAVING NOT bool_or(ok)), r AS (SELECT e.*, row_number() OVER (PARTITION BY task ORDER BY attempt DESC) AS rn FROM e JOIN g USING (task))
+    SELECT task, string_agg(attempt || ':' || diff || ':' || failure, ' ' ORDER BY attempt) AS history FROM r WHERE rn <= 3 GROUP BY 1""")
+def s4_streamed_retries(spark, sf_dir):
+    """The last failed attempts of each task (a user, whose events are attempts), kept as state of a stream."""
+    ok = (F.col("event_type") == "purchase") & (F.col("value") > 95)
+    stream = event_stream(spark, sf_dir).select(F.col("user_id").alias("task"), F.col("event_id").alias("attempt"), ok.alias("ok"), F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("diff"), F.col("event_type").alias("failure"))
+    place = folder(spark, "retries")
+    with retries.settings(spark):
+        out = retries.retry_history_stream(stream)
+        sink = KeyedSink(spark, f"{place}/table", out.schema, ["task"], ["good"], keep="last")
+        sink.start(out, f"{place}/checkpoint", mode="update").awaitTermination()
+    told = F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["attempt"].cast("string"), h["diff"], h["failure"])), " ")
+    return sink.read().where("not good").select("task", told.alias("history"))

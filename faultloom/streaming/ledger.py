@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .sink import KeyedSink
+
 LEDGER = "ts timestamp, caller string, provider string, model string, input_tokens long, output_tokens long, cost double, mock boolean"
 
 
@@ -45,25 +45,7 @@ def once_per_key(results: DataFrame, keys: list[str], *, ts: str | None = None,
     return results.dropDuplicates(keys)
 
 
-def append_new(done: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: write the rows whose keys the Parquet table ``done`` lacks.
-
-    A batch that is run again after a failure finds its own rows there, so a key is written once.
-    """
-
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(done)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(done), keys, "left_anti")
-        fresh.write.mode("append").parquet(done)
-
-    return run
-
-
-def resume_into(results: DataFrame, done: str, keys: list[str], *, checkpoint: str) -> StreamingQuery:
-    """Save each key's first result, whatever was saved by earlier runs; ends when the input is read."""
-    writer = results.writeStream.foreachBatch(append_new(done, keys)).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+def resume_into(results: DataFrame, done: str, keys: list[str], *, checkpoint: str, order: list[str] | None = None) -> StreamingQuery:
+    """Save each key's first result in the ``KeyedSink`` at ``done``, whatever was saved by earlier runs; ends when the input is read."""
+    sink = KeyedSink(results.sparkSession, done, results.schema, keys, order or [])
+    return sink.start(results, checkpoint)
