@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import code as K
@@ -16,7 +16,8 @@ from ..functions import registration
 from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import facts as A
-from ..operators import nesting, ranges
+from ..operators import nesting, patches, ranges
+from ..operators import trace as T
 from ..session import read_table
 from ..sources import logs as L
 
@@ -462,3 +463,42 @@ def u1_registered_functions(spark, sf_dir):
     made(spark, sf_dir, source=DESIGN, diff=DIFF).createOrReplaceTempView("faultloom_sources")
     calls = "SELECT doc_id, sha2(apply_diff(source, diff), 256) AS digest, size(parse_diff(diff)) AS mutations FROM faultloom_sources"
     return spark.sql(calls)
+
+
+@query("""WITH l AS (SELECT doc_id, len(parts) AS n, generate_subscripts(parts, 1) - 1 AS i, unnest(parts) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+    u AS (SELECT doc_id, i * 5 // n AS unit, bool_or(contains(line, ' the ')) AS needed FROM l GROUP BY 1, 2)
+    SELECT doc_id, count(*) AS units, count(*) FILTER (needed) AS kept FROM u GROUP BY 1""")
+def c18_minimised_diffs(spark, sf_dir):
+    """Each document as a diff that adds its lines in five units, reduced to those that are needed to keep all lines with an article."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("p"))
+    part = lambda i: F.floor(i * 5 / F.size("p"))
+    told = F.transform("p", lambda x, i: F.concat(F.when((i > 0) & (part(i) != part(i - 1)), F.lit(" .\n")).otherwise(""), F.lit("+"), F.regexp_replace(x, "\r", " ")))
+    diffs = d.select("id", F.concat(F.lit("@@ -1 +1 @@\n"), F.array_join(told, "\n"), F.lit("\n")).alias("diff"))
+    needed = lambda diff: F.size(F.filter(F.split(diff, "\n"), lambda x: F.contains(x, F.lit(" the "))))
+    want = diffs.select("id", needed("diff").alias("want"))
+
+    def verdicts(trials):
+        return trials.join(want, "id").select("id", "trial", (needed(F.col("diff")) == F.col("want")).alias("ok"))
+
+    out = patches.minimised(diffs, verdicts, most=1000)
+    return out.select(F.col("id").alias("doc_id"), "units", (F.col("units") - F.size("removed")).alias("kept"))
+
+
+@query("SELECT doc_id, contains(lower(coalesce(text, '')), 'copyright') OR contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(text, '')), 'http') AS hit FROM documents")
+def p11_any_of(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", (F.size(X.contains_any(F.coalesce("text", F.lit("")), ["copyright", "license", "http"])) > 0).alias("hit"))
+
+
+@query("SELECT page_id, NOT (" + " OR ".join(f"contains(url, '{m}')" for m in ("anyinit_", "anyseq_", "smt_", "_auto_", "$", "\\", "procdff", "execute_", "setundef")) + ") AS real FROM pages")
+def p12_real_names(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", T.is_real_signal(F.col("url")).alias("real"))
+
+
+@query("SELECT o_custkey AS sample, array_to_string(list_sort(list_distinct(list(o_orderkey)))[1:5], ',') AS first FROM orders GROUP BY 1")
+def t4_first_five(spark, sf_dir):
+    """The first five order keys of each customer: ranked apart, so that no customer's keys are collected whole."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("key")).distinct()
+    rank = F.row_number().over(Window.partitionBy("sample").orderBy("key"))
+    few = o.withColumn("rank", rank).where("rank <= 5").groupBy("sample").agg(F.sort_array(F.collect_list("key")).alias("k"))
+    return few.select("sample", F.array_join(F.col("k").cast("array<string>"), ",").alias("first"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultloom.functions import code, text
-from faultloom.operators import evidence, facts, nesting, trace
+from faultloom.operators import evidence, facts, nesting, patches, trace
 
 FILE = "\n".join(f"line {i}" for i in range(1, 9)) + "\n"
 
@@ -92,6 +92,29 @@ def test_diffs_are_minimised():
         text.minimise_diff(diff, lambda d: False)
 
 
+def test_many_diffs_are_minimised_at_once(spark):
+    """A table of diffs, by rounds of trials, against the loop over one: what is left, and how many calls it takes."""
+    rng = random.Random(9)
+    diffs = [(i, "".join(rng.choice(["@@ -1 +1 @@\n", "+a\n", "-b\n", "+need\n", " c\n", "noise\n"]) for _ in range(rng.randint(1, 25)))) for i in range(30)] + [(98, "no hunk"), (99, "@@ -1 +1 @@\n+x\n c\n+y\n")]
+    df = spark.createDataFrame(diffs, "id long, diff string")
+    needed = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: x == "+need"))
+    want = df.select("id", needed("diff").alias("want"))
+    units = {i: text.diff_units(d) for i, d in diffs}
+    total = {i: sum(x == "+need" for _, ls in u for _, x in ls) for i, u in units.items()}
+
+    def verdicts(trials):  # 98 and 99 never hold
+        return trials.join(want, "id").select("id", "trial", ((needed("diff") == F.col("want")) & (F.col("id") < 90)).alias("ok"))
+
+    for most in (40, 3):
+        got = {r["id"]: r for r in patches.minimised(df.where("id >= 90 or diff like '@@%'"), verdicts, most=most).collect()}
+        for i, d in diffs:
+            if i >= 90:
+                assert not got[i]["holds"] and got[i]["diff"] == d and got[i]["calls"] == 1
+            elif d.startswith("@@"):
+                left, calls = text.minimise_diff(d, lambda x, i=i: sum(y == "+need" for y in x.split("\n")) == total[i], most=most)
+                assert (got[i]["diff"], got[i]["calls"]) == (left if got[i]["removed"] else d, calls), (d, left)
+
+
 def test_json_is_salvaged():
     assert text.salvage('<think>{"no": 1}</think>```json\n{"a": 1}\n```') == '{"a": 1}'
     assert text.salvage('{"a": {"b": 1}') == '{"a": {"b": 1}}' and text.salvage('{"a": 1, "b": {}, "c": tr') == '{"a": 1, "b": {}}'
