@@ -22,7 +22,7 @@ from .common import Scratch, spread_join
 #: Hosts' paths are sent to all tasks up to this size, otherwise pages meet them in a join.
 BROADCAST_BYTES = 64 << 20
 #: The share of a host's text that a path must hold to be the article as a whole, and that an <article> must hold.
-WHOLE, ARTICLE = 0.98, 0.5
+WHOLE, ARTICLE = 1.0, 0.5
 
 #: A quote opens a value only after "=", so one elsewhere (title=it's) doesn't swallow what follows.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
@@ -43,10 +43,15 @@ BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay sidebar sidebars aside menu menus nav navbar navigation "
     "breadcrumb breadcrumbs pagination pager share sharing social comment comments commentlist disqus reply replies respond footer "
-    "masthead newsletter subscribe subscription signup login related recommended recommendations widget widgets toolbar".split()
+    "masthead newsletter subscribe subscription signup login related recommended recommendations widget widgets toolbar adsbygoogle".split()
 )
 #: Words that may stand beside those in the name of an element that is nothing else.
-NEUTRAL = set("area author block body bottom box column container content entry form inner item items left list meta right section slot text thread top unit wrap wrapper".split())
+NEUTRAL = set(
+    "area article articles author bar block body bottom box button buttons column container content entry form group inner item items left link links list media meta post posts right "
+    "section slot stories story text thread top unit wrap wrapper".split()
+)
+#: Elements of running text: a name that says anything else of them speaks of their subject (id="related-work").
+TEXTUAL = set("article blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li p pre section table tbody td th tr".split())
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search"}
 KEEPS = re.compile(r"(?:no|without|has|with)[-_]?(?:ads?|sidebars?|nav|comments?)|comments?[-_](?:open|closed)", re.I)
 #: For a start tag: the open elements that it ends, and those in which it looks no further up.
@@ -77,7 +82,7 @@ def _names(attributes: str) -> tuple[list[str], bool]:
 
 def _is_boilerplate(words: list[str], strict: bool) -> bool:
     """Whether an element's names mark it as no part of the article: its id, its role and its first class by any
-    of their parts, further classes (of an <article> the first as well) if they say nothing else."""
+    of their parts, further classes (if ``strict``, all names) if they say nothing else."""
     for i, w in enumerate(words):
         if w[0] == "r" and w[1:].lower() in ROLES:
             return True
@@ -194,7 +199,7 @@ class Page:
         kind = inside & 3  # 1: never part of the article; 2: inside an <article>; 4: only its names speak against it
         if tag in SKIPPED or hidden or tag == "header" and not inside & 2:
             kind |= 1
-        elif tag == "form" or words and tag not in ("body", "html", "main") and _is_boilerplate(words, tag == "article"):
+        elif tag == "form" or words and tag not in ("body", "html", "main") and _is_boilerplate(words, bool(inside & 2) or tag in TEXTUAL):
             kind |= 4
         if not (block or tag == "a" or kind & 5 and not inside & 1 or self._at.get(tag)):
             return  # an inline element changes nothing
@@ -277,7 +282,7 @@ def pick(paths, total: int) -> int:
     """The path of the article, of rows (depth, path, tag, characters, of these in no smaller container).
 
     An <article>, else a <main>, with half of the text is it. Otherwise it is the innermost path that holds
-    nearly all, or the one around it if that has text of its own (a heading over sections, say).
+    all of it, or the one around it if that has text of its own (a heading over sections, say).
     """
     rows = sorted((tuple(r) for r in paths), key=lambda r: (r[0], r[1]))
     for tag in ("article", "main"):

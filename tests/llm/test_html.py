@@ -129,3 +129,31 @@ def test_paths_too_large_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
     out = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r.page_id: r.text for r in out.collect()} == {i: f"text {i}" for i, *_ in rows}
+
+
+CASES = [
+    ('<article><h2 id="related-work">Related work</h2><p>Body text.</p></article>', "Related work Body text."),
+    ('<article><section id="comments-on-the-method"><p>On the method.</p></section><p>More.</p></article>', "On the method. More."),
+    ('<article><div class="social-impact"><p>Impact.</p></div><p>More.</p></article>', "Impact. More."),
+    ('<article><p class="menu-price">Soup 4.50</p><p class="share-price">Up 3</p></article>', "Soup 4.50 Up 3"),
+    ('<article><figure class="banner-image"><figcaption>A caption.</figcaption></figure><p>Text.</p></article>', "A caption. Text."),
+    ('<article><p>Text.</p><ins class="adsbygoogle">Buy now</ins><div class="related-posts">See also</div><section id="comments"><p>A reader says.</p></section></article>', "Text."),
+    ('<article><p>Text.</p><div class="share-buttons">Tweet</div><ul class="social-links"><li>Site</li></ul></article>', "Text."),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), CASES)
+def test_names_that_speak_of_the_subject_stay(page, want):
+    assert html.extract(f"<html><body><nav>menu</nav>{page}<footer>foot</footer></body></html>", None) == want
+
+
+def test_titles_and_leads_beside_the_content_stay(spark):
+    """Hosts without an <article>: a short title or lead in a container of its own is part of what is told."""
+    body = "".join(f"<p>{'words of the long body ' * 60}{k}</p>" for k in range(3))
+    text = " ".join(f"{'words of the long body ' * 60}{k}" for k in range(3))
+    one = [f'<body><nav>menu</nav><div class="page"><div class="title"><h1>The Title {i}</h1></div><div class="content">{body}</div></div><footer>f</footer></body>' for i in range(6)]
+    two = [f'<body><div class="lead">A short lead {i}.</div><div class="content">{body}</div><div class="sidebar">side</div></body>' for i in range(6)]
+    rows = [(i, f"http://{h}.org/{i}", p) for h, pages in (("a", one), ("b", two)) for i, p in enumerate(pages)]
+    got = {(r["url"]): r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {f"http://a.org/{i}": f"The Title {i} {text}" for i in range(6)} | {f"http://b.org/{i}": f"A short lead {i}. {text}" for i in range(6)}
+    assert got == want
