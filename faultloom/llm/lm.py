@@ -37,7 +37,7 @@ TOKENS = CLASS_SIZE * CLASSES
 RARE = 64
 FIRST_RARE = TOKENS - RARE
 PAD = TOKENS
-HIDDEN = 20
+HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 4096, 2.0
 #: How much larger the steps of embeddings and of within-class weights are than those of dense parameters.
