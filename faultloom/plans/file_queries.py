@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..session import read_table, shared_dir
 from ..sinks import files
 from ..sources import logs as L
+from ..sources import vcd as V
 from ..streaming import retries
+from ..streaming.ledger import ledger_summary
 from ..streaming.sink import KeyedSink
 
 QUERIES: dict = {}
@@ -138,3 +140,28 @@ def s4_streamed_retries(spark, sf_dir):
         sink.start(out, f"{place}/checkpoint", mode="update").awaitTermination()
     told = F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["attempt"].cast("string"), h["diff"], h["failure"])), " ")
     return sink.read().where("not good").select("task", told.alias("history"))
+
+
+@query("SELECT user_id AS trace, CAST(count(*) AS BIGINT) AS changes, min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events GROUP BY 1")
+def sc1_dump_files(spark, sf_dir):
+    """The events written as value-change dumps, a file for each user's share of a task, and read back in splits."""
+    e = read_table(spark, sf_dir, "events")
+    ts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))")
+    body = F.concat(F.lit("#"), ts.cast("string"), F.lit("\nb"), F.bin(F.floor("value").cast("long")), F.lit(" "), F.substring("event_type", 1, 2))
+    path = folder(spark, "dumps")
+    rows = e.select("user_id", ts.alias("t"), body.alias("value")).repartition("user_id").sortWithinPartitions("user_id", "t")
+    rows.select("user_id", "value").write.partitionBy("user_id").text(f"{path}/vcd")
+    read = V.changes(V.read_lines(spark, f"{path}/vcd/*/part-*"))
+    user = F.regexp_extract("trace_id", r"user_id=(\d+)", 1).cast("long")
+    return read.groupBy(user.alias("trace")).agg(F.count(F.lit(1)).alias("changes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query("SELECT epoch_us(ts) // 2592000000000 AS month, event_type AS caller, count(*) AS calls, count(*) FILTER (user_id % 3 <> 0) AS real_calls, CAST(sum(event_id % 50) AS BIGINT) AS input_tokens FROM events GROUP BY 1, 2")
+def s1_ledger_windows(spark, sf_dir):
+    """The ledger's sums for each span of thirty days."""
+    e = read_table(spark, sf_dir, "events")
+    mock = (F.col("user_id") % 3 == 0).alias("mock")
+    ledger = e.select(F.col("event_type").alias("caller"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 50).alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(0.0).alias("cost"), mock)
+    out = ledger_summary(ledger, ["caller"], window="30 days")
+    month = F.floor(F.unix_micros("span.start") / 2_592_000_000_000)
+    return out.select(month.alias("month"), "caller", "calls", "real_calls", "input_tokens")
