@@ -1,7 +1,8 @@
 """Jaccard join of word n-gram sets by vertical partitioning.
 
 All n-grams have a global order, rare ones first. It is cut into fragments, and so is each document's set: pairs
-are counted fragment by fragment (partial overlaps), and the sum of a pair's counts decides. Only pairs that share one of
+are counted fragment by fragment (partial overlaps), and the sum of a pair's counts decides; a pair whose count in the rarest
+fragment leaves the threshold out of reach isn't counted in the others. Only pairs that share one of
 their rarest n-grams can reach the threshold (prefixes); such buckets propose pairs. Equal sets are one node, so copies are
 never paired; in a bucket some centres are compared with the rest, and what is linked by then isn't compared
 again. Buckets with many unlinked nodes are split by a second shared n-gram, which a pair above the threshold must have too.
@@ -18,15 +19,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .common import Scratch, shuffle_partitions, spread_join
+from .common import ROWS_AT_ONCE, Scratch, batches_of, shuffle_partitions, spread_join
 from .components import connected_components
-from .jaccard import reach, shingles
+from .jaccard import reach
 
 WORDS, PERCENT, FRAGMENTS = 4, 85, 4
-#: The order goes by the number of n-grams in each of so many hash buckets, counted over all documents; 4 bytes each for a task.
-ORDER_BITS, BLOCK = 20, 1 << 12
+#: The order goes by the number of n-grams in each of so many hash buckets, counted over all documents; 5 bytes each for a task.
+ORDER_BITS, BLOCK = 21, 1 << 14
 #: A bucket with more unlinked nodes is split, so many times at most.
-MAX_BUCKET, SPLITS, MORE_CENTRES = 256, 2, 4
+MAX_BUCKET, SPLITS, MORE_CENTRES = 4096, 2, 4
+
+
+#: Word hashes remembered by a worker.
+MAX_WORDS = 100_000
+_KNOWN: dict[bytes, int] = {}
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def _word(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word, 42)
+    if len(_KNOWN) < MAX_WORDS:
+        _KNOWN[word] = h
+    return h
+
+
+def ngrams(text: str | None, k: int) -> np.ndarray:
+    """A 64-bit hash for each run of k words, repeats included; one of all words if there are fewer. A-Z are lower-cased."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    known = _KNOWN.get
+    words = np.array([known(w) or _word(w) for w in found], np.uint64)
+    k = min(k, len(words))
+    n = len(words) - k + 1
+    out = np.full(n, k, np.uint64)
+    for i in range(k):
+        out = _mixed(out * _MIX[0] + words[i : i + n])
+    return out
 
 
 def order_bucket(hashes: np.ndarray) -> np.ndarray:
@@ -40,10 +75,12 @@ def _counted(words: int):
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
             for t in batch.column(0):
-                np.add.at(counts, order_bucket(shingles(t.as_py(), words)), 1)
+                np.add.at(counts, order_bucket(ngrams(t.as_py(), words)), 1)
         blocks = counts.reshape(-1, BLOCK)
-        at = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([blocks[i].tobytes() for i in at], pa.binary())], ["block", "counts"])
+        kind = np.min_scalar_type(int(counts.max()))
+        for i in np.flatnonzero(blocks.any(axis=1)).tolist():
+            row = [pa.array([i]), pa.array([kind.itemsize]), pa.array([blocks[i].astype(kind).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["block", "bytes", "counts"])
 
     return run
 
@@ -51,8 +88,8 @@ def _counted(words: int):
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[block] = sums.get(block, 0) + np.frombuffer(raw, np.int64)
+        for block, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[block] = sums.get(block, 0) + np.frombuffer(raw, f"u{size}").astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
 
@@ -70,17 +107,22 @@ class Order:
     @classmethod
     def of(cls, docs: DataFrame, text: str, words: int, fragments: int) -> Order:
         """The driver gets the 2^ORDER_BITS counts."""
-        found = docs.select(F.col(text).cast("string")).mapInArrow(_counted(words), "block long, counts binary")
+        found = docs.select(F.col(text).cast("string")).mapInArrow(_counted(words), "block long, bytes long, counts binary")
         n = min(shuffle_partitions(docs.sparkSession), (1 << ORDER_BITS) // BLOCK)
-        total = found.repartition(n, "block").mapInArrow(_summed, "block long, counts binary").toArrow()
-        counts = np.zeros((1 << ORDER_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
+        with batches_of(docs.sparkSession, ROWS_AT_ONCE):
+            total = found.repartition(n, "block").mapInArrow(_summed, "block long, counts binary").toArrow()
+        counts = np.zeros(((1 << ORDER_BITS) // BLOCK, BLOCK), np.int64)
         for block, raw in zip(total["block"].to_pylist(), total["counts"].to_pylist(), strict=True):
             counts[block] += np.frombuffer(raw, np.int64)
         return cls(counts.reshape(-1), fragments)
 
     def first(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """The n rarest, in order."""
-        return hashes[np.lexsort((hashes, self.rank[order_bucket(hashes)]))[:n]]
+        rank = self.rank[order_bucket(hashes)]
+        if n < len(hashes):
+            some = np.flatnonzero(rank <= np.partition(rank, n - 1)[n - 1])
+            hashes, rank = hashes[some], rank[some]
+        return hashes[np.lexsort((hashes, rank))[:n]]
 
 
 def _least(n: int, percent: int) -> tuple[int, int]:
@@ -92,41 +134,46 @@ def _least(n: int, percent: int) -> tuple[int, int]:
     return n + 1 + -2 * percent * n // (100 + percent), n + 1 + -percent * n // 100
 
 
-def signed(docs: DataFrame, order, *, text: str, doc_id: str, words: int, percent: int) -> DataFrame:
-    """(uid, doc_id, text, key, n, index, probe, rarest): key stands for the set; rarest has ``probe`` n-grams and SPLITS more."""
+def signed(docs: DataFrame, order, *, text: str, doc_id: str, words: int, percent: int, fragments: int) -> DataFrame:
+    """(uid, doc_id, text, key, n, index, probe, rarest, sizes): key stands for the set; rarest has ``probe`` n-grams and SPLITS more; sizes
+    are the set's n-grams in each fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ns, index, probe, rarest = [], [], [], [], []
+            keys, ns, index, probe, rarest, sizes = [], [], [], [], [], []
             for t in batch.column(2):
-                h = shingles(t.as_py(), words)
+                h = np.unique(ngrams(t.as_py(), words))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 ns.append(len(h))
                 i, p = _least(len(h), percent) if len(h) else (0, 0)
                 index.append(i)
                 probe.append(p)
                 rarest.append(order.value.first(h, p + SPLITS).view(np.int64) if len(h) else [])
+                sizes.append(np.bincount(order.value.fragment[order_bucket(h)], minlength=fragments).astype(np.int32))
             numbers = [pa.array(x, pa.int64()) for x in (ns, index, probe)]
-            columns = [*batch.columns, pa.array(keys, pa.binary()), *numbers, pa.array(rarest, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "text", "key", "n", "index", "probe", "rarest"])
+            columns = [*batch.columns, pa.array(keys, pa.binary()), *numbers, pa.array(rarest, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "text", "key", "n", "index", "probe", "rarest", "sizes"])
 
     picked = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "uid long, doc_id long, text string, key binary, n long, index long, probe long, rarest array<long>")
+    return picked.mapInArrow(run, "uid long, doc_id long, text string, key binary, n long, index long, probe long, rarest array<long>, sizes array<int>")
 
 
-def _segments(order, words: int):
-    """A row for each fragment that a text has n-grams of."""
+def _cut(order, wanted, words: int, fragments: list[int]):
+    """A row for each of these fragments that a text has n-grams of, of rows (node, text, hash of node) whose hash the filter of wanted holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = Bloom(wanted.value)
         for batch in batches:
             nodes, at, parts = [], [], []
+            batch = batch.filter(pa.array(may.holds(batch.column(2).to_numpy())))
             for node, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = shingles(t.as_py(), words)
+                h = np.unique(ngrams(t.as_py(), words))
                 own = order.value.fragment[order_bucket(h)]
-                for f in np.unique(own).tolist():
-                    nodes.append(node)
-                    at.append(f)
-                    parts.append(h[own == f].tobytes())
+                for f in fragments:
+                    if len(part := h[own == f]):
+                        nodes.append(node)
+                        at.append(f)
+                        parts.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(at, pa.int32()), pa.array(parts, pa.binary())], ["node", "fragment", "part"])
 
     return run
@@ -140,14 +187,44 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["a", "b", "overlap"])
 
 
-def overlapping(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs that reach the threshold: partial overlaps of each fragment, summed for each pair."""
-    a = segments.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x"))
-    b = segments.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
-    met = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "x", "y")
-    sums = met.mapInArrow(_partial, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("i"))
-    n, m = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    return sums.join(n, "a").join(m, "b").where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+class Segments:
+    """The sets of the nodes, fragment by fragment. The rarest fragment is written for all nodes of shared buckets, the others are cut
+    from the texts of the nodes whose pairs still need them."""
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, nodes: DataFrame, order, words: int, fragments: int, percent: int) -> None:
+        self.scratch, self.sets, self.nodes, self.order, self.words, self.fragments, self.percent = scratch, sets, nodes, order, words, fragments, percent
+        self.rarest: DataFrame | None = None
+
+    def of(self, wanted: DataFrame, fragments: list[int], name: str) -> DataFrame:
+        """wanted: (node); segments of a few others do no harm."""
+        words = self.sets.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select(F.xxhash64("node").alias("h"))).words)
+        texts = self.sets.select(F.col("uid").alias("node"), "text", F.xxhash64("uid").alias("h"))
+        out = self.scratch.save(texts.mapInArrow(_cut(self.order, words, self.words, fragments), "node long, fragment int, part binary"), name)
+        words.destroy()
+        return out
+
+    @staticmethod
+    def _counted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        a = segments.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x"))
+        b = segments.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
+        met = pairs.select("a", "b").join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "x", "y")
+        return met.mapInArrow(_partial, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+
+    def overlapping(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b) of the pairs that reach the threshold: partial overlaps of each fragment, summed for each pair."""
+        assert self.rarest is not None
+        a, b = (self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sizes").alias(f"s_{c}")) for c in ("a", "b"))
+        told = self.scratch.save(pairs.join(a, "a").join(b, "b"), f"{name}-sized")
+        # what the pair has to have in common, and what the other fragments can hold of it at most
+        need = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / F.lit(100.0 + self.percent) - F.lit(1e-6))
+        rest = F.aggregate(F.zip_with(F.slice("s_a", 2, self.fragments), F.slice("s_b", 2, self.fragments), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+        within = told.where(F.least(F.get("s_a", F.lit(0)), F.get("s_b", F.lit(0))) + rest >= need)
+        first = within.join(self._counted(within, self.rarest), ["a", "b"], "left").select("a", "b", need.alias("need"), rest.alias("rest"), F.coalesce("overlap", F.lit(0)).alias("first"))
+        open_ = self.scratch.save(first.where("first + rest >= need"), f"{name}-open")
+        nodes = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
+        others = self.of(nodes, list(range(1, self.fragments)), f"{name}-segments")
+        sums = open_.join(self._counted(open_, others), ["a", "b"], "left")
+        return self.scratch.save(sums.where(F.col("first") + F.coalesce("overlap", F.lit(0)) >= F.col("need")).select("a", "b"), name)
 
 
 def _near(n: Column, m: Column, percent: int) -> Column:
@@ -157,7 +234,7 @@ def _near(n: Column, m: Column, percent: int) -> Column:
 def _split(hot: DataFrame, rarest: DataFrame, level: int) -> DataFrame:
     """Rows of hot buckets dealt anew by a further n-gram of each node. Two sets above the threshold share one n-gram more
     in prefixes longer by one."""
-    more = hot.join(rarest, "node").select("value", "node", "n", "shows", "index", "probe", F.posexplode("rarest").alias("at", "gram"))
+    more = hot.join(rarest.select("node", "index", "probe", "rarest"), "node").select("value", "node", "n", "shows", "index", "probe", F.posexplode("rarest").alias("at", "gram"))
     more = more.where((F.col("at") < F.col("probe") + level) & (F.col("gram") != F.col("value")))
     shows = F.col("shows") & (F.col("at") < F.col("index") + level)
     return more.select(F.xxhash64("value", "gram").alias("value"), "node", "n", shows.alias("shows")).distinct()
@@ -169,7 +246,7 @@ def _open(live: DataFrame) -> DataFrame:
     return ends.where(F.col("s") & (F.col("x") != F.col("y"))).select("value", "size")
 
 
-def set_links(rows: DataFrame, rarest: DataFrame, segments: DataFrame, sizes: DataFrame, *, percent: int = PERCENT, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def set_links(rows: DataFrame, rarest: DataFrame, segments: Segments, *, percent: int = PERCENT, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(a, b): links that connect all nodes whose sets reach the threshold.
 
     rows: (value, node, n, shows), the buckets of first n-grams. Of a bucket's nodes some centres are compared with all others; then they
@@ -201,7 +278,7 @@ def set_links(rows: DataFrame, rarest: DataFrame, segments: DataFrame, sizes: Da
         met = live.join(heads, "value").where((F.col("root") != F.col("c.root")) & (F.col("node") != F.col("c.node")))
         met = met.where(_near(F.col("n"), F.col("c.n"), percent) & (F.col("shows") | (F.col("n") >= F.col("c.n"))))
         pairs = scratch.save(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), f"pairs{i}")
-        links = links.union(scratch.save(overlapping(pairs, segments, sizes, percent), f"links{i}"))
+        links = links.union(segments.overlapping(pairs, f"links{i}"))
         live = live.join(heads.select("value", F.col("c.node").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n", "shows")
         centres *= MORE_CENTRES
     raise RuntimeError("buckets did not settle")
@@ -220,22 +297,21 @@ def jaccard_components(
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     order = spark.sparkContext.broadcast(Order.of(docs, text, words, fragments))
-    sets = scratch.save(signed(docs, order, text=text, doc_id=doc_id, words=words, percent=percent), "sets")
+    sets = scratch.save(signed(docs, order, text=text, doc_id=doc_id, words=words, percent=percent, fragments=fragments), "sets")
     some = sets.where("n > 0")
-    nodes = some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    nodes = some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.count(F.lit(1)).alias("rows"))
     nodes = scratch.save(nodes, "nodes")
     rarest = some.select(F.col("uid").alias("node"), "n", "index", "probe", "rarest").join(nodes.select("node"), "node", "left_semi")
-    rarest = scratch.save(rarest, "rarest")
     grams = rarest.select("node", "n", "index", "probe", F.posexplode("rarest").alias("at", "value")).where("at < probe")
     rows = grams.select("value", "node", "n", (F.col("at") < F.col("index")).alias("shows"))
     shared = rows.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.bool_or("shows").alias("s")).where("k > 1 and s")
     shared = scratch.save(shared.select("value"), "shared")
     may = Bloom.of(shared.select(F.xxhash64("value").alias("h"))).may_hold(docs, F.xxhash64("value"))
     rows = scratch.save(rows.where(may), "rows")
-    wanted = scratch.save(rows.select("node").distinct(), "wanted")
-    texts = sets.select(F.col("uid").alias("node"), "text").join(wanted, "node", "left_semi")
-    segments = scratch.save(texts.mapInArrow(_segments(order, words), "node long, fragment int, part binary"), "segments")
-    links = set_links(rows, rarest, segments, nodes.select("node", "n"), percent=percent, max_bucket=max_bucket)
+    segments = Segments(scratch, some, nodes, order, words, fragments, percent)
+    segments.rarest = segments.of(rows.select("node").distinct(), [0], "segments")
+    links = set_links(rows, rarest, segments, percent=percent, max_bucket=max_bucket)
+    order.destroy()  # all that needs it is written
     roots = scratch.save(connected_components(links, a="a", b="b"), "roots")
     rooted = nodes.select("key", "node", "rep").join(roots, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root"))
     rooted = scratch.save(rooted, "rooted")

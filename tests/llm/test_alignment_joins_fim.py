@@ -110,6 +110,7 @@ def test_joined_components_equal_all_pairs(spark, max_bucket):
     template = rng.choices(words, k=80)
     some += [" ".join(template + rng.choices(words, k=9)) for _ in range(40)]
     some += [" ".join(template[:70] + rng.choices(words, k=20)) for _ in range(20)] + some[:10]
+    some += [" ".join(rng.choices(words[:3], k=rng.randint(20, 40))) for _ in range(60)]  # few n-grams, so that buckets hold many texts that don't link
     some += [None, "", " \n", "one", "One", "two words", "a b c", "a b c d", "A  B\tC d", "one " * 3000, "É é", " ".join(rng.choices(words, k=20_000))]
     rows = list(enumerate(some, 10)) + [(10, some[0]), (None, some[0]), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in CLASH])
