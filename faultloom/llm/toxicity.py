@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Folding lower-cases, maps look-alike letters to Latin ones and digits that stand for letters back to
-them. The lexicon (words and word beginnings of up to LONGEST letters) and its weights come from counts over
-all labelled rows; contexts in which a term is harmless become exception phrases. A text's score is a logistic
+them; a 1 may be an i or an l, whichever a term of the lexicon has. The lexicon (words of any length and word beginnings
+of up to LONGEST letters) and its weights come from counts over all labelled rows; contexts in which a term is harmless become exception phrases. A text's score is a logistic
 function of its hits' weight in relation to its length, fitted on a bounded sample of those rows.
 """
 
@@ -26,12 +26,17 @@ from .common import Scratch, crc_fold
 
 #: The bound on labelled rows that the logistic function is fitted on.
 SAMPLE_ROWS = 10_000
-#: A term is in so many toxic rows and in this share of them, and this much likelier there. The share bounds the
-#: lexicon: a row has some hundred terms, so fewer than a million can be in one of 2000 rows.
-MIN_DOCS, MIN_SHARE, MIN_ODDS = 4, 0.0005, 6.0
-SHORTEST, LONGEST = 3, 10
-#: How many times the log of the number of terms a term's likelihood ratio must be.
+#: A term is in so many toxic rows at least, and this much likelier there.
+MIN_DOCS, MIN_ODDS = 4, 6.0
+#: A phrase is in so many harmless rows at least.
+MIN_SPARED = 3
+SHORTEST, LONGEST = 3, 32
+#: How many times the log of the number of terms (or phrases) a term's likelihood ratio (a phrase's surprise) must be.
 CHANCE = 2.0
+#: A longer term says at least so many times more than every beginning of it that passes.
+CLEARLY = 1.5
+#: The model's size: terms of the highest likelihood ratio, and phrases of the most surprise. Driver and tasks hold that many.
+MOST_TERMS, MOST_PHRASES = 200_000, 200_000
 #: Terms that a task counts before it sends them on.
 HELD_TERMS = 300_000
 
@@ -43,14 +48,17 @@ LOOK_ALIKE = {
     "υ": "u", "χ": "x", "ω": "w", "ɑ": "a", "ɡ": "g", "ı": "i",
 }
 DIGIT_LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: An i or an l in folded text; folding leaves no other of these.
+EITHER = "ı"
 _TABLE = str.maketrans(LOOK_ALIKE)
-_DIGITS = str.maketrans(DIGIT_LETTERS)
-_STANDS_IN = re.compile(r"[013457@$!]+(?=[^\W\d_])")
+_DIGITS = str.maketrans(DIGIT_LETTERS | {"1": EITHER, "!": EITHER})
+#: Runs before a letter, and those after one, but for exclamation marks at a word's end. A run is looked at once.
+_STANDS_IN = re.compile(r"(?<![013457@$!])[013457@$!]++(?=[^\W\d_])|(?<=[^\W\d_])[013457@$]++")
 _SIGNS = re.compile(r"[\W_]+")
 
 
 def fold(text: str | None) -> str:
-    """Folded words, each between single spaces; digits count as letters only before a letter."""
+    """Folded words, each between single spaces; digits count as letters only beside a letter."""
     t = text or ""
     if not t.isascii():
         if not unicodedata.is_normalized("NFKC", t):
@@ -67,13 +75,35 @@ def fold(text: str | None) -> str:
 def terms(folded: str) -> set[str]:
     """Candidate terms: each word (as " word ") and its beginnings (as " wor")."""
     out = set()
-    for w in set(folded.split()):
+    for w in set(folded.replace(EITHER, "i").split()):
         if len(w) >= SHORTEST:
             out.add(f" {w} ")
             out.update(f" {w[:k]}" for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
     return out
 
 
+def plain(folded: str, automaton: ahocorasick.Automaton) -> str:
+    """Folded text in which every i or l is the letter of the longest term that the word begins with, or i."""
+
+    def settled(word: str) -> str:
+        if EITHER not in word:
+            return word
+        alive, best = [" "], ""
+        for c in f"{word} ":
+            alive = [p for a in alive for x in (c if c != EITHER else "il") if automaton.match(p := a + x)]
+            best = next((p for p in alive if p in automaton), best)
+            if not alive:
+                break
+        known = best.strip()
+        return known + word[len(known) :].replace(EITHER, "i")
+
+    if EITHER not in folded:
+        return folded
+    if not len(automaton):
+        return folded.replace(EITHER, "i")
+    return f" {' '.join(map(settled, folded.split()))} "
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -95,6 +125,7 @@ class ToxicityModel:
         """(weight of hits for each word of the text, weight of hits for a square root of them)."""
         if not folded or not len(automaton):
             return 0.0, 0.0
+        folded = plain(folded, automaton)
         hits: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for end, (n, w) in automaton.iter(folded):
@@ -164,9 +195,9 @@ def _summed(counted: DataFrame) -> DataFrame:
 def train(rows: DataFrame, *, sample: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
     """rows: text and toxic (0 or 1; others teach nothing); ``exceptions`` are added to those learned.
 
-    Terms and phrases are counted over all rows in Spark; only those that pass the thresholds reach the driver.
-    A term must say more than chance would of any of so many terms (a likelihood ratio of twice the log of
-    their number). About ``sample`` rows, chosen by hash, fit the logistic function.
+    Terms and phrases are counted, tested and pruned over all rows in Spark; at most MOST_TERMS and MOST_PHRASES reach the
+    driver, ties by the term itself. A term must say more than chance would of any of so many terms (a likelihood ratio
+    of twice the log of their number), whatever its share of the rows. About ``sample`` rows, chosen by hash, fit the logistic function.
     """
     scratch = Scratch(rows.sparkSession, "toxicity")
 
@@ -183,23 +214,26 @@ def train(rows: DataFrame, *, sample: int = SAMPLE_ROWS, exceptions: tuple[str,
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel({}, [fold(x) for x in exceptions], bias=8.0 if n1 else -8.0)
-    counted = _summed(rows.mapInArrow(count, COUNTED)).where(F.col("a") >= max(MIN_DOCS, MIN_SHARE * n1))
+    counted = _summed(rows.mapInArrow(count, COUNTED)).where(F.col("a") >= MIN_DOCS)
     counted = scratch.save(counted, "terms")
     a, b = F.col("a"), F.col("b")
     odds = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
     expected = (a + b) * (n1 / (n1 + n0))
     ratio = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / (a + b - expected))).otherwise(0.0))
-    best = counted.withColumn("odds", odds).where((F.col("odds") >= MIN_ODDS) & (ratio >= CHANCE * math.log(max(2, counted.count()))))
-    by_term = {r["term"]: r for r in best.collect()}
-    weights: dict[str, float] = {}
-    for term in sorted(by_term, key=lambda t: (len(t.rstrip()), t)):
-        r = by_term[term]
-        shorter = [t for k in range(SHORTEST + 1, len(term)) if (t := term[:k].rstrip()) in weights and t != term]
-        # A longer term stays only if it says clearly more than the beginnings already taken.
-        if not shorter or r["odds"] > 1.5 * max(by_term[t]["odds"] for t in shorter):
-            weights[term] = math.log(r["odds"])
+    passing = counted.select("term", odds.alias("odds"), ratio.alias("ratio"))
+    passing = passing.where((F.col("odds") >= MIN_ODDS) & (F.col("ratio") >= CHANCE * math.log(max(2, counted.count()))))
+    passing = scratch.save(passing, "passing")
+    # A word's own beginning of the same letters counts as shorter than the word.
+    reach = F.least(F.length(F.rtrim("term")) - F.when(F.col("term").endswith(" "), 0).otherwise(1), F.lit(LONGEST + 1))
+    lengths = F.when(reach > SHORTEST, F.sequence(F.lit(SHORTEST + 1), reach)).otherwise(F.array().cast("array<int>"))
+    shorter = passing.select("term", F.explode(F.transform(lengths, lambda k: F.substring("term", F.lit(1), k))).alias("begins"))
+    shorter = shorter.join(passing.select(F.col("term").alias("begins"), F.col("odds").alias("most")), "begins")
+    best = passing.join(shorter.groupBy("term").agg(F.max("most").alias("most")), "term", "left")
+    best = best.where(F.col("most").isNull() | (F.col("odds") > CLEARLY * F.col("most")))
+    best = best.orderBy(F.desc("ratio"), "term").limit(MOST_TERMS)
+    weights = {r["term"]: math.log(r["odds"]) for r in best.orderBy("term").collect()}
     model = ToxicityModel(weights, [fold(x) for x in exceptions])
-    model.exceptions += _learn_exceptions(rows, model, max(3, MIN_SHARE * n0))
+    model.exceptions += _learn_exceptions(rows, model, n1 / n0)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
@@ -218,11 +252,13 @@ def train(rows: DataFrame, *, sample: int = SAMPLE_ROWS, exceptions: tuple[str,
     return model
 
 
-def _learn_exceptions(rows: DataFrame, model: ToxicityModel, least: float) -> list[str]:
-    """Two-word phrases around a hit that only harmless texts have, and enough of them. rows: folded texts."""
+def _learn_exceptions(rows: DataFrame, model: ToxicityModel, ratio: float) -> list[str]:
+    """Two-word phrases around a hit that only harmless texts have, and more of them than the hit's own share of toxic
+    rows would leave by chance. rows: folded texts; ratio: toxic to other rows."""
 
     def found(text: str, automaton: ahocorasick.Automaton) -> set[str]:
         out = set()
+        text = plain(text, automaton)
         for end, (n, w) in automaton.iter(text) if text else ():
             if w is None:
                 continue
@@ -242,8 +278,18 @@ def _learn_exceptions(rows: DataFrame, model: ToxicityModel, least: float) -> li
 
     if not model.weights:
         return []
-    kept = _summed(rows.mapInArrow(phrases, COUNTED)).where((F.col("a") == 0) & (F.col("b") >= least))
-    return sorted(r["term"] for r in kept.select("term").collect())
+    @F.pandas_udf("double")
+    def surprise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """Of one harmless row: minus the log of the share of harmless rows among those with the hit."""
+        automaton = model.automaton()
+        for found_ in batches:
+            most = [max((w for _, (_, w) in automaton.iter(t) if w is not None), default=0.0) for t in found_]
+            yield pd.Series(np.log1p(np.exp(most) * ratio), dtype=float)
+
+    counted = Scratch(rows.sparkSession, "toxicity-phrases").save(_summed(rows.mapInArrow(phrases, COUNTED)), "phrases")
+    kept = counted.where((F.col("a") == 0) & (F.col("b") >= MIN_SPARED)).select("term", (F.col("b") * surprise("term")).alias("surprise"))
+    kept = kept.where(F.col("surprise") >= CHANCE * math.log(max(2, counted.count())))
+    return sorted(r["term"] for r in kept.orderBy(F.desc("surprise"), "term").limit(MOST_PHRASES).collect())
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text") -> DataFrame:

@@ -247,3 +247,53 @@ def test_languages_of_odd_rows(spark):
     assert len(got) == len(rows) and by[500] == by[501] == by[502] == ("und", 0.0) and by[503][0] == "de" and by[-1][0] == "en"
     none = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["doc_id"] for r in langid.accepted(none).collect()} == {r[0] for r in rows if r[1] and re.search("[a-z]", r[1])}
+
+
+def test_digits_stand_for_letters_on_either_side():
+    e = toxicity.EITHER
+    cases = {"h3ll0": "hello", "worthle55": "worthless", "worthle$$!!": "worthless", "in 1984 for 100$": "in 1984 for 100", "a92": "a92", "!!! 0": "0", "x_7": "x 7"}
+    assert {t: toxicity.fold(t).strip() for t in cases} == cases
+    assert toxicity.fold("worth1e$$ id1ot f00l!you") == f" worth{e}ess id{e}ot fool{e}you "
+    assert toxicity.fold("7" * 300_000 + " a" + "0" * 300_000).count("o") == 300_000
+
+
+def test_one_is_the_letter_that_the_lexicon_has():
+    rng = random.Random(5)
+    word = lambda letters, n: "".join(rng.choices(letters, k=rng.randint(1, n)))
+    for _ in range(200):
+        lexicon = {rng.choice([f" {w} ", f" {w}"]): 1.0 for w in {word("ila", 5) for _ in range(5)}}
+        text = word("1la", 6) + "a"
+        variants = [""]
+        for c in text:
+            variants = [v + x for v in variants for x in (c if c != "1" else "il")]
+        longest = max((len(t) for v in variants for t in lexicon if f" {v} ".startswith(t)), default=0)
+        got = toxicity.plain(toxicity.fold(text), toxicity.ToxicityModel(lexicon, []).automaton())
+        assert got.strip() in variants
+        assert max((len(t) for t in lexicon if got.startswith(t)), default=0) == longest
+    assert toxicity.plain(toxicity.fold("b1b1b"), toxicity.ToxicityModel({}, []).automaton()) == " bibib "
+
+
+def test_lexicon_equals_a_loop_over_terms(spark):
+    """Rare terms enter however many rows there are; a longer term stays only if it says clearly more; ties in any order."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(3, 6))) for _ in range(150)]
+    rows = [(" ".join(rng.choices(words, k=12) + (["zorgle"] if i % 50 == 0 else ["fool", "foolish"][: 1 + i % 2] if i % 2 else [])), 1) for i in range(1000)]
+    rows += [(" ".join([*rng.choices(words, k=12), *(["folk"] if i % 3 == 0 else ["zorgle sings"] if i % 40 == 1 else [])]), 0) for i in range(1000)] + [(None, 1), ("", 0)]
+    model = toxicity.train(spark.createDataFrame(rows, "text string, toxic int"))
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    count: dict[str, list[int]] = {}
+    for t, y in rows:
+        for term in toxicity.terms(toxicity.fold(t)):
+            count.setdefault(term, [0, 0])[1 - y] += 1
+    count = {t: c for t, c in count.items() if c[0] >= toxicity.MIN_DOCS}
+    odds, passing = {}, []
+    for t, (a, b) in count.items():
+        odds[t] = (a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
+        mean = (a + b) * n1 / (n1 + n0)
+        ratio = 2 * (a * math.log(a / mean) + (b * math.log(b / (a + b - mean)) if b else 0))
+        if odds[t] >= toxicity.MIN_ODDS and ratio >= toxicity.CHANCE * math.log(len(count)):
+            passing.append(t)
+    begins = lambda t, s: s != t and t.startswith(s) and not s.endswith(" ") and len(s) > toxicity.SHORTEST
+    wanted = {t: math.log(odds[t]) for t in passing if all(odds[t] > toxicity.CLEARLY * odds[s] for s in passing if begins(t, s))}
+    assert " foo" in wanted and set(model.weights) == set(wanted)
+    assert all(abs(model.weights[t] - w) < 1e-9 for t, w in wanted.items())
