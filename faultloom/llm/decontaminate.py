@@ -3,8 +3,9 @@
 A test item of m characters may be found with up to k = rate * m edits. It is cut into k + 1 pieces, one of
 which any such occurrence holds unchanged; an Aho-Corasick automaton finds all exact piece hits in one
 pass. A hit is verified from the bottom up: joined with its neighbours into ever larger parts of p pieces,
-each of which must be within p - 1 edits (Myers' bit-parallel distance), up to the whole item. Items too short
-to prove anything inside a sentence must be a whole line.
+each of which must be within p - 1 edits (Myers' bit-parallel distance), up to the whole item. Short items are found
+the same way, but must begin and end at word edges; those of a word or two prove nothing inside a sentence and must
+be a whole line.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from .bloom import without
 from .common import Scratch, union_all
 
 EDIT_RATE = 0.1
-#: Shorter items (in normalised characters) only match a whole line: "no" is in every text.
+#: Shorter items (in normalised characters) begin and end at word edges.
 MIN_CHARS = 20
+#: Short items of fewer words only match a whole line: "no" is in every text.
+MIN_WORDS = 3
 #: Characters of test items that one automaton holds; more items are matched in blocks.
 BLOCK_CHARS = 2_000_000
 #: A piece of more items than this is looked up together with what must stand beside it.
@@ -77,11 +80,22 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
+def apart(a: str, b: str) -> int:
+    """The edit distance of two short texts."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
 class Matcher:
     """All test items of a block, and the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int, min_words: int = MIN_WORDS) -> None:
         self.items: list[tuple[int, str, list[tuple[int, int]]]] = []
+        self.short: set[int] = set()
         self.lines: dict[str, list[int]] = {}
         self._grams: dict[int, set[str]] = {}
         where: dict[str, list[tuple[int, int]]] = {}
@@ -89,12 +103,15 @@ class Matcher:
             t = normalise(text)
             if not t:
                 continue
-            if len(t) < min_chars:
+            short = len(t) < min_chars
+            if short and t.count(" ") + 1 < min_words:
                 self.lines.setdefault(t, []).append(item_id)
                 continue
             spans = cut(len(t), int(rate * len(t)) + 1)
             for j, (a, b) in enumerate(spans):
                 where.setdefault(t[a:b], []).append((len(self.items), j))
+            if short:
+                self.short.add(len(self.items))
             self.items.append((item_id, t, spans))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -167,6 +184,20 @@ class Matcher:
                 found = (got[0], begin, begin + got[1])
         return found
 
+    def _at_edges(self, item: int, piece: int, at: int, text: str) -> tuple[int, int, int] | None:
+        """(distance, start, end) of a short item's best occurrence of whole words around a piece that begins at ``at``."""
+        _, t, spans = self.items[item]
+        k, diagonal = len(spans) - 1, at - spans[piece][0]
+        begins = [i for i in range(max(0, diagonal - k), diagonal + k + 1) if i == 0 or text[i - 1 : i] == " "]
+        best = None
+        for i in begins:
+            for j in range(max(i + 1, i + len(t) - k), min(len(text), i + len(t) + k) + 1):
+                if j == len(text) or text[j] == " ":
+                    found = (apart(t, text[i:j]), i, j)
+                    if found[0] <= k and (best is None or found < best):
+                        best = found
+        return best
+
     @staticmethod
     def _one_off(t: str, spans: list[tuple[int, int]], lo: int, piece: int, at: int, text: str) -> bool:
         """Whether a piece's neighbour can be there with one edit at most in both: half of it is then
@@ -227,7 +258,8 @@ class Matcher:
                     continue
                 if shared and not self._plausible(item, diagonal, t, seen):
                     continue
-                if (found := self._verify(item, piece, at, t)) is not None:
+                verify = self._at_edges if item in self.short else self._verify
+                if (found := verify(item, piece, at, t)) is not None:
                     tried[item].add(diagonal)
                     if item not in best or found < best[item]:
                         best[item] = found
@@ -236,12 +268,13 @@ class Matcher:
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text",
-    rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+    rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the test items that occur in each document.
 
     Distances and places refer to normalised text (lower-case words with single spaces). An item of fewer than
-    ``min_chars`` normalised characters only matches a whole line. Null and empty texts and items match
+    ``min_chars`` normalised characters must begin and end at word edges, with its own budget of edits; if it also has
+    fewer than ``min_words`` words, it only matches a whole line. Null and empty texts and items match
     nothing; items without a letter or digit neither. Items of equal text are all reported; of equally near
     occurrences of one item the first is. Repeated rows and null ids are reported row by row; texts are searched
     whole. docs' other columns aren't carried, so none can clash.
@@ -259,7 +292,7 @@ def leaks(
         shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in mine.collect()])  # about block_chars characters
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate, min_chars)
+            matcher = Matcher(shared.value, rate, min_chars, min_words)
             for batch in batches:
                 rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in matcher.matches(t.as_py())]
                 if rows:
