@@ -3,7 +3,7 @@
 A configuration is a multiset of lengths that fits a sequence. The covering program (fewest sequences
 whose configurations cover every length's count) is solved by multiplicative weights: each round prices
 lengths by their weight, finds the most valuable configuration by knapsack dynamic programming, and lowers
-the weights of what it covers. The fractional solution is rounded down to whole sequences with exact
+the weights of what the configurations found so far cover, until their number is near its own dual bound. The fractional solution is rounded down to whole sequences with exact
 lengths, best fit closing each one; the rest is packed by best fit on the histogram. All of this works on
 counts of lengths, never on documents; documents find their places by their rank among equal lengths.
 """
@@ -25,7 +25,8 @@ from .tokens import default_tokenizer, word_ids
 
 CAPACITY = 4096
 END_ID = 1
-CLASSES, ROUNDS, STEP = 96, 300, 0.25
+#: Rounds end when the fractional number is within GAP of its dual bound; each has TURNS of weights over the configurations found.
+CLASSES, ROUNDS, TURNS, STEP, GAP = 96, 2000, 200, 0.4, 1.01
 UNITS = 1024
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -82,30 +83,56 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[di
 
 
 def solve_configurations(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, turns: int = TURNS, step: float = STEP, gap: float = GAP
 ) -> tuple[list[tuple[dict[int, int], float]], float]:
-    """(configurations with their fractional numbers, a lower bound on any packing).
+    """(configurations with their fractional numbers, a lower bound on any fractional cover).
 
-    Covering by multiplicative weights: item j has weight exp(-step * cover_j) / count_j, where cover_j is
-    the covered fraction of its count in passes so far; a round adds as many of the best configuration
-    as cover one item once. The numbers are scaled so that every item is covered exactly once at least.
+    The covering program as a game: one side weighs items, the other shares sequences out to configurations, and
+    what a configuration covers of the weighted items is the payoff. A round finds the best configuration of all for
+    the weights by knapsack, which also gives a bound by duality; then both sides update multiplicatively
+    over the configurations found so far, each foreseeing the other's last change, and the means of their turns
+    stand. It ends once the cover is within ``gap`` of the bound. Numbers cover every item once at least.
     """
     counts = counts.astype(float)
-    cover = np.zeros(len(lengths))
-    picked: dict[tuple[tuple[int, int], ...], float] = {}
-    bound = float((lengths * counts).sum() / capacity)
+    unit = bound = float((lengths * counts).sum() / capacity)
+    # One column for each item alone makes every item covered from the start.
+    found = [{i: int(max(1, min(capacity // n, c)))} for i, (n, c) in enumerate(zip(lengths, counts, strict=True))]
+    known = {tuple(f.items()) for f in found}
+    covers = np.diag([unit * f[i] / counts[i] for i, f in enumerate(found)])
+    weight, shares = np.full(len(lengths), 1 / len(lengths)), np.full(len(found), 1 / len(found))
+    best, number = shares, np.inf
     for _ in range(rounds):
-        weight = np.exp(-step * (cover - cover.min())) / counts
-        taken, value = knapsack(lengths, weight, capacity)
-        bound = max(bound, float((weight * counts).sum()) / value)
-        amount = min(counts[i] / k for i, k in taken.items())
+        taken, value = knapsack(lengths, weight / counts, capacity)
+        bound = max(bound, float(weight.sum()) / value)
+        if number <= gap * bound:
+            break
         key = tuple(sorted(taken.items()))
-        picked[key] = picked.get(key, 0.0) + amount
-        for i, k in taken.items():
-            cover[i] += amount * k / counts[i]
+        if key not in known:
+            known.add(key)
+            found.append(dict(key))
+            column = np.zeros(len(lengths))
+            for i, k in key:
+                column[i] = unit * k / counts[i]
+            covers, shares = np.column_stack([covers, column]), np.append(shares, shares.max())
+        shares = 0.9 * shares / shares.sum() + 0.1 / len(shares)
+        log_weight, log_shares = np.log(weight), np.log(shares)
+        covered, paid = covers @ shares, covers.T @ weight
+        weights, parts = np.zeros_like(weight), np.zeros_like(shares)
+        for _ in range(turns):
+            covered_before, paid_before = covered, paid
+            covered, paid = covers @ shares, covers.T @ weight
+            log_weight -= step * (2 * covered - covered_before)
+            log_shares += step * (2 * paid - paid_before)
+            log_weight -= log_weight.max()
+            log_shares -= log_shares.max()
+            weight, shares = np.exp(log_weight), np.exp(log_shares)
+            weight, shares = weight / weight.sum(), shares / shares.sum()
+            weights, parts = weights + weight, parts + shares
+        weight, shares = np.maximum(weights / turns, 1e-12), parts / turns
+        if (now := unit / float((covers @ shares).min())) < number:
+            number, best = now, shares
     # Surplus is no harm: rounding takes whole configurations only while items last.
-    scale = max(cover.min(), 1.0) if cover.min() > 0 else float(np.median(cover[cover > 0]))
-    return [(dict(k), x / scale) for k, x in picked.items()], bound
+    return [(f, float(x) * number) for f, x in zip(found, best, strict=False) if x > 0], bound
 
 
 @dataclass
@@ -118,10 +145,20 @@ class Plan:
 
 
 def _classes(lengths: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
-    """Neighbouring lengths in at most n groups of about equal mass of tokens."""
-    mass = np.cumsum(lengths * counts)
-    group = np.minimum((mass * n / max(mass[-1], 1) - 1e-9).astype(int), n - 1)
-    return [np.flatnonzero(group == g) for g in np.unique(group)]
+    """Neighbouring lengths in at most n groups, none of less than half an equal share of the tokens: the
+    weights of the program settle slowly if one item's mass is far below the others'."""
+    mass = lengths * counts.astype(float)
+    least = mass.sum() / (2 * n)
+    ends, held = [], 0.0
+    for i, x in enumerate(mass):
+        held += x
+        if held >= 2 * least or (held >= least and i + 1 < len(mass) and held + mass[i + 1] > 3 * least):
+            ends.append(i + 1)
+            held = 0.0
+    if not ends or held >= least:
+        ends.append(len(mass))
+    ends[-1] = len(mass)  # a small rest joins the last group
+    return np.split(np.arange(len(mass)), ends[:-1])
 
 
 def least_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: int = 20) -> float:

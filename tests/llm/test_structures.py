@@ -239,3 +239,28 @@ def test_spans_are_swept_in_linear_time():
         return time.process_time() - t
 
     assert seconds(40_000) < 40 * max(seconds(4000), 1e-3)
+
+
+def test_configuration_program_reaches_its_dual_bound():
+    """Every class of a histogram is covered, and the number is within 2 % of a bound that holds for any cover, whatever the counts."""
+    from faultloom.llm import packing
+
+    rng = np.random.default_rng(4)
+    cases = [(np.array([60]), np.array([7]), 100), (np.array([51, 60, 99]), np.array([10, 1, 1_000_000]), 100)]
+    for k in range(24):
+        capacity = int(rng.integers(20, 300))
+        lengths = np.sort(rng.choice(np.arange(1, capacity), min(int(rng.integers(1, 40)), capacity - 1), replace=False))
+        cases.append((lengths, (10 ** rng.uniform(0, 1 + k % 6, len(lengths))).astype(int), capacity))
+    for lengths, counts, capacity in cases:
+        groups = packing._classes(lengths, counts, 40)
+        mass = np.array([(lengths[g] * counts[g]).sum() for g in groups])
+        assert np.concatenate(groups).tolist() == list(range(len(lengths))) and len(groups) <= 80 and mass.min() >= mass.sum() / 80 * (1 - 1e-9)
+        lengths, counts = np.array([int(np.average(lengths[g], weights=counts[g])) for g in groups]), np.array([counts[g].sum() for g in groups])
+        solved, bound = packing.solve_configurations(lengths, counts, capacity)
+        cover = np.zeros(len(lengths))
+        for taken, x in solved:
+            assert sum(lengths[i] * n for i, n in taken.items()) <= capacity
+            for i, n in taken.items():
+                cover[i] += n * x / counts[i]
+        assert cover.min() > 1 - 1e-9 and sum(x for _, x in solved) <= 1.02 * bound
+    assert packing.solve_configurations(np.array([60]), np.array([7]), 100)[1] == 7
