@@ -42,7 +42,9 @@ OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 4096, 2.0
 #: How much larger the steps of embeddings and of within-class weights are than those of dense parameters.
 SPARSE = 20.0
-SLICE = 1 << 15
+SLICE = 1 << 13
+#: Logits of less than this can't overflow; the least share of a class or token that a log is taken of.
+SAFE, LEAST = 80.0, np.float32(1e-37)
 FAN_IN = 32
 SEED = 42
 #: Words that a task counts before it sends them on.
@@ -109,68 +111,77 @@ class WindowNetwork:
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
     def hidden(self, window: np.ndarray) -> np.ndarray:
-        z = self.p["hidden_bias"] + self.p["embed"][0][window[:, 0]]
+        z = np.take(self.p["embed"][0], window[:, 0], axis=0)
         for k in range(1, len(OFFSETS)):
-            z += self.p["embed"][k][window[:, k]]
+            z += np.take(self.p["embed"][k], window[:, k], axis=0)
+        z += self.p["hidden_bias"]
         return np.tanh(z, out=z)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    def _exponentials(z: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """exp of logits, in place; lowered by each row's largest first, unless no logit of these weights can overflow."""
+        if not float((np.abs(w).sum(axis=0) + np.abs(b)).max()) < SAFE:
+            z -= z.max(axis=1, keepdims=True)
+        return np.exp(z, out=z)
 
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of targets in the order of their classes, and where each class ends."""
+        c = (target // CLASS_SIZE).astype(np.uint8)
+        return np.argsort(c, kind="stable"), np.cumsum(np.bincount(c, minlength=CLASSES))  # 8-bit numbers: a radix sort
 
     def log_probabilities(self, window: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(window)
+        order, ends = self._by_class(target)
+        h, target = self.hidden(np.take(window.T, order, axis=1).T), target[order]
         c, t = target // CLASS_SIZE, target % CLASS_SIZE
-        rows = np.arange(len(target))
-        out = self._log_softmax(h @ self.p["class_w"] + self.p["class_b"])[rows, c]
-        order = np.argsort(c, kind="stable")
-        ends = np.cumsum(np.bincount(c, minlength=CLASSES))
-        for k in range(CLASSES):
-            at = order[ends[k - 1] if k else 0 : ends[k]]
-            if len(at):
-                inner = self._log_softmax(h[at] @ self.p["token_w"][k] + self.p["token_b"][k])
-                out[at] += inner[np.arange(len(at)), t[at]]
+        ones, rows = np.ones(CLASS_SIZE, np.float32), np.arange(len(target))
+        z = self._exponentials(h @ self.p["class_w"] + self.p["class_b"], self.p["class_w"], self.p["class_b"])
+        share = z[rows, c] / (z @ np.ones(CLASSES, np.float32))
+        inner = np.empty_like(share)
+        for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if hi > lo:
+                w, b = self.p["token_w"][k], self.p["token_b"][k]
+                z = self._exponentials(h[lo:hi] @ w + b, w, b)
+                inner[lo:hi] = z[rows[: hi - lo], t[lo:hi]] / (z @ ones)
+        out = np.empty_like(share)
+        out[order] = np.log(np.maximum(share, LEAST)) + np.log(np.maximum(inner, LEAST))
         return out
 
     def step(self, window: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log-probability."""
         p, n = self.p, len(target)
+        order, ends = self._by_class(target)
+        window, target = np.take(window.T, order, axis=1).T, target[order]
         h = self.hidden(window)
         c, t = target // CLASS_SIZE, target % CLASS_SIZE
-        d = -self._softmax(h @ p["class_w"] + p["class_b"])
-        d[np.arange(n), c] += 1
+        ones, rows = np.ones(n, np.float32), np.arange(n)
+        d = self._exponentials(h @ p["class_w"] + p["class_b"], p["class_w"], p["class_b"])
+        d *= (-1 / (d @ ones[:1].repeat(CLASSES)))[:, None]
+        d[rows, c] += 1
         back = d @ p["class_w"].T
-        class_w, class_b = h.T @ d, d.sum(axis=0)
-        order = np.argsort(c, kind="stable")
-        ends = np.cumsum(np.bincount(c, minlength=CLASSES))
+        class_w, class_b = h.T @ d, ones @ d
         scale = np.float32(rate / n)
-        for k in range(CLASSES):
-            at = order[ends[k - 1] if k else 0 : ends[k]]
-            if len(at):
-                hk = h[at]
-                dk = -self._softmax(hk @ p["token_w"][k] + p["token_b"][k])
-                dk[np.arange(len(at)), t[at]] += 1
-                back[at] += dk @ p["token_w"][k].T
-                p["token_w"][k] += scale * SPARSE / 2 * (hk.T @ dk)
-                p["token_b"][k] += scale * dk.sum(axis=0)
+        wide = ones[:1].repeat(CLASS_SIZE)
+        for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if hi > lo:
+                w, b, hk = p["token_w"][k], p["token_b"][k], h[lo:hi]
+                dk = self._exponentials(hk @ w + b, w, b)
+                dk *= (-1 / (dk @ wide))[:, None]
+                dk[rows[: hi - lo], t[lo:hi]] += 1
+                back[lo:hi] += dk @ w.T
+                w += scale * SPARSE / 2 * (hk.T @ dk)
+                b += scale * (ones[: hi - lo] @ dk)
         p["class_w"] += scale * class_w
         p["class_b"] += scale * class_b
-        back *= (1 - h * h) * scale
-        p["hidden_bias"] += back.sum(axis=0)
+        h *= h
+        np.subtract(scale, np.multiply(h, scale, out=h), out=h)
+        back *= h
+        p["hidden_bias"] += ones @ back
         back *= SPARSE  # a row of an embedding is seen by a small part of a batch
         for k in range(len(OFFSETS)):
             rows = np.argsort(window[:, k], kind="stable")  # 16-bit numbers: a radix sort
             ids = window[rows, k]
             first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
-            p["embed"][k][ids[first]] += np.add.reduceat(back[rows], first, axis=0)
+            p["embed"][k][ids[first]] += np.add.reduceat(np.take(back, rows, axis=0), first, axis=0)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -195,7 +206,8 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([stream[at + o] for o in OFFSETS], axis=1)
+    """(place, offset): ids around each place, held offset by offset."""
+    return np.stack([np.take(stream, at + o) for o in OFFSETS]).T
 
 
 @dataclass
