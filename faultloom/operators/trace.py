@@ -3,7 +3,7 @@
 A trace is a set of changes (trace_id, pos, ts, sig, val), optionally with vid, the declared id behind a
 name. ``pos`` orders changes, also those of one time. Any number of traces runs at once, and a long one is
 scanned in pieces (``scan.segmented_scan``). Held values are run-length: a row for each change, good until ``stop``, the next one
-(null: to the end), never a row for each cycle.
+(null: to the end); only ``hold``, which is asked for it, gives a row for each cycle.
 """
 
 from __future__ import annotations
@@ -144,6 +144,24 @@ def runs(last: DataFrame, *, keys: tuple[str, ...] = ("trace_id", "sig"), width:
     return spans(last.where("val is not null").select(*keys, "cycle", "val"), keys=list(keys), at="cycle", width=width)
 
 
+def hold(last: DataFrame, *, width: int = PIECE_CYCLES) -> DataFrame:
+    """W10, WF1: (trace_id, sig, cycle, val, held) for each signal of a trace and each cycle from 0 to the trace's last; val is null where the signal is silent, held where no value
+    was set yet. A signal without a name holds nothing.
+
+    The runs are laid out, in parts of ``width`` cycles at most, so neither a join with all cycles nor a window over them is needed.
+    """
+    keys = ["trace_id", "sig"]
+    start = last.select(*keys).distinct().withColumn("cycle", F.lit(-1).cast("long")).withColumn("val", F.lit(None).cast(last.schema["val"].dataType))
+    held = spans(start.unionByName(last.where("val is not null and sig is not null").select(*keys, "cycle", "val")), keys=keys, at="cycle", width=width)
+    tops = last.groupBy("trace_id").agg(F.max("cycle").alias("__top"))
+    laid = held.join(tops, "trace_id").withColumn("__from", F.greatest("cycle", F.lit(0))).withColumn("__to", F.coalesce(F.col("stop") - 1, F.col("__top"))).where("__from <= __to")
+    part = F.explode(F.sequence(F.floor(F.col("__from") / width), F.floor(F.col("__to") / width)))
+    laid = laid.withColumn("__part", part)
+    each = F.explode(F.sequence(F.greatest("__from", F.col("__part") * width), F.least("__to", (F.col("__part") + 1) * width - 1)))
+    laid = laid.select(*keys, F.col("cycle").alias("__set"), F.col("val").alias("held"), each.alias("cycle"))
+    return laid.select(*keys, "cycle", F.when(F.col("cycle") == F.col("__set"), F.col("held")).alias("val"), "held")
+
+
 def held_at(last: DataFrame, cycles: DataFrame, *, keys: tuple[str, ...] = ("trace_id", "sig"), width: int = PIECE_CYCLES) -> DataFrame:
     """Cycles (keys, cycle) with ``held``, the last value that isn't null up to there; null before the first."""
     asked = cycles.select(*keys, "cycle", F.lit(None).cast(last.schema["val"].dataType).alias("val"), F.lit(1).alias("__asked"))

@@ -127,8 +127,13 @@ def w9_slim(spark, sf_dir):
     return T.slim(last(spark, sf_dir).select("trace_id", "cycle").distinct(), anchors(spark, sf_dir))
 
 
-@query("SELECT trace_id, sig, cycle, lead(cycle) OVER (PARTITION BY trace_id, sig ORDER BY cycle) AS stop, val FROM lv WHERE val IS NOT NULL")
+@query("SELECT trace_id, sig, cycle, val, last_value(val IGNORE NULLS) OVER (PARTITION BY trace_id, sig ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM grid")
 def w10_hold(spark, sf_dir):
+    return T.hold(last(spark, sf_dir))
+
+
+@query("SELECT trace_id, sig, cycle, lead(cycle) OVER (PARTITION BY trace_id, sig ORDER BY cycle) AS stop, val FROM lv WHERE val IS NOT NULL")
+def w10_runs(spark, sf_dir):
     return T.runs(last(spark, sf_dir))
 
 

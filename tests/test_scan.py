@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from faultloom.functions import stats
 from faultloom.operators import ranges, scan, trace
+from faultloom.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_states_are_carried_over_pieces(spark):
@@ -159,6 +162,24 @@ def test_one_sided_changes_count(spark):
     assert [tuple(r) for r in trace.replay_diff(g, b).collect()] == [(1, "s", 3)]
 
 
+def test_each_cycle_has_a_held_value(spark):
+    rng = random.Random(4)
+    rows = [(t, c, s, rng.choice([None, 1, 2])) for t in range(6) for s in ("a", "b", None) for c in range(rng.randint(1, 40)) if rng.random() < 0.2]
+    known, tops = {r[:3]: r[3] for r in rows if r[2]}, {t: max(r[1] for r in rows if r[0] == t) for t in {r[0] for r in rows}}
+    want = []
+    for t, s in {(r[0], r[2]) for r in rows}:
+        held = None
+        for c in range(tops[t] + 1):
+            val = known.get((t, c, s))
+            held = held if val is None else val
+            want.append((t, s, c, val, held))
+    for width in (5, 1 << 16):
+        got = trace.hold(spark.createDataFrame(rows, "trace_id int, cycle long, sig string, val int"), width=width)
+        assert got.columns == ["trace_id", "sig", "cycle", "val", "held"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert registry.QUERIES["w10_hold"](spark, SF).columns == got.columns  # all cycles, not only those in which a value is set
+
+
 def test_handshakes_of_sparse_rows_equal_dense_ones(spark):
     rng = random.Random(8)
     rows = [(t, c, rng.choice([None, 0, 1]), rng.choice([None, 0, 1])) for t in range(30) for c in range(25) if rng.random() < 0.25]
