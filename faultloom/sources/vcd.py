@@ -6,13 +6,17 @@ positions are needed in order, the running time is a window over each trace.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scan as S
+
 VAR = r"^\s*\$var\s+\S+\s+(\d+)\s+(\S+)\s+(\S+)"
 TIME = r"^#(\d+)"
 VECTOR = r"^b([01xzXZ]+)\s+(\S+)"
 SCALAR = r"^([01xzXZ])(\S+)$"
+#: The line that begins a dump in a file of several.
+HEAD = r"^\$comment trace (\S*) \$end$"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -26,6 +30,20 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select("trace_id", pos.alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
+def head(trace: Column) -> Column:
+    """The line that begins the dump of a trace in a file of several; traces are named without white space."""
+    return F.concat(F.lit("$comment trace "), trace.cast("string"), F.lit(" $end"))
+
+
+def dumps_of(lines: DataFrame) -> DataFrame:
+    """lines of files that hold many dumps one after another, as lines of these: ``trace_id`` becomes the name in the last ``head`` line above, in an earlier split of the
+    file too. Lines above a file's first keep the file as theirs. So small traces need no file each.
+    """
+    mark = F.when(F.col("line").rlike(HEAD), F.regexp_extract("line", HEAD, 1))
+    named = S.segmented_scan(lines, ["trace_id"], ["pos"], F.col("pos.block"), {"name": S.last_known(mark)})
+    return named.select(F.coalesce("name", "trace_id").alias("trace_id"), "pos", "line")
+
+
 def signals(lines: DataFrame) -> DataFrame:
     """SC1, D1: (trace_id, vid, name, width, decl_pos) of each declaration."""
     out = lines.where(F.trim("line").startswith("$var")).select(

@@ -1,10 +1,13 @@
 """Sources on small files written by hand."""
 
+import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from faultloom.operators import trace
+from faultloom.plans import file_queries
 from faultloom.sources import logs, vcd
 
 DUMP = """$timescale 1ns $end
@@ -112,3 +115,31 @@ def test_log_scalars(spark):
     ).first()
     assert row["depth"] == 20 and row["m"]["name"] == "m" and row["m"]["ports"] == "input a, output b"
     assert row["ids"] == ["s04", "s05", "s06", "s40"] and row["step"] == 11
+
+
+def test_many_dumps_in_a_file(spark, tmp_path):
+    """Files of many dumps, in splits smaller than a dump, against a loop; sc1_dump_files writes no file for each user."""
+    rng, want = random.Random(6), []
+    (tmp_path / "in").mkdir()
+    for f in range(2):
+        text = ""
+        for k in range(8):
+            name, t = f"t{f}{k}", 0
+            text += f"$comment trace {name} $end\n"
+            for _ in range(rng.choice([0, 3, 200])):
+                t += rng.randint(0, 5)
+                text += f"#{t}\nb101 {'ab'[t % 2]}\n"
+                want.append((name, t, "ab"[t % 2]))
+        (tmp_path / "in" / f"{f}.vcd").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        found = vcd.changes(vcd.dumps_of(vcd.read_lines(spark, str(tmp_path / "in"))))
+        assert sorted((r["trace_id"], r["ts"], r["vid"]) for r in found.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 20), i % 100 if i % 100 else None, "click", None if i % 7 == 0 else 5.0) for i in range(500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = file_queries.sc1_dump_files(spark, str(tmp_path))
+    assert {r["trace"]: r["changes"] for r in out.collect()} == {k if k else None: 5 for k in range(100)}
+    assert len(out.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
