@@ -18,7 +18,7 @@ from ..operators import evidence as E
 from ..operators import facts as A
 from ..operators import nesting, patches, ranges
 from ..operators import trace as T
-from ..session import read_table
+from ..session import read_table, settled
 from ..sources import logs as L
 
 QUERIES: dict = {}
@@ -475,10 +475,10 @@ def c18_minimised_diffs(spark, sf_dir):
     told = F.transform("p", lambda x, i: F.concat(F.when((i > 0) & (part(i) != part(i - 1)), F.lit(" .\n")).otherwise(""), F.lit("+"), F.regexp_replace(x, "\r", " ")))
     diffs = d.select("id", F.concat(F.lit("@@ -1 +1 @@\n"), F.array_join(told, "\n"), F.lit("\n")).alias("diff"))
     needed = lambda diff: F.size(F.filter(F.split(diff, "\n"), lambda x: F.contains(x, F.lit(" the "))))
-    want = diffs.select("id", needed("diff").alias("want"))
+    want = settled(diffs.select("id", needed("diff").alias("want")))
 
     def verdicts(trials):
-        return trials.join(want, "id").select("id", "trial", (needed(F.col("diff")) == F.col("want")).alias("ok"))
+        return trials.select("id", "trial", needed(F.col("diff")).alias("n")).join(want, "id").select("id", "trial", (F.col("n") == F.col("want")).alias("ok"))
 
     out = patches.minimised(diffs, verdicts, most=1000)
     return out.select(F.col("id").alias("doc_id"), "units", (F.col("units") - F.size("removed")).alias("kept"))

@@ -48,3 +48,18 @@ def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder: what follows reads these rows, also if an executor is lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def settled_by(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt and sorted by the keys, and settled: joins by them take its rows as they lie, and only the other side is exchanged.
+
+    A plan that adapts doesn't tell how its rows lie, so this one doesn't.
+    """
+    spark = df.sparkSession
+    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settled(dealt)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

@@ -115,6 +115,26 @@ def test_many_diffs_are_minimised_at_once(spark):
                 assert (got[i]["diff"], got[i]["calls"]) == (left if got[i]["removed"] else d, calls), (d, left)
 
 
+def test_trials_are_rebuilt_in_place(spark):
+    """Segments are the table of lines, and a trial's text comes from its diff's row alone: no line and no trial is exchanged."""
+    rng = random.Random(3)
+    diffs = [(i, "".join(rng.choice(["@@ -1 +1 @@", "+a", "-b", "--- x", " c", "noise", "", "+\u2028d"]) + rng.choice(["\n", "\r\n"]) for _ in range(rng.randint(0, 25)))) for i in range(40)]
+    df = spark.createDataFrame(diffs, "id long, diff string")
+    want = {i: [] for i, _ in diffs}
+    for r in sorted(patches.diff_lines(df).collect(), key=lambda r: (r["id"], r["pos"])):
+        want[r["id"]].append((r["hunk"], r["unit"], r["line"]))
+    for i, d in diffs:
+        assert [(h, u, x) for h, u, lines in patches.segments(d) for x in lines.split("\n")] == want[i]
+    plans = []
+
+    def verdicts(trials):
+        plans.append(trials._jdf.queryExecution().executedPlan().toString())
+        return trials.select("id", "trial", F.lit(True).alias("ok"))
+
+    assert {r["id"]: len(r["removed"]) for r in patches.minimised(df, verdicts).collect()} == {i: len({u for _, u, _ in x if u is not None}) for i, x in want.items()}
+    assert len(plans) > 2 and not any("Window" in p or "collect_list" in p or p.count("Exchange") > 1 for p in plans)
+
+
 def test_json_is_salvaged():
     assert text.salvage('<think>{"no": 1}</think>```json\n{"a": 1}\n```') == '{"a": 1}'
     assert text.salvage('{"a": {"b": 1}') == '{"a": {"b": 1}}' and text.salvage('{"a": 1, "b": {}, "c": tr') == '{"a": 1, "b": {}}'
