@@ -67,7 +67,7 @@ class KeyedSink:
                 same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
             dealt = dealt.join(known, same, "left_anti")
         told = dealt.withColumn("__run", F.lit(run)).withColumn("__batch", F.lit(number).cast("long"))
-        told.write.mode("append").partitionBy("__bucket", "__run", "__batch").parquet(f"{self.path}/rows")
+        told.repartition("__bucket").write.mode("append").partitionBy("__bucket", "__run", "__batch").parquet(f"{self.path}/rows")
         self._commit(run, number)
 
     def _commit(self, run: str, number: int) -> None:

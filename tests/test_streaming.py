@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultloom.operators import evidence
 from faultloom.streaming import ledger, retries, sink
@@ -91,3 +92,12 @@ def test_retries_as_a_stream(spark, tmp_path):
     got = {r["task"]: [tuple(h) for h in r["history"]] for r in table.read().where("not good").collect()}
     whole = evidence.retry_history(spark.read.schema(schema).json(str(source)), ["task"]).collect()
     assert got == {r["task"]: [tuple(h) for h in r["history"]] for r in whole} and len(got) > 5
+
+
+def test_a_batch_writes_few_files(spark, tmp_path):
+    """A batch from many tasks leaves one small file for each bucket, not one for each bucket and task."""
+    for keep in ("first", "last"):
+        table = sink.KeyedSink(spark, str(tmp_path / keep), T.StructType().add("k", "long").add("v", "long"), ["k"], ["v"], keep=keep, buckets=4)
+        table.write(spark.range(2000).select(F.col("id").alias("k"), F.col("id").alias("v")).repartition(8, "v"), 0)
+        assert len(list((tmp_path / keep / "rows").rglob("part-*.parquet"))) == 4
+        assert table.read().count() == 2000
