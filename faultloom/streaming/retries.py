@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-ATTEMPT = "attempt long, diff string, failure string"
+ATTEMPT = "attempt: bigint, diff: string, failure: string"
 #: Fixed values of the feedback loop: attempts told, and characters of a diff.
 MOST, CUT = 3, 1500
+#: Attempts of a task gathered before only the last are kept.
+FULL = 64
 #: What the session needs for these streams: a store for lists, and, where a stream shall end with its input, no batches for timers alone.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,38 +35,29 @@ def settings(spark: SparkSession):
 
 
 class Retries(StatefulProcessor):
-    """State of a task: a list of its last failed attempts, and whether one was good. A task that is idle for ``idle_ms`` is forgotten."""
+    """State of a task: whether an attempt was good, and its last failed attempts. It is read and written once a batch, and forgotten when the task is idle for ``idle_ms``."""
 
     def __init__(self, most: int, cut: int, idle_ms: int) -> None:
         self.most, self.cut, self.idle_ms = most, cut, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.failed = handle.getListState("failed", ATTEMPT)
-        self.good = handle.getValueState("good", "good boolean")
+        self.told = handle.getValueState("told", f"good boolean, failed array<struct<{ATTEMPT}>>", self.idle_ms)
+
+    def last(self, attempts: list[tuple]) -> list[tuple]:
+        return sorted(attempts, key=lambda x: (x[0], x[1], x[2] or ""))[-self.most :]
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        kept, good = [tuple(x) for x in self.failed.get()], self.good.exists()
-        for r in rows:
-            good = good or bool(r["ok"])
-            kept.append((r["attempt"], (r["diff"] or "")[: self.cut], r["failure"]))
-            kept = sorted(kept, key=lambda x: (x[0], x[1], x[2] or ""))[-self.most :]
-        if good:
-            self.failed.clear()
-            self.good.update((True,))
-            kept = []
-        else:
-            self.failed.put(kept)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        good, kept = self.told.get() or (False, [])
+        kept = [tuple(x) for x in kept]
+        for _, attempt, ok, diff, failure in rows:
+            good = good or bool(ok)
+            if not good:
+                kept.append((attempt, (diff or "")[: self.cut], failure))
+                kept = self.last(kept) if len(kept) > FULL else kept
+        kept = [] if good else self.last(kept)
+        self.told.update((good, kept))
         yield Row(task=key[0], good=good, history=kept)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.failed.clear()
-        self.good.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
@@ -75,6 +68,6 @@ def retry_history_stream(attempts: DataFrame, *, most: int = MOST, cut: int = CU
     attempts: a stream (task, attempt, ok, diff, failure) in any order; attempts of a task are numbered. The session needs SETTINGS as the stream starts.
     """
     kind = attempts.schema["task"].dataType.simpleString()
-    out = StructType.fromDDL(f"task {kind}, good boolean, history array<struct<attempt: bigint, diff: string, failure: string>>")
+    out = StructType.fromDDL(f"task {kind}, good boolean, history array<struct<{ATTEMPT}>>")
     told = attempts.select("task", "attempt", "ok", "diff", "failure")
     return told.groupBy("task").transformWithState(Retries(most, cut, idle_ms), out, outputMode="Update", timeMode="ProcessingTime")
