@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,3 +71,14 @@ def without(docs: DataFrame, ids: DataFrame, column: Column) -> DataFrame:
         return docs.join(F.broadcast(gone), same, "left_anti")
     may = Bloom.of(gone.select(F.xxhash64("__gone").alias("h")), n=n).may_hold(docs, F.xxhash64(column))
     return docs.where(~may).union(docs.where(may).join(gone, same, "left_anti"))
+
+
+def among(ids: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """``keep(rows, column)``: the rows whose ``column`` (a long) is in ids, a table of one column, and with many ids
+    a few others. No row is exchanged."""
+    kept = Scratch(ids.sparkSession, "among").save(ids.toDF("__id").distinct(), "ids")
+    n = kept.count()
+    if n <= BROADCAST_IDS:
+        return lambda rows, column: rows.join(F.broadcast(kept), F.col(column) == F.col("__id"), "left_semi")
+    bloom = Bloom.of(kept.select(F.xxhash64("__id").alias("h")), n=n)
+    return lambda rows, column: rows.where(bloom.may_hold(rows, F.xxhash64(column)))

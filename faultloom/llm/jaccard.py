@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
@@ -31,6 +31,8 @@ BANDS, ROWS = 40, 5
 SLACK = 0.17
 #: Pairs of texts that a task holds at once.
 PAIRS_AT_ONCE = 256
+#: Bits that bound the difference of two sets from below, exactly.
+PARITIES = 256
 #: Each round compares so many times more centres of a bucket than the last.
 MORE_CENTRES = 4
 _RNG = np.random.default_rng(SEED)
@@ -61,6 +63,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES bits as longs: each is the parity of how many of the hashes fall on it. Two sets differ in at least
+    as many hashes as these differ in bits."""
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_reach(n: Column, bits: Column, m: Column, others: Column, percent: float) -> Column:
+    """False for pairs of sets of n and m hashes whose parities show that their Jaccard similarity is under percent / 100."""
+    differ = sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(others, F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (n + m) + F.lit(1e-6)
+
+
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(one value for each band of the MinHash signature, one byte of each of its places)"""
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
@@ -124,9 +139,10 @@ def _similar(threshold: float, shingle: int):
 
 
 def reach(links: DataFrame) -> DataFrame:
-    """(node, label): for each node of a link one that it reaches, the least within two steps and the steps from there."""
+    """(node, label): for each node of a link one that it reaches, the least within two steps and the same from there."""
     both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
     least = both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
+    least = both.join(least.toDF("other", "label"), "other").groupBy("node").agg(F.min("label").alias("label"))
     onward = least.toDF("label", "further")
     return least.join(onward, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
 

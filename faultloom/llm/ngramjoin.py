@@ -14,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import Bloom
+from .bloom import Bloom, among, without
 from .common import ROWS_AT_ONCE, Scratch, batches_of, shuffle_partitions, spread_join
 from .components import connected_components
-from .jaccard import reach
+from .jaccard import may_reach, parities, reach
 
 WORDS, PERCENT, FRAGMENTS = 4, 85, 4
 #: The order goes by the number of n-grams in each of so many hash buckets, counted over all documents; 5 bytes each for a task.
@@ -30,9 +31,10 @@ ORDER_BITS, BLOCK = 21, 1 << 14
 MAX_BUCKET, SPLITS, MORE_CENTRES = 4096, 2, 4
 
 
-#: Word hashes remembered by a worker.
-MAX_WORDS = 100_000
-_KNOWN: dict[bytes, int] = {}
+#: Texts whose words are told apart at once.
+TEXTS_AT_ONCE = 256
+#: Longer words, in bytes, are hashed one at a time.
+LONG_WORD = 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -42,28 +44,49 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, 42)
-    if len(_KNOWN) < MAX_WORDS:
-        _KNOWN[word] = h
-    return h
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's UTF-8, eight bytes at a time for all of them."""
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    at = np.frombuffer(words.buffers()[1] or bytes(8), kind)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = words.buffers()[2]
+    data = (raw.to_pybytes() if raw else b"") + bytes(8)
+    eights = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+    at, left = at[:-1], np.diff(at)
+    out = _mixed(left.astype(np.uint64) * _MIX[0])
+    todo = np.flatnonzero((left > 0) & (left <= LONG_WORD))
+    for i in range(0, LONG_WORD, 8):
+        todo = todo[left[todo] > i]
+        unused = np.uint64(64) - np.minimum(left[todo] - i, 8).astype(np.uint64) * np.uint64(8)
+        out[todo] = _mixed(out[todo] * _MIX[0] + (eights[at[todo] + i] << unused))
+    for i in np.flatnonzero(left > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + left[i]], 42)
+    return out
 
 
-def ngrams(text: str | None, k: int) -> np.ndarray:
-    """A 64-bit hash for each run of k words, repeats included; one of all words if there are fewer. A-Z are lower-cased."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    known = _KNOWN.get
-    words = np.array([known(w) or _word(w) for w in found], np.uint64)
+def _combined(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k of these word hashes; one of all if there are fewer."""
     k = min(k, len(words))
     n = len(words) - k + 1
-    out = np.full(n, k, np.uint64)
+    out = np.full(n if k else 0, k, np.uint64)
     for i in range(k):
         out = _mixed(out * _MIX[0] + words[i : i + n])
     return out
 
 
+def ngrams(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For each text a 64-bit hash for each run of k words, repeats included; one of all words if there are fewer. A-Z are lower-cased."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, TEXTS_AT_ONCE).fill_null("")))
+        found, ends = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        words = word_hashes(found)
+        full = pc.binary_length(found).to_numpy() > 0  # what lies beyond white space at an end of a text is empty
+        if not full.all():
+            words, ends = words[full], np.concatenate([[0], np.cumsum(full)])[ends]
+        runs = _combined(words, k) if len(words) >= k else words
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield runs[start : end - k + 1] if end - start >= k else _combined(words[start:end], k)
+
+
 def order_bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
@@ -74,8 +97,8 @@ def _counted(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                np.add.at(counts, order_bucket(ngrams(t.as_py(), words)), 1)
+            for h in ngrams(batch.column(0), words):
+                np.add.at(counts, order_bucket(h), 1)
         blocks = counts.reshape(-1, BLOCK)
         kind = np.min_scalar_type(int(counts.max()))
         for i in np.flatnonzero(blocks.any(axis=1)).tolist():
@@ -135,14 +158,13 @@ def _least(n: int, percent: int) -> tuple[int, int]:
 
 
 def signed(docs: DataFrame, order, *, text: str, doc_id: str, words: int, percent: int, fragments: int) -> DataFrame:
-    """(uid, doc_id, text, key, n, index, probe, rarest, sizes): key stands for the set; rarest has ``probe`` n-grams and SPLITS more; sizes
-    are the set's n-grams in each fragment."""
+    """(uid, doc_id, text, key, n, index, probe, rarest, sizes, bits): key stands for the set; rarest has ``probe`` n-grams and SPLITS more; sizes
+    are the set's n-grams in each fragment; bits are its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ns, index, probe, rarest, sizes = [], [], [], [], [], []
-            for t in batch.column(2):
-                h = np.unique(ngrams(t.as_py(), words))
+            keys, ns, index, probe, rarest, sizes, bits = [], [], [], [], [], [], []
+            for h in map(np.unique, ngrams(batch.column(2), words)):
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
                 ns.append(len(h))
                 i, p = _least(len(h), percent) if len(h) else (0, 0)
@@ -150,24 +172,22 @@ def signed(docs: DataFrame, order, *, text: str, doc_id: str, words: int, percen
                 probe.append(p)
                 rarest.append(order.value.first(h, p + SPLITS).view(np.int64) if len(h) else [])
                 sizes.append(np.bincount(order.value.fragment[order_bucket(h)], minlength=fragments).astype(np.int32))
+                bits.append(parities(h))
             numbers = [pa.array(x, pa.int64()) for x in (ns, index, probe)]
-            columns = [*batch.columns, pa.array(keys, pa.binary()), *numbers, pa.array(rarest, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "text", "key", "n", "index", "probe", "rarest", "sizes"])
+            columns = [*batch.columns, pa.array(keys, pa.binary()), *numbers, pa.array(rarest, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "text", "key", "n", "index", "probe", "rarest", "sizes", "bits"])
 
     picked = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "uid long, doc_id long, text string, key binary, n long, index long, probe long, rarest array<long>, sizes array<int>")
+    return picked.mapInArrow(run, "uid long, doc_id long, text string, key binary, n long, index long, probe long, rarest array<long>, sizes array<int>, bits array<long>")
 
 
-def _cut(order, wanted, words: int, fragments: list[int]):
-    """A row for each of these fragments that a text has n-grams of, of rows (node, text, hash of node) whose hash the filter of wanted holds."""
+def _cut(order, words: int, fragments: list[int]):
+    """A row for each of these fragments that a text has n-grams of, of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = Bloom(wanted.value)
         for batch in batches:
             nodes, at, parts = [], [], []
-            batch = batch.filter(pa.array(may.holds(batch.column(2).to_numpy())))
-            for node, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.unique(ngrams(t.as_py(), words))
+            for node, h in zip(batch.column(0).to_pylist(), map(np.unique, ngrams(batch.column(1), words)), strict=True):
                 own = order.value.fragment[order_bucket(h)]
                 for f in fragments:
                     if len(part := h[own == f]):
@@ -197,11 +217,8 @@ class Segments:
 
     def of(self, wanted: DataFrame, fragments: list[int], name: str) -> DataFrame:
         """wanted: (node); segments of a few others do no harm."""
-        words = self.sets.sparkSession.sparkContext.broadcast(Bloom.of(wanted.select(F.xxhash64("node").alias("h"))).words)
-        texts = self.sets.select(F.col("uid").alias("node"), "text", F.xxhash64("uid").alias("h"))
-        out = self.scratch.save(texts.mapInArrow(_cut(self.order, words, self.words, fragments), "node long, fragment int, part binary"), name)
-        words.destroy()
-        return out
+        texts = among(wanted)(self.sets.select(F.col("uid").alias("node"), "text"), "node")
+        return self.scratch.save(texts.mapInArrow(_cut(self.order, self.words, fragments), "node long, fragment int, part binary"), name)
 
     @staticmethod
     def _counted(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -213,20 +230,26 @@ class Segments:
     def overlapping(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b) of the pairs that reach the threshold: partial overlaps of each fragment, summed for each pair."""
         assert self.rarest is not None
-        a, b = (self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sizes").alias(f"s_{c}")) for c in ("a", "b"))
+        keep = among(pairs.select("a").union(pairs.select("b")))  # only what these pairs need is exchanged
+        nodes, rarest = keep(self.nodes, "node"), keep(self.rarest, "node")
+        a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sizes").alias(f"s_{c}")) for c in ("a", "b"))
         told = self.scratch.save(pairs.join(a, "a").join(b, "b"), f"{name}-sized")
         # what the pair has to have in common, and what the other fragments can hold of it at most
         need = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / F.lit(100.0 + self.percent) - F.lit(1e-6))
         rest = F.aggregate(F.zip_with(F.slice("s_a", 2, self.fragments), F.slice("s_b", 2, self.fragments), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
         within = told.where(F.least(F.get("s_a", F.lit(0)), F.get("s_b", F.lit(0))) + rest >= need)
-        first = within.join(self._counted(within, self.rarest), ["a", "b"], "left").select("a", "b", need.alias("need"), rest.alias("rest"), F.coalesce("overlap", F.lit(0)).alias("first"))
+        first = within.join(self._counted(within, rarest), ["a", "b"], "left").select("a", "b", need.alias("need"), rest.alias("rest"), F.coalesce("overlap", F.lit(0)).alias("first"))
         open_ = self.scratch.save(first.where("first + rest >= need"), f"{name}-open")
-        nodes = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
-        others = self.of(nodes, list(range(1, self.fragments)), f"{name}-segments")
+        wanted = open_.select(F.col("a").alias("node")).union(open_.select("b"))
+        others = self.of(wanted, list(range(1, self.fragments)), f"{name}-segments")
         sums = open_.join(self._counted(open_, others), ["a", "b"], "left")
         return self.scratch.save(sums.where(F.col("first") + F.coalesce("overlap", F.lit(0)) >= F.col("need")).select("a", "b"), name)
 
 
+#: What a row of a bucket tells of its node: n-grams, those of its first ones that no other node has there, and parities.
+NODE = ["node", "n", "own", "bits"]
+
+
 def _near(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -234,10 +257,10 @@ def _near(n: Column, m: Column, percent: int) -> Column:
 def _split(hot: DataFrame, rarest: DataFrame, level: int) -> DataFrame:
     """Rows of hot buckets dealt anew by a further n-gram of each node. Two sets above the threshold share one n-gram more
     in prefixes longer by one."""
-    more = hot.join(rarest.select("node", "index", "probe", "rarest"), "node").select("value", "node", "n", "shows", "index", "probe", F.posexplode("rarest").alias("at", "gram"))
+    more = hot.join(rarest.select("node", "index", "probe", "rarest"), "node").select("value", *NODE, "shows", "index", "probe", F.posexplode("rarest").alias("at", "gram"))
     more = more.where((F.col("at") < F.col("probe") + level) & (F.col("gram") != F.col("value")))
     shows = F.col("shows") & (F.col("at") < F.col("index") + level)
-    return more.select(F.xxhash64("value", "gram").alias("value"), "node", "n", shows.alias("shows")).distinct()
+    return more.select(F.xxhash64("value", "gram").alias("value"), *NODE, shows.alias("shows")).distinct()
 
 
 def _open(live: DataFrame) -> DataFrame:
@@ -249,8 +272,10 @@ def _open(live: DataFrame) -> DataFrame:
 def set_links(rows: DataFrame, rarest: DataFrame, segments: Segments, *, percent: int = PERCENT, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(a, b): links that connect all nodes whose sets reach the threshold.
 
-    rows: (value, node, n, shows), the buckets of first n-grams. Of a bucket's nodes some centres are compared with all others; then they
-    leave it. A bucket is done when all its nodes are linked or none is left that shows itself.
+    rows: (value, node, n, own, bits, shows), the buckets of first n-grams. Of a bucket's nodes some centres are compared with all others;
+    then they leave it. Those with the fewest n-grams of their own come first: what copies were made from links with more of them than
+    one copy with others. Pairs whose parities rule the threshold out aren't made. A bucket is done when all its nodes are linked or none is
+    left that shows itself.
     """
     scratch = Scratch(rows.sparkSession, "set-links")
     links = rows.sparkSession.createDataFrame([], "a long, b long")
@@ -258,11 +283,12 @@ def set_links(rows: DataFrame, rarest: DataFrame, segments: Segments, *, percent
     for i in range(64):
         if i:
             labels = scratch.save(reach(links), f"labels{i}")
-            live = live.join(labels, "node", "left").select("value", "node", "n", "shows", F.coalesce("label", "node").alias("root"))
+            live = live.join(labels, "node", "left").select("value", *NODE, "shows", F.coalesce("label", "node").alias("root"))
         else:
             live = live.withColumn("root", F.col("node"))
-        told = scratch.save(_open(live), f"open{i}")
-        live = scratch.save(live.join(told, "value").select("value", "node", "n", "shows", "root", "size"), f"live{i}")
+        if i:  # at first all are
+            told = scratch.save(_open(live), f"open{i}")
+            live = scratch.save(live.join(told, "value").select("value", *NODE, "shows", "root", "size"), f"live{i}")
         if live.isEmpty():
             return links
         if i and level < SPLITS:
@@ -270,16 +296,17 @@ def set_links(rows: DataFrame, rarest: DataFrame, segments: Segments, *, percent
             if not hot.isEmpty():
                 level += 1
                 split = scratch.save(_split(hot, rarest, level), f"split{i}")
-                live = live.where(F.col("size") <= max_bucket).select("value", "node", "n", "shows").union(split)
+                live = live.where(F.col("size") <= max_bucket).select("value", *NODE, "shows").union(split)
                 continue
         slot = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(centres))
-        heads = live.where("shows").groupBy("value", slot.alias("slot")).agg(F.min(F.struct("node", "n", "root")).alias("c"))
+        heads = live.where("shows").groupBy("value", slot.alias("slot")).agg(F.min(F.struct("own", "node", "n", "root", "bits")).alias("c"))
         heads = scratch.save(heads.select("value", "c"), f"heads{i}")
         met = live.join(heads, "value").where((F.col("root") != F.col("c.root")) & (F.col("node") != F.col("c.node")))
         met = met.where(_near(F.col("n"), F.col("c.n"), percent) & (F.col("shows") | (F.col("n") >= F.col("c.n"))))
+        met = met.where(may_reach(F.col("n"), F.col("bits"), F.col("c.n"), F.col("c.bits"), percent))
         pairs = scratch.save(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), f"pairs{i}")
         links = links.union(segments.overlapping(pairs, f"links{i}"))
-        live = live.join(heads.select("value", F.col("c.node").alias("node")), ["value", "node"], "left_anti").select("value", "node", "n", "shows")
+        live = live.join(heads.select("value", F.col("c.node").alias("node")), ["value", "node"], "left_anti").select("value", *NODE, "shows")
         centres *= MORE_CENTRES
     raise RuntimeError("buckets did not settle")
 
@@ -299,15 +326,20 @@ def jaccard_components(
     order = spark.sparkContext.broadcast(Order.of(docs, text, words, fragments))
     sets = scratch.save(signed(docs, order, text=text, doc_id=doc_id, words=words, percent=percent, fragments=fragments), "sets")
     some = sets.where("n > 0")
-    nodes = some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sizes").alias("sizes"), F.count(F.lit(1)).alias("rows"))
+    firsts = [F.first(c).alias(c) for c in ("n", "sizes", "bits")]
+    nodes = some.groupBy("key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), *firsts, F.count(F.lit(1)).alias("rows"))
     nodes = scratch.save(nodes, "nodes")
-    rarest = some.select(F.col("uid").alias("node"), "n", "index", "probe", "rarest").join(nodes.select("node"), "node", "left_semi")
+    repeated = nodes.where("rows > 1").select("key", "node")
+    copies = some.select("uid", "key").join(repeated, "key").where("uid <> node").select("uid")
+    rarest = without(some.select("uid", "n", "index", "probe", "rarest"), copies, F.col("uid")).withColumnRenamed("uid", "node")
     grams = rarest.select("node", "n", "index", "probe", F.posexplode("rarest").alias("at", "value")).where("at < probe")
-    rows = grams.select("value", "node", "n", (F.col("at") < F.col("index")).alias("shows"))
+    rows = grams.select("value", "node", "n", "probe", (F.col("at") < F.col("index")).alias("shows"))
     shared = rows.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.bool_or("shows").alias("s")).where("k > 1 and s")
     shared = scratch.save(shared.select("value"), "shared")
     may = Bloom.of(shared.select(F.xxhash64("value").alias("h"))).may_hold(docs, F.xxhash64("value"))
-    rows = scratch.save(rows.where(may), "rows")
+    rows = scratch.save(rows.where(may), "met")
+    own = rows.groupBy("node").agg((F.first("probe") - F.count(F.lit(1))).alias("own")).join(nodes.select("node", "bits"), "node")
+    rows = scratch.save(rows.join(own, "node").select("value", *NODE, "shows"), "rows")
     segments = Segments(scratch, some, nodes, order, words, fragments, percent)
     segments.rarest = segments.of(rows.select("node").distinct(), [0], "segments")
     links = set_links(rows, rarest, segments, percent=percent, max_bucket=max_bucket)

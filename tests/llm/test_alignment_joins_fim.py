@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultloom.llm import alignment, fim, licenses, ngramjoin
+from faultloom.llm import alignment, fim, jaccard, licenses, ngramjoin
 
 PIECES = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "'s", "don't", "the", "Word", "foo,bar", "é", "中文字", "。", "，", "🙂", "123", "(", "<|endoftext|>", "<s>",
           " ", "　", "▁", "_", "é", "ﬁ", "​", "\x00", "x" * 30, "ß", "—", "“q”"]
@@ -136,6 +137,50 @@ def test_joined_components_equal_all_pairs(spark, max_bucket):
     assert ngramjoin.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_copies_of_one_text_are_compared_with_it_only(spark, monkeypatch):
+    """Copies that link with what they were made from, hardly with each other: the pairs follow the group, not its square."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    some = [base]
+    for i in range(400):
+        near = list(base)
+        for k in range(3):
+            near[rng.randrange(len(near))] = f"x{i}y{k}"
+        some.append(near)
+    rows = [(i, " ".join(t)) for i, t in enumerate(some)]
+    rng.shuffle(rows)
+    compared = []
+    overlapping = ngramjoin.Segments.overlapping
+    monkeypatch.setattr(ngramjoin.Segments, "overlapping", lambda self, pairs, name: compared.append(pairs.count()) or overlapping(self, pairs, name))
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and sum(compared) < 3 * len(rows)
+
+
+def test_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (1, 5, 40, 150, 3000):
+        for _ in range(60):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[: rng.integers(0, n + 1)], rng.integers(0, 1 << 63, rng.integers(1, n + 1), dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            rows.append((len(a), jaccard.parities(a).tolist(), len(b), jaccard.parities(b).tolist(), 100 * both >= 85 * (len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "n long, x array<long>, m long, y array<long>, links boolean")
+    got = df.select("links", jaccard.may_reach(F.col("n"), F.col("x"), F.col("m"), F.col("y"), 85).alias("may")).collect()
+    assert all(r.may for r in got if r.links) and any(r.links for r in got) and sum(not r.may for r in got) > 100
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = [None, "", " ", "A", "a b\x0bc\td", *(f"x{chr(i)}y {chr(i)} z É\u2003é" for i in range(1, 128)), " lead and trail \n", "one " * 900]
+    for k in (1, 4):
+        got = list(ngramjoin.ngrams(pa.array(["q", *texts, "r"])[1:-1], k))
+        for t, h in zip(texts, got, strict=True):
+            words = ngramjoin.word_hashes(pa.array([w.decode() for w in (t or "").encode().lower().split()], pa.string()))
+            assert np.array_equal(h, ngramjoin._combined(words, k)) and len(h) == (max(1, len(words) - k + 1) if len(words) else 0)
+    some = [f"{x}{'y' * n}" for x in range(50) for n in range(90)] + ["\x00" * n for n in range(1, 80)]
+    assert len(set(ngramjoin.word_hashes(pa.array(["a", *some])[1:]).tolist())) == len(some)
+
+
 def test_prefixes_are_long_enough():
     """No pair of sizes at the threshold fits beside disjoint prefixes."""
     for n in range(1, 400):
