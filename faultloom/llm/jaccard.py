@@ -99,11 +99,11 @@ def _alike(threshold: float):
 
 
 def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text, key, size, fp, sketch, bands): key stands for the shingle set."""
+    """(doc_id, text, key, size, fp, sketch, bands, bits): key stands for the shingle set, bits are its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, fps, sketches, values = [], [], [], [], [np.zeros(0, np.uint64)]
+            keys, sizes, fps, sketches, bits, values = [], [], [], [], [], [np.zeros(0, np.uint64)]
             for t in batch.column(1):
                 h = shingles(t.as_py(), shingle)
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes(), SEED))
@@ -112,13 +112,14 @@ def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", s
                 band, sketch = signature(h)
                 values.append(band)
                 sketches.append(sketch)
+                bits.append(parities(h))
             lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, np.concatenate(values).view(np.int64))
             key, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps))
-            columns = [batch.column(0), batch.column(1), key, pa.array(sizes, pa.int64()), fp, pa.array(sketches, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "key", "size", "fp", "sketch", "bands"])
+            columns = [batch.column(0), batch.column(1), key, pa.array(sizes, pa.int64()), fp, pa.array(sketches, pa.binary()), lists, pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "key", "size", "fp", "sketch", "bands", "bits"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, text string, key long, size long, fp long, sketch binary, bands array<long>")
+    return picked.mapInArrow(run, "doc_id long, text string, key long, size long, fp long, sketch binary, bands array<long>, bits array<long>")
 
 
 def _similar(threshold: float, shingle: int):
@@ -152,8 +153,10 @@ def near_links(
 ) -> DataFrame:
     """(a, b): links that connect all keys that reach the threshold and share a bucket or are proposed.
 
-    nodes: (key, size, value), one row for each bucket. sketches: (key, sketch). texts: (key, text). proposed: (a, b), pairs to be checked
-    first. A centre leaves its bucket when all others there are compared with it or linked to it, so this ends.
+    nodes: (key, size, own, bits, value), one row for each bucket; own: how many bands are no other's. sketches: (key, sketch). texts: (key, text). proposed: (a, b), pairs to be checked
+    first. A centre leaves its bucket when all others there are compared with it or linked to it, so this ends. Keys with the fewest bands of their
+    own are centres first: what copies were made from links with more of them than one copy with others. Pairs whose parities rule the
+    threshold out aren't made.
     """
     scratch = Scratch(nodes.sparkSession, "jaccard-links")
 
@@ -167,19 +170,20 @@ def near_links(
     links, live, centres = checked(proposed, "proposed"), nodes, 1
     for i in range(64):
         labels = scratch.save(reach(links), f"labels{i}")
-        live = live.join(labels, F.col("key") == F.col("node"), "left").select("key", "size", "value", F.coalesce("label", "key").alias("root"))
+        live = live.join(labels, F.col("key") == F.col("node"), "left").select("key", "size", "own", "bits", "value", F.coalesce("label", "key").alias("root"))
         open_ = live.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
         live = scratch.save(live.join(open_, "value", "left_semi"), f"live{i}")
         if live.isEmpty():
             return links
         slot = F.pmod(F.xxhash64("key", F.lit(i)), F.lit(centres))
-        heads = live.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("key", "size", "root")).alias("c"))
+        heads = live.groupBy("value", slot.alias("slot")).agg(F.min(F.struct("own", "key", "size", "root", "bits")).alias("c"))
         heads = scratch.save(heads.select("value", "c"), f"heads{i}")
         near = F.least("size", "c.size") >= F.lit(threshold) * F.greatest("size", "c.size")
         met = live.join(heads, "value").where((F.col("root") != F.col("c.root")) & near)
+        met = met.where(may_reach(F.col("size"), F.col("bits"), F.col("c.size"), F.col("c.bits"), 100 * threshold))
         pairs = met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
-        links = links.union(checked(pairs, f"links{i}"))
-        live = live.join(heads.select("value", F.col("c.key").alias("key")), ["value", "key"], "left_anti").select("key", "size", "value")
+        links = links.union(checked(scratch.save(pairs, f"links{i}-pairs"), f"links{i}"))
+        live = live.join(heads.select("value", F.col("c.key").alias("key")), ["value", "key"], "left_anti").select("key", "size", "own", "bits", "value")
         centres *= MORE_CENTRES
     raise RuntimeError("buckets did not settle")
 
@@ -194,12 +198,14 @@ def near_components(
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed = scratch.save(signatures(docs, text=text, doc_id=doc_id, shingle=shingle), "signed")
-    first = [F.first(c).alias(c) for c in ("size", "fp", "sketch", "bands")]
+    first = [F.first(c).alias(c) for c in ("size", "fp", "sketch", "bands", "bits")]
     nodes = scratch.save(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), *first), "nodes")
     rows = nodes.select("key", "size", F.explode("bands").alias("value"))
     shared = scratch.save(rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "shared")
     may = Bloom.of(shared.select(F.xxhash64("value").alias("h"))).may_hold(docs, F.xxhash64("value"))
-    rows = scratch.save(rows.where(may).distinct(), "rows")  # a value that isn't shared after all is a bucket of one
+    rows = scratch.save(rows.where(may).distinct(), "met")  # a value that isn't shared after all is a bucket of one
+    own = rows.groupBy("key").agg((F.lit(BANDS) - F.count(F.lit(1))).alias("own")).join(nodes.select("key", "bits"), "key")
+    rows = scratch.save(rows.join(own, "key"), "rows")
 
     by_fp = nodes.select("fp", "key")
     heads = scratch.save(by_fp.groupBy("fp").agg(F.min("key").alias("head")), "heads")

@@ -53,3 +53,27 @@ def test_pipeline_near_copies_of_a_large_bucket(spark):
     rows = [(i, " ".join(words[5 * i : 5 * i + 104])) for i in range(90)]
     got = {r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+def test_near_copies_are_compared_with_what_they_were_made_from(spark, monkeypatch):
+    """The pairs that sketches are fetched for follow the group, not its square."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(220)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        near = list(base)
+        for k in range(4):
+            near[rng.randrange(len(near))] = f"x{i}y{k}"
+        rows.append((i, " ".join(near)))
+    made = []
+    save = jaccard.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name.startswith("links") and name.endswith("-pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "save", counted)
+    got = {r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0} and 0 < sum(made) < 4 * len(rows)
