@@ -170,6 +170,41 @@ def test_parities_bound_the_difference(spark):
     assert all(r.may for r in got if r.links) and any(r.links for r in got) and sum(not r.may for r in got) > 100
 
 
+def test_long_texts_that_share_a_rare_ngram_are_not_compared(spark, monkeypatch):
+    """Parities tell nothing of long sets, and their segments are what a round exchanges most of; buckets of the same nodes are looked at once."""
+    rng = random.Random(11)
+    some = [[f"w{rng.randrange(10**6)}" for _ in range(3000)] for _ in range(12)]
+    for t in some:  # a passage of several rare n-grams in all of them
+        t[100:110] = [f"p{i}" for i in range(10)]
+    some.append([*some[3][:50], "other", *some[3][51:]])
+    compared, overlapping = [], ngramjoin.Segments.overlapping
+    monkeypatch.setattr(ngramjoin.Segments, "overlapping", lambda self, pairs, name: compared.append(pairs.count()) or overlapping(self, pairs, name))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(some)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(docs).collect()}
+    assert got == {**{i: i for i in range(12)}, 12: 3} and sum(compared) == 1
+
+
+def test_counts_bound_the_difference():
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (600, 2000, 9000):
+        for share in (0.0, 0.5, 0.9, 0.92, 0.95, 1.0):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[: int(n * share)], rng.integers(0, 1 << 63, n - int(n * share) + 7, dtype=np.uint64)])
+            rows.append((len(rows), 0, -(-85 * (len(a) + len(b)) // 185), 0, 0, len(a) + len(b), ngramjoin.hash_counts(a), ngramjoin.hash_counts(b), len(np.intersect1d(a, b))))
+    rows.append((len(rows), 0, 900, 0, 0, 1900, None, rows[0][7], 950))
+    batch = pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.int64()) for i in range(6)), *(pa.array([r[i] for r in rows], pa.binary()) for i in (6, 7))], list("abcdefgh"))
+    kept = {i for x in ngramjoin.counts_allow(iter([batch])) for i in x.column(0).to_pylist()}
+    assert kept >= {r[0] for r in rows if r[8] >= r[2]} and not kept & {r[0] for r in rows if r[8] == 0}
+
+
+def test_buckets_of_the_same_nodes_are_one(spark):
+    rows = [(v, node, True) for v in range(5) for node in (1, 2, 3)] + [(v, node, True) for v in (7, 8) for node in (1, 2)]
+    rows += [(9, 1, True), (9, 4, False), (9, 3, True), (10, 1, True), (11, 5, False), (11, 6, False)]
+    got = sorted((r.k, r.a, r.b) for r in ngramjoin.distinct_buckets(spark.createDataFrame(rows, "value long, node long, shows boolean")).collect())
+    assert got == [(2, 1, 2), (3, 1, 3), (3, 1, 4)]
+
+
 def test_words_of_a_batch_are_those_of_each_text():
     texts = [None, "", " ", "A", "a b\x0bc\td", *(f"x{chr(i)}y {chr(i)} z É\u2003é" for i in range(1, 128)), " lead and trail \n", "one " * 900]
     for k in (1, 4):
