@@ -77,3 +77,30 @@ def test_near_copies_are_compared_with_what_they_were_made_from(spark, monkeypat
     monkeypatch.setattr(jaccard.Scratch, "save", counted)
     got = {r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0} and 0 < sum(made) < 4 * len(rows)
+
+
+def test_small_buckets_need_no_rounds(spark, monkeypatch):
+    """Texts that share bands but don't link: each round's plans and jobs stay in the driver's memory, so buckets of few keys have none."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(6):  # any two have some 0.7 of their shingles in common
+            at = sorted(rng.sample(range(12, 110, 7), 2))
+            rows.append((len(rows), " ".join(f"{w}n{i}" if k in at else w for k, w in enumerate(base))))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    rounds, scans = [], []
+    save = jaccard.Scratch.save
+
+    def seen(self, df, name):
+        if name.startswith("live"):
+            rounds.append(name)
+        if name.startswith("labels"):
+            scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        return save(self, df, name)
+
+    monkeypatch.setattr(jaccard.Scratch, "save", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _reaches(edges, sets) and len(set(got.values())) > 6
+    assert len(rounds) <= 2 and len(set(scans)) == 1  # a plan of the same size, however many rounds
