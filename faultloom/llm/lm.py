@@ -14,6 +14,7 @@ tree, weighted by tokens. The network therefore depends on how documents are dea
 from __future__ import annotations
 
 import io
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -60,30 +61,37 @@ def rare_token(word: Column) -> Column:
     return F.lit(FIRST_RARE) + F.pmod(F.crc32(F.substring(word, -2, 2)), F.lit(RARE))
 
 
+class TokenOf(dict):
+    """Tokens by word; those of rare words are told when first asked for and remembered, as many as fit."""
+
+    def __init__(self, own: dict[bytes, int]) -> None:
+        super().__init__(own)
+        self.own = own
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD_WORDS:
+            self.clear()
+            self.update(self.own)
+        self[word] = token = FIRST_RARE + zlib.crc32(word[-2:]) % RARE
+        return token
+
+
 class Vocabulary:
-    """Tokens of words, and which words of a text are rare. Tokens of rare words are remembered, as many as fit."""
+    """Tokens of words, and which words of a text are rare."""
 
     def __init__(self, words: list[bytes]) -> None:
-        self.own = {w: i for i, w in enumerate(words)}
-        self.id_of = dict(self.own)
-
-    def _tokens(self, words: list[bytes]) -> list[int]:
-        out = list(map(self.id_of.get, words))
-        if None in out:
-            if len(self.id_of) > HELD_WORDS:
-                self.id_of = dict(self.own)
-            new = {w: FIRST_RARE + zlib.crc32(w[-2:]) % RARE for w in {w for i, w in zip(out, words, strict=True) if i is None}}
-            out = [new[w] if i is None else i for i, w in zip(out, words, strict=True)]
-            self.id_of.update(new)
-        return out
+        self.id_of = TokenOf({w: i for i, w in enumerate(words)})
+
+    def _tokens(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.id_of.__getitem__, words), np.int16, len(words))
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.array(self._tokens(words_of(text)), np.int16)
+        return self._tokens(words_of(text))
 
     def read(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         words = words_of(text)
         out = self._tokens(words)
-        return np.array(out, np.int16), [w for i, w in zip(out, words, strict=True) if i >= FIRST_RARE]
+        return out, list(itertools.compress(words, (out >= FIRST_RARE).tolist()))
 
 
 class WindowNetwork:
@@ -357,15 +365,13 @@ class Shares:
 
     def sums(self, words: list[bytes], of: np.ndarray, n: int) -> np.ndarray:
         """The sum over the words of each of n documents; ``of`` tells a word's document."""
-        got = list(map(self.known.get, words))
-        new = list({w for w, x in zip(words, got, strict=True) if x is None}) if None in got else []
-        if new:
+        if new := set(words).difference(self.known):
             if len(self.known) > HELD_WORDS:
                 self.known.clear()
-            fresh = dict(zip(new, self._look_up(new), strict=True))
-            got = [fresh[w] if x is None else x for w, x in zip(words, got, strict=True)]
-            self.known.update(fresh)
-        return np.bincount(of, weights=np.array(got, np.float64), minlength=n) if words else np.zeros(n)
+                new = set(words)
+            self.known.update(zip(new, self._look_up(list(new)), strict=True))
+        got = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+        return np.bincount(of, weights=got, minlength=n) if words else np.zeros(n)
 
     def _look_up(self, words: list[bytes]) -> list[float]:
         h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64).view(np.int64)
@@ -393,7 +399,7 @@ def score(texts: Texts, model: Model, shares: str) -> DataFrame:
                 stream, starts = padded([ids for ids, _ in read])
                 where = np.flatnonzero(stream != PAD)
                 of = np.repeat(np.arange(len(read)), [len(w) for _, w in read])
-                total = rare.sums([w for _, ws in read for w in ws], of, len(read))
+                total = rare.sums(list(itertools.chain.from_iterable(ws for _, ws in read)), of, len(read))
                 which = np.searchsorted(starts, where, side="right") - 1
                 for a in range(0, len(where), SLICE):
                     at = where[a : a + SLICE]

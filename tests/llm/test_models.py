@@ -297,3 +297,24 @@ def test_lexicon_equals_a_loop_over_terms(spark):
     wanted = {t: math.log(odds[t]) for t in passing if all(odds[t] > toxicity.CLEARLY * odds[s] for s in passing if begins(t, s))}
     assert " foo" in wanted and set(model.weights) == set(wanted)
     assert all(abs(model.weights[t] - w) < 1e-9 for t, w in wanted.items())
+
+
+def test_words_are_told_once(monkeypatch):
+    """A text with a few new words costs a look for these only, and what is remembered stays bounded; tokens and shares stay the same."""
+    told, crc32 = [], zlib.crc32
+    monkeypatch.setattr(lm.zlib, "crc32", lambda x: told.append(x) or crc32(x))
+    monkeypatch.setattr(lm, "HELD_WORDS", 50)
+    vocabulary = lm.Vocabulary([b"a", b"b"])
+    token = lambda w: {b"a": 0, b"b": 1}.get(w, lm.FIRST_RARE + crc32(w[-2:]) % lm.RARE)
+    ids, rare = vocabulary.read("a x y b x A y")
+    assert ids.dtype == np.int16 and ids.tolist() == [token(w) for w in b"a x y b x a y".split()] and rare == [b"x", b"y", b"x", b"y"]
+    assert len(told) == 2 and vocabulary.ids("x y a").tolist() == [token(w) for w in (b"x", b"y", b"a")] and len(told) == 2
+    many = [b"w%d" % i for i in range(300)]
+    assert vocabulary.ids(b" ".join(many).decode()).tolist() == [token(w) for w in many] and len(vocabulary.id_of) <= 52
+    assert vocabulary.ids("b a").tolist() == [1, 0] and vocabulary.ids(None).tolist() == [] and vocabulary.read("")[1] == []
+    shares = lm.Shares.__new__(lm.Shares)
+    shares.known, shares.once, shares.h, shares.share = {}, [-float(k) for k in range(lm.RARE)], np.zeros(0, np.int64), np.zeros(0, np.float32)
+    for words in (many, [b"w1", b"w1", b"w299", b"new"], []):
+        of = np.arange(len(words)) % 2
+        want = [sum(shares.once[token(w) - lm.FIRST_RARE] for w in words[k::2]) for k in (0, 1)]
+        assert np.allclose(shares.sums(words, of, 2), want)
